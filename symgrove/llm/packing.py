@@ -14,41 +14,20 @@ input gives one row, a null id included.  Other columns are not read.
 
 from __future__ import annotations
 
-import base64
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgrove.llm import textkit as tk
+from symgrove.llm.pretoken import TOKENIZER, coder, read_ranks
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 128
 SCHEMA = "doc_id long, n_ids long, words binary, block_offsets array<int>"
 
 #: By selector: ids in a word and bits of each.  0 is the escape, 1 a run of zeros.
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
-_encoders: dict[bytes, object] = {}
-
-
-def encoder(ranks: bytes):
-    """The tokenizer of a rank file's content; each Python worker builds it once."""
-    key = ranks[:64] + len(ranks).to_bytes(8, "big")
-    if key not in _encoders:
-        import tiktoken
-
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        _encoders[key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-    return _encoders[key]
-
-
-def read_ranks(path: str) -> bytes:
-    with open(path, "rb") as f:
-        return f.read()
-
 
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
     """Bits of each uint64."""
@@ -156,13 +135,12 @@ def token_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(tokenizer))
 
     def run(batches):
-        encode = encoder(ranks.value).encode_to_numpy
+        bpe = coder(ranks.value)
         for batch in batches:
             texts = tk.string_array(batch.column(1))
             for lo, hi in tk.slices(texts):
-                got = [encode(t, disallowed_special=()) if t else np.zeros(0, np.uint32) for t in texts[lo:hi].to_pylist()]
-                counts = np.array([len(x) for x in got], np.int64)
-                words, first, per = pack(np.concatenate(got).astype(np.uint64), counts, block)
+                ids, counts = bpe.encode_batch(texts[lo:hi])
+                words, first, per = pack(ids.astype(np.uint64), counts, block)
                 row = np.concatenate([[0], np.cumsum(per)])
                 ends = first[row]
                 offsets = (first[:-1] - np.repeat(ends[:-1], per)).astype(np.int32)
