@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgrove.llm import decontam, mixing, oddsketch, packing, quality
+from symgrove.llm import chat, decontam, langid, mixing, nearvec, oddsketch, packing, quality, repeats, tokencount
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,10 +16,35 @@ def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.keep(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).filter("kept").select("doc_id", "importance")
 
 
+def op2_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of near-duplicate embeddings."""
+    return nearvec.near_duplicates(_read(spark, sf_dir, "embeddings")).select("vec_id", "near_id")
+
+
+def op3_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of repeated passages with all their occurrences."""
+    return repeats.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
+def op4_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of each document before and after its edits."""
+    return tokencount.edited_counts(tokencount.edit_log(_read(spark, sf_dir, "documents")))
+
+
 def op5_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_event_sourced_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation, rebuilt from its event log and rendered."""
+    return chat.rebuilt(chat.as_log(_read(spark, sf_dir, "conversations")))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, null where it is rejected."""
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
 def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample_copies(_read(spark, sf_dir, "documents")).select("doc_id", "source", "copies")
 
@@ -34,10 +59,23 @@ def op10_odd_sketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_resampling, op5_benchmark_containment, op8_pareto_mixing, op9_simple8b_tokens, op10_odd_sketch_near_duplicates)
+    for f in (
+        op1_quality_resampling,
+        op2_embedding_near_duplicates,
+        op3_maximal_repeats,
+        op4_edit_aware_token_counts,
+        op5_benchmark_containment,
+        op6_event_sourced_chats,
+        op7_language_id,
+        op8_pareto_mixing,
+        op9_simple8b_tokens,
+        op10_odd_sketch_near_duplicates,
+    )
 }
 
 SQL = {
+    "op2_embedding_near_duplicates": nearvec.oracle(),
     "op5_benchmark_containment": decontam.oracle(),
+    "op6_event_sourced_chats": chat.oracle(),
     "op8_pareto_mixing": mixing.oracle(),
 }
