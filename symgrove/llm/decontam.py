@@ -147,7 +147,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORD
         order = np.lexsort((pos[at], item[entry], doc))
         doc, entry, at = doc[order], entry[order], at[order]
         edges = np.flatnonzero(np.diff(doc, prepend=-1).astype(bool) | np.diff(item[entry], prepend=-1).astype(bool))
-        for a, b in zip(edges, np.append(edges[1:], len(doc)), strict=True):
+        for a, b in zip(edges, np.append(edges, len(doc))[1:], strict=True):  # none where nothing was hit
             i, d = item[entry[a]], doc[a]
             if bounds[d + 1] - bounds[d] < need[i]:  # length bound
                 continue
