@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symgrove.functions.text import member_name, super_method
-from symgrove.plans.iterate import connected
+from symgrove.plans.iterate import connected, cut
 
 MRO = "class_id string, pos int, ancestor_id string"
 
@@ -76,6 +76,7 @@ def c3_mro(parents: DataFrame) -> DataFrame:
     Each connected hierarchy is one group.  A class without a consistent order
     has no rows, nor have those that inherit from it.
     """
+    parents = cut(parents)
     comp = connected(parents.select(F.col("class_id").alias("a"), F.col("parent_id").alias("b")))
     return parents.join(comp, parents["class_id"] == comp["id"]).select("component", "class_id", "parent_id", "ord").groupBy("component").applyInPandas(_component, MRO)
 

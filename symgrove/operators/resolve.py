@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from symgrove import schema
 from symgrove.functions.text import normal_path, without_script_extension
-from symgrove.plans.iterate import union
+from symgrove.plans.iterate import cut, union
 
 _HOOKS = "Callback Context DebugValue Effect ImperativeHandle LayoutEffect Memo Reducer Ref State"
 EXTERNAL_NAMES = sorted(
@@ -213,8 +213,8 @@ def resolve_edges(raw: DataFrame, nodes: DataFrame, aliases: list[tuple[str, str
     ``super_targets`` gets (raw edges, nodes, structural edges) and returns
     (raw_id, target_id).
     """
-    structural = union([resolve_by_id(raw, nodes), resolve_imports(raw, nodes, aliases), resolve_types(raw, nodes), resolve_fetches(raw, nodes.filter("kind = 'Route'").select("id", "name"))])
-    calls = resolve_calls(raw, nodes, super_targets(raw, nodes, structural) if super_targets else None)
+    structural = cut(union([resolve_by_id(raw, nodes), resolve_imports(raw, nodes, aliases), resolve_types(raw, nodes), resolve_fetches(raw, nodes.filter("kind = 'Route'").select("id", "name"))]))
+    calls = cut(resolve_calls(raw, nodes, cut(super_targets(raw, nodes, structural)) if super_targets else None))
     edges = structural.unionByName(calls).drop("raw_id")
     return dedup_edges(edges.unionByName(http_bridge(edges)))
 

@@ -96,8 +96,8 @@ def file_based_routes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def build_graph(nodes: DataFrame, raw: DataFrame, aliases: list[tuple[str, str]] = ()) -> Graph:
     """Resolved edges and traced processes of extracted symbols."""
     more_nodes, more_raw = file_based_routes(nodes)
-    nodes = nodes.unionByName(more_nodes)
-    edges = cut(resolve.resolve_edges(raw.unionByName(more_raw), nodes, aliases, mro.super_targets))
+    nodes, raw = cut(nodes.unionByName(more_nodes)), cut(raw.unionByName(more_raw))
+    edges = cut(resolve.resolve_edges(raw, nodes, aliases, mro.super_targets))
     g = Graph(nodes, edges)
     steps = processes.trace(g, processes.entry_points(g).select("id", "label"))
     p_nodes, p_edges = processes.process_graph(steps, nodes)
