@@ -83,7 +83,7 @@ def path_targets(raw: DataFrame, files: DataFrame, module: str = "target_module"
 
 def path_aliases(config: str, root: str = "") -> list[tuple[str, str]]:
     """(prefix, folder) in file order from the text of a tsconfig.json or jsconfig.json."""
-    no_comments = re.sub(r"^\s*//.*$", "", config, flags=re.M)
+    no_comments = re.sub(r"(^|\s)//.*$", r"\1", config, flags=re.M)
     try:
         options = json.loads(re.sub(r",(\s*[}\]])", r"\1", no_comments)).get("compilerOptions", {})
     except (ValueError, AttributeError):
