@@ -12,12 +12,14 @@ same definition as a regular expression for RE2 dialects.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_RE_SQL = r"[0-9a-z\x{C0}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{10FFFF}]+"
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -70,6 +72,19 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Give freed memory back to the system, which workers that are used again would keep."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(column: pa.Array, max_bytes: int = SLICE_BYTES):
     """(first, last) row ranges of at most ``max_bytes`` of text, or one row."""
     _, offs = buffers(column)
@@ -79,6 +94,7 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES):
         hi = min(max(hi, lo + 1), n)
         yield lo, hi
         lo = hi
+    release()
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
