@@ -41,7 +41,6 @@ documents of their own.  Other columns are not read.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -58,7 +57,8 @@ GROWTH = 8
 
 ANCHORS = "uid long, pos int, anchor long, before long"
 STRETCH = "anchor long, part long, uid long, doc_id long, pos int, back long, reach int, depth int, n_words int, words binary"
-FOUND = "anchor long, part long, uid long, depth int, doc_ids array<long>, positions array<int>, uids array<long>, repeats array<struct<lo:int,hi:int,n_words:int>>, open boolean"
+CONTINUED = "anchor long, uid long, doc_id long, n_words int, suffixes array<struct<part:long,pos:int,depth:int,left:long>>, words binary"
+FOUND = "anchor long, part long, depth int, doc_ids array<long>, positions array<int>, uids array<long>, repeats array<struct<lo:int,hi:int,n_words:int>>, open boolean"
 RESULT = ["doc_ids", "positions", "repeats"]
 
 
@@ -157,12 +157,16 @@ _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()
 _NAMES = [x.split()[0] for x in STRETCH.split(", ")]
 
 
+_SUFFIX = pa.struct([("part", pa.int64()), ("pos", pa.int32()), ("depth", pa.int32()), ("left", pa.int64())])
+_MORE = [("anchor", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int32()), ("suffixes", pa.list_(_SUFFIX)), ("words", pa.binary())]
+
+
 def _batch(columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], _NAMES)
 
 
 def _continuations(reach: int):
-    """Later rounds: the next words of each open suffix of a document."""
+    """Later rounds: the next words from each place where suffixes of a document are open."""
 
     def run(batches):
         for batch in batches:
@@ -172,16 +176,16 @@ def _continuations(reach: int):
             for lo, hi in tk.slices(texts):
                 h, first = _words_of(texts[lo:hi])
                 short = (h >> np.uint64(32)).astype(np.uint32)
-                out: list[list] = [[] for _ in range(10)]
+                out: list[list] = [[] for _ in _MORE]
                 for r, todo in enumerate(lists.slice(lo, hi - lo).to_pylist()):
-                    n = int(first[r + 1] - first[r])
+                    base, stop = int(first[r]), int(first[r + 1])
                     for x in todo:
-                        begin = int(first[r]) + x["pos"] + x["depth"]
-                        left = int(short[first[r] + x["pos"] - 1]) if x["pos"] else -1
-                        values = (x["anchor"], x["part"], int(uids[lo + r]), int(ids[lo + r]), x["pos"], left, 0, x["depth"], n, short[begin : min(begin + reach, int(first[r + 1]))].tobytes())
+                        for y in x["s"]:
+                            y["left"] = int(short[base + y["pos"] - 1]) if y["pos"] else -1
+                        values = (x["anchor"], int(uids[lo + r]), int(ids[lo + r]), stop - base, x["s"], short[base + x["end"] : min(base + x["end"] + reach, stop)].tobytes())
                         for c, v in zip(out, values, strict=True):
                             c.append(v)
-                yield _batch(out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, _MORE, strict=True)], [n for n, _ in _MORE])
 
     return run
 
@@ -207,102 +211,182 @@ def intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
 
 #: Common-prefix length of suffixes that the words at hand don't tell apart.
 OPEN = 1 << 30
+_CELLS = 1 << 22
+
+
+def _common(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Common-prefix lengths of neighbours among the stretches of ``flat``; 0 for the first."""
+    n, out = len(begin), np.zeros(len(begin), np.int64)
+    m = np.minimum(size[1:], size[:-1])
+    step = max(1, _CELLS // max(1, int(m.max(initial=0))))
+    for lo in range(0, n - 1, step):
+        part = m[lo : lo + step]
+        col = np.arange(int(part.max(initial=0)))
+        x = begin[lo + 1 : lo + 1 + len(part), None] + col
+        y = begin[lo : lo + len(part), None] + col
+        last = len(flat) - 1
+        differ = (flat[np.minimum(x, last)] != flat[np.minimum(y, last)]) | (col >= part[:, None])
+        out[lo + 1 : lo + 1 + len(part)] = np.where(differ.any(axis=1), differ.argmax(axis=1), part) if len(col) else 0
+    return out
 
 
-def tree(words: list[np.ndarray], more: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, int, int]], list[tuple[int, int]]]:
+def tree(flat: np.ndarray, code: bytes, begin: np.ndarray, size: np.ndarray, more: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, int, int]], list[tuple[int, int]]]:
     """(order, maximal repeats, open runs) of suffixes that share ``depth`` words already.
 
-    ``more`` says whose text goes on beyond the words given; ``left`` has the
-    word before each suffix, a negative number of its own for a text's start.
+    A suffix goes on with ``size`` words of ``flat`` from ``begin``; ``code``
+    is ``flat`` as bytes that sort like it.  ``more`` says whose text goes on
+    beyond them; ``left`` has the word before each suffix, a negative number of
+    its own for a text's start.
     """
-    keys = [x.astype(">u4").tobytes() for x in words]
+    keys = [code[4 * a : 4 * (a + n)] for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
     order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
-    n = len(order)
-    lcp = np.zeros(n, np.int64)
-    for i in range(1, n):
-        a, b = keys[order[i - 1]], keys[order[i]]
-        if a == b:
-            lcp[i] = len(a) // 4
-            continue
-        x, y = words[order[i - 1]], words[order[i]]
-        m = min(len(x), len(y))
-        differ = x[:m] != y[:m]
-        j = int(differ.argmax()) if m else 0
-        lcp[i] = j if m and differ[j] else m
+    n, size, more = len(order), size[order], more[order]
+    lcp = _common(flat, begin[order], size)
     # runs of equal words of which two or more go on stay one leaf
-    runs = []
-    same = np.array([i > 0 and keys[order[i]] == keys[order[i - 1]] for i in range(n)])
+    same = np.zeros(n, bool)
+    same[1:] = (size[1:] == size[:-1]) & (lcp[1:] == size[1:])
     edges = np.flatnonzero(~same)
-    for lo, hi in zip(edges.tolist(), (np.append(edges, n)[1:] - 1).tolist(), strict=True):
-        if hi > lo and more[order[lo : hi + 1]].sum() > 1:
-            runs.append((lo, hi))
-            lcp[lo + 1 : hi + 1] = OPEN
+    until = np.append(edges, n)[1:] - 1
+    going = np.add.reduceat(more.astype(np.int64), edges)
     change = np.concatenate([[0], np.cumsum(left[order][1:] != left[order][:-1])])
-    found = [(lo, hi, length + depth) for lo, hi, length in intervals(lcp + 1, 1) if change[hi] > change[lo]]
-    found = [(lo, hi, length - 1) for lo, hi, length in found if length - 1 - depth < OPEN - 1]
+    runs = []
+    for i in np.flatnonzero((going > 1) & (until > edges)):
+        lo, hi = int(edges[i]), int(until[i])
+        lcp[lo + 1 : hi + 1] = OPEN
+        if change[hi] > change[lo]:
+            runs.append((lo, hi))
+    found = [(lo, hi, length - 1 + depth) for lo, hi, length in intervals(lcp + 1, 1) if length <= OPEN and change[hi] > change[lo]]
     found.sort(key=lambda r: (r[0] - r[1], r[0]))
-    return order, found, [(lo, hi) for lo, hi in runs if change[hi] > change[lo]]
+    return order, found, runs
 
 
-def _grow(groups, anchor: int) -> pd.DataFrame:
-    """Result rows and open rows of (doc_id, uid, pos, words, more, left, depth) groups."""
-    rows = []
-    for part, (ids, uids, pos, words, more, left, depth) in enumerate(groups):
-        order, found, runs = tree(words, more, left, depth)
+class _Rows:
+    """Result rows and open rows of the groups of a partition."""
+
+    def __init__(self):
+        self.columns: list[list] = [[] for _ in range(8)]
+
+    def add(self, key: tuple[int, int], n: int, ids, uids, pos, grown, flat_size, depth: int) -> None:
+        order, found, runs = grown
         if found:
-            rows.append((anchor, part, 0, depth, ids[order], pos[order].astype(np.int32), uids[order], [dict(zip(("lo", "hi", "n_words"), x, strict=True)) for x in found], False))
+            self._row(key[0], key[1], depth, ids[order], pos[order], uids[order], [dict(zip(("lo", "hi", "n_words"), x, strict=True)) for x in found], False)
         for lo, hi in runs:
             o = order[lo : hi + 1]
-            deeper = depth + len(words[o[0]])
-            rows.append((anchor, int(tk.mix(np.array([(part << 24) + lo], np.uint64))[0] >> np.uint64(1)), 0, deeper, ids[o], pos[o].astype(np.int32), uids[o], [], True))
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in ("anchor", "part", "uid", "depth", "doc_ids", "positions", "uids", "repeats", "open")])
-
-
-def _bucket(min_words: int, k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The groups of one anchor value: suffixes that share their first words."""
-        pdf = pdf.drop_duplicates(["uid", "pos"]).sort_values(["doc_id", "uid", "pos"])
-        words = [np.frombuffer(x, np.uint32) for x in pdf["words"]]
-        back, reach, pos, n = (pdf[c].to_numpy(np.int64) for c in ("back", "reach", "pos", "n_words"))
-        of = np.repeat(np.arange(len(pdf)), reach)
-        off = back[of] - (np.arange(len(of)) - np.repeat(np.cumsum(reach) - reach, reach))  # words from the suffix's start to the anchor
-        start = pos[of] - off
-        begin = np.maximum(pos - back - 1, 0)  # position of the first word sent
-        flat = np.concatenate(words).astype(np.uint64)
-        base = np.cumsum([len(x) for x in words]) - [len(x) for x in words]
-        at = base[of] + start - begin[of]
-        p, inv = tk._power_tables(len(flat))
-        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat + np.uint64(1)) * p[: len(flat)], dtype=np.uint64)])
-        sh = tk.mix((upto[at + min_words] - upto[at]) * inv[at])
-        left = np.where(start > 0, flat[np.maximum(at - 1, 0)].astype(np.int64), -1 - np.arange(len(of)))
-        key = np.lexsort((start, of, sh))
-        edges = np.flatnonzero(np.diff(sh[key], prepend=sh[key[:1]] + np.uint64(1)))
-        ids, uids = pdf["doc_id"].to_numpy(np.int64), pdf["uid"].to_numpy(np.int64)
-        groups = []
-        for lo, hi in zip(edges, np.append(edges, len(key))[1:], strict=True):
-            o = key[lo:hi]
-            if len(o) < 2 or (left[o] == left[o[0]]).all():
-                continue
-            got = [words[of[i]][start[i] - begin[of[i]] + min_words :] for i in o]
-            more = np.array([start[i] + min_words + len(x) < n[of[i]] for i, x in zip(o, got, strict=True)])
-            groups.append((ids[of[o]], uids[of[o]], start[o], got, more, left[o], min_words))
-        return _grow(groups, int(pdf["anchor"].iloc[0]))
+            part = int(tk.mix(np.array([key[1] & ((1 << 63) - 1)], np.uint64) + tk.mix(np.array([(n << 32) + lo], np.uint64)))[0] >> np.uint64(1))
+            self._row(key[0], part, depth + int(flat_size[o[0]]), ids[o], pos[o], uids[o], [], True)
+
+    def _row(self, *values) -> None:
+        for c, v in zip(self.columns, values, strict=True):
+            c.append(v)
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("n_words", pa.int32())])), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.columns, kinds, strict=True)], [x.split()[0] for x in FOUND.replace("<lo:int,hi:int,n_words:int>", "").split(", ")])
+
+
+def _whole_groups(batches, keys: list[str], rows: int = 1 << 14):
+    """Tables of a partition sorted by ``keys`` that end where a group ends."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) < rows:
+            continue
+        t = pa.concat_tables(held)
+        same = np.ones(t.num_rows, bool)
+        for k in keys:
+            c = t[k].to_numpy()
+            same &= c == c[-1]
+        first = int(same.argmax())  # the last group may go on in the next batch
+        if first:
+            yield t.slice(0, first)
+        held = [t.slice(first)]
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _flat_words(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of all rows, first of each row, number in each row)."""
+    w = t["words"].combine_chunks()
+    w = w.chunk(0) if isinstance(w, pa.ChunkedArray) else w
+    offs = np.frombuffer(w.buffers()[1], np.int32)[w.offset : w.offset + len(w) + 1].astype(np.int64)
+    raw = w.buffers()[2]
+    flat = np.frombuffer(raw, np.uint8)[offs[0] : offs[-1]].copy().view(np.uint32) if raw is not None else np.zeros(0, np.uint32)
+    return flat, (offs[:-1] - offs[0]) // 4, np.diff(offs) // 4
+
+
+def _in_order(c: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
+    """Rows by keys, then document and place, without repeats."""
+    order = np.lexsort((c["pos"], c["uid"], c["doc_id"], *[c[k] for k in reversed(keys)]))
+    keep = np.zeros(len(order), bool)
+    for k in [*keys, "uid", "pos"]:
+        keep |= np.diff(c[k][order], prepend=c[k][order[:1]] - 1) != 0
+    return order[keep]
+
+
+def _buckets(min_words: int):
+    def run(batches):
+        """Groups of suffixes that share their first words, from anchors' buckets in order."""
+        for t in _whole_groups(batches, ["anchor"]):
+            flat, base, size = _flat_words(t)
+            c = {x: t[x].to_numpy().astype(np.int64) for x in _NAMES if x != "words"}
+            order = _in_order(c, ["anchor"])
+            c, base, size = {k: v[order] for k, v in c.items()}, base[order], size[order]
+            code = flat.astype(">u4").tobytes()
+            back, reach, pos = c["back"], c["reach"], c["pos"]
+            of = np.repeat(np.arange(len(pos)), reach)
+            off = back[of] - (np.arange(len(of)) - np.repeat(np.cumsum(reach) - reach, reach))  # words from the suffix's start to the anchor
+            start = pos[of] - off
+            at = base[of] + start - np.maximum(pos - back - 1, 0)[of]
+            p, inv = tk._power_tables(len(flat))
+            upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * p[: len(flat)], dtype=np.uint64)])
+            sh = tk.mix((upto[at + min_words] - upto[at]) * inv[at])
+            left = np.where(start > 0, flat[np.maximum(at - 1, 0)].astype(np.int64), -1 - np.arange(len(of)))
+            key = np.lexsort((start, of, sh, c["anchor"][of]))
+            of, start, at, left, sh = of[key], start[key], at[key], left[key], sh[key]
+            anchor = c["anchor"][of]
+            new = np.ones(len(key), bool)
+            new[1:] = (sh[1:] != sh[:-1]) | (anchor[1:] != anchor[:-1])
+            edges = np.flatnonzero(new)
+            diverse = np.add.reduceat((left != left[edges][np.cumsum(new) - 1]).astype(np.int64), edges) > 0
+            until = np.append(edges, len(key))[1:]
+            rows = _Rows()
+            begin = at + min_words
+            sizes = base[of] + size[of] - begin
+            more = start + min_words + sizes < c["n_words"][of]
+            for lo, hi in zip(edges[diverse].tolist(), until[diverse].tolist(), strict=True):
+                s = slice(lo, hi)
+                rows.add((int(anchor[lo]), int(sh[lo] >> np.uint64(1))), 0, c["doc_id"][of[s]], c["uid"][of[s]], start[s], tree(flat, code, begin[s], sizes[s], more[s], left[s], min_words), sizes[s], min_words)
+            yield rows.batch()
 
     return run
 
 
-def _next(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One open group with its next words."""
-    pdf = pdf.drop_duplicates(["uid", "pos"]).sort_values(["doc_id", "uid", "pos"])
-    words = [np.frombuffer(x, np.uint32) for x in pdf["words"]]
-    depth = int(pdf["depth"].iloc[0])
-    left = pdf["back"].to_numpy(np.int64) & 0xFFFFFFFF
-    start = pdf["pos"].to_numpy(np.int64)
-    left = np.where(start > 0, left, -1 - np.arange(len(pdf)))
-    more = start + depth + np.array([len(x) for x in words]) < pdf["n_words"].to_numpy(np.int64)
-    out = _grow([(pdf["doc_id"].to_numpy(np.int64), pdf["uid"].to_numpy(np.int64), start, words, more, left, depth)], int(pdf["anchor"].iloc[0]))
-    out["part"] = [int(tk.mix(np.array([int(pdf["part"].iloc[0]) + i + 1], np.uint64))[0] >> np.uint64(1)) for i in range(len(out))]
-    return out
+def _next(batches):
+    """Open groups with their next words, from anchors' buckets in order."""
+    for t in _whole_groups(batches, ["anchor"], 1 << 10):
+        flat, begin, size = _flat_words(t)
+        code = flat.astype(">u4").tobytes()
+        lists = t["suffixes"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        of = np.repeat(np.arange(len(size)), np.diff(lists.offsets.to_numpy()))
+        inner = lists.flatten()
+        c = {x: t[x].to_numpy().astype(np.int64)[of] for x in ("anchor", "uid", "doc_id", "n_words")} | {x: inner.field(x).to_numpy().astype(np.int64) for x in ("part", "pos", "depth", "left")}
+        order = _in_order(c, ["anchor", "part"])
+        c, begin, size = {k: v[order] for k, v in c.items()}, begin[of[order]], size[of[order]]
+        start = c["pos"]
+        left = np.where(start > 0, c["left"], -1 - np.arange(len(start)))
+        more = start + c["depth"] + size < c["n_words"]
+        new = np.ones(len(start), bool)
+        new[1:] = (c["anchor"][1:] != c["anchor"][:-1]) | (c["part"][1:] != c["part"][:-1])
+        edges = np.flatnonzero(new)
+        rows = _Rows()
+        for lo, hi in zip(edges.tolist(), np.append(edges, len(start))[1:].tolist(), strict=True):
+            s = slice(lo, hi)
+            depth = int(c["depth"][lo])
+            rows.add((int(c["anchor"][lo]), int(c["part"][lo])), 1, c["doc_id"][s], c["uid"][s], start[s], tree(flat, code, begin[s], size[s], more[s], left[s], depth), size[s], depth)
+        yield rows.batch()
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR, reach: int = REACH) -> DataFrame:
@@ -312,7 +396,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCH
     diverse = every.groupBy("anchor").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("*").alias("n")).filter("n > 1 AND lo <> hi").select("anchor")
     wanted = every.join(diverse, "anchor").groupBy("uid").agg(F.array_distinct(F.collect_list("pos")).alias("at"))
     stretches = src.join(wanted, "uid").select("uid", "doc_id", "text", "at").mapInArrow(_stretches(min_words, k, reach), STRETCH)
-    level = cut(stretches.groupBy("anchor").applyInPandas(_bucket(min_words, k), FOUND))
+    level = cut(stretches.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_buckets(min_words), FOUND))
     done = []
     while True:
         done.append(level.filter("NOT open").select(*RESULT))
@@ -320,10 +404,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCH
         if left_over.isEmpty():
             break
         reach *= GROWTH
-        todo = left_over.select("anchor", "part", "depth", F.explode(F.arrays_zip("uids", "positions")).alias("x")).select(F.col("x.uids").alias("uid"), F.struct("anchor", "part", F.col("x.positions").alias("pos"), "depth").alias("t"))
-        todo = todo.groupBy("uid").agg(F.array_distinct(F.collect_list("t")).alias("at"))
-        more = src.join(todo, "uid").select("uid", "doc_id", "text", "at").mapInArrow(_continuations(reach), STRETCH)
-        level = cut(more.groupBy("anchor", "part").applyInPandas(_next, FOUND))
+        # the suffixes of a bucket that are open in a document mostly end at one place: its next words are sent once
+        todo = left_over.select("anchor", "part", "depth", F.explode(F.arrays_zip("uids", "positions")).alias("x"))
+        todo = todo.select(F.col("x.uids").alias("uid"), "anchor", (F.col("x.positions") + F.col("depth")).alias("end"), F.struct("part", F.col("x.positions").alias("pos"), "depth").alias("s"))
+        todo = todo.groupBy("uid", "anchor", "end").agg(F.collect_set("s").alias("s")).groupBy("uid").agg(F.collect_list(F.struct("anchor", "end", "s")).alias("at"))
+        more = src.join(todo, "uid").select("uid", "doc_id", "text", "at").mapInArrow(_continuations(reach), CONTINUED)
+        level = cut(more.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_next, FOUND))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
