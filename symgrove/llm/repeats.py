@@ -53,7 +53,7 @@ MIN_WORDS = 50
 ANCHOR = 16
 #: Words sent after an anchor in the first round, and the factor from round to round.
 REACH = 128
-GROWTH = 8
+GROWTH = 4
 
 ANCHORS = "uid long, pos int, anchor long, before long"
 STRETCH = "anchor long, part long, uid long, doc_id long, pos int, back long, reach int, depth int, n_words int, words binary"
@@ -211,7 +211,7 @@ def intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
 
 #: Common-prefix length of suffixes that the words at hand don't tell apart.
 OPEN = 1 << 30
-_CELLS = 1 << 22
+_CELLS = 1 << 20
 
 
 def _common(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -328,7 +328,7 @@ def _in_order(c: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
 def _buckets(min_words: int):
     def run(batches):
         """Groups of suffixes that share their first words, from anchors' buckets in order."""
-        for t in _whole_groups(batches, ["anchor"]):
+        for t in _whole_groups(batches, ["anchor"], 1 << 13):
             flat, base, size = _flat_words(t)
             c = {x: t[x].to_numpy().astype(np.int64) for x in _NAMES if x != "words"}
             order = _in_order(c, ["anchor"])
@@ -359,13 +359,15 @@ def _buckets(min_words: int):
                 s = slice(lo, hi)
                 rows.add((int(anchor[lo]), int(sh[lo] >> np.uint64(1))), 0, c["doc_id"][of[s]], c["uid"][of[s]], start[s], tree(flat, code, begin[s], sizes[s], more[s], left[s], min_words), sizes[s], min_words)
             yield rows.batch()
+            del rows, flat, code
+            tk.release()
 
     return run
 
 
 def _next(batches):
     """Open groups with their next words, from anchors' buckets in order."""
-    for t in _whole_groups(batches, ["anchor"], 1 << 10):
+    for t in _whole_groups(batches, ["anchor"], 1 << 11):
         flat, begin, size = _flat_words(t)
         code = flat.astype(">u4").tobytes()
         lists = t["suffixes"].combine_chunks()
@@ -387,6 +389,8 @@ def _next(batches):
             depth = int(c["depth"][lo])
             rows.add((int(c["anchor"][lo]), int(c["part"][lo])), 1, c["doc_id"][s], c["uid"][s], start[s], tree(flat, code, begin[s], size[s], more[s], left[s], depth), size[s], depth)
         yield rows.batch()
+        del rows, flat, code, inner, lists
+        tk.release()
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR, reach: int = REACH) -> DataFrame:
