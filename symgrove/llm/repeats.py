@@ -399,7 +399,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCH
     every = cut(anchors(docs, min_words, k))
     diverse = every.groupBy("anchor").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("*").alias("n")).filter("n > 1 AND lo <> hi").select("anchor")
     wanted = every.join(diverse, "anchor").groupBy("uid").agg(F.array_distinct(F.collect_list("pos")).alias("at"))
-    stretches = src.join(wanted, "uid").select("uid", "doc_id", "text", "at").mapInArrow(_stretches(min_words, k, reach), STRETCH)
+    listed = cut(src.join(wanted, "uid").select("uid", "doc_id", "text", "at"))
+    src = listed.drop("at")  # no other text can be open later, so none other is moved again
+    stretches = listed.mapInArrow(_stretches(min_words, k, reach), STRETCH)
     level = cut(stretches.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_buckets(min_words), FOUND))
     done = []
     while True:
