@@ -13,9 +13,16 @@
    until no new one turns up.
 5. *Verify.*  Pairs count if their cosine in double precision is at least
    ``min_cosine``.
-6. *Audit.*  ``AUDIT`` vectors are compared with all others.  While the share
-   of their pairs that was found is under ``RECALL``, the breadth is doubled,
-   and the overlap raised by one, and the search repeated.
+6. *Audit.*  Vectors in random order are compared with all others, until their
+   pairs are worth ``PAIRS`` independent ones or all vectors are compared.  In
+   the second case these are all pairs, and the result.  Else, while the lower
+   confidence bound of the share of their pairs that was found is under
+   ``RECALL``, the breadth is doubled, and the overlap raised by one, and the
+   search repeated; where nothing is left to raise, all vectors are compared.
+
+A vector starts with half as many shards as the pivots have binary digits,
+``OVERLAP`` at least, since near vectors share their nearest pivots the less
+often the more pivots there are.
 
 Equal vectors are one node with all their ids, so copies cost no search.
 
@@ -27,6 +34,8 @@ paired with itself.  Other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -45,8 +54,13 @@ RANDOM = 12
 ALPHA = 1.2
 BREADTH = 24
 AUDIT = 200
+#: Vectors that the audit compares in one pass at most; this bounds what is broadcast.
+AUDIT_PASS = 4096
+PAIRS = 400
 RECALL = 0.95
+Z = 1.645
 _CHUNK = 256
+_ROWS = 1024
 _FANOUT = 4
 
 
@@ -215,46 +229,91 @@ def _searched(min_cosine: float, breadth: int):
     return run
 
 
-def audit(points: DataFrame, found: DataFrame, min_cosine: float = MIN_COSINE, sample: int = AUDIT) -> float:
-    """The share of a sample's pairs, by comparison with all vectors, that is in ``found``."""
-    rows = points.orderBy(F.xxhash64("node", F.lit("audit")), "node").limit(sample).select("node", "vec").toPandas()
-    if not len(rows):
-        return 1.0
+def compared(points: DataFrame, lo: float, hi: float, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """(x, y, cosine): all near vectors y of the vectors x whose random number is in [lo, hi)."""
+    draw = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rows = points.filter((draw >= lo) & (draw < hi)).select("node", "vec").toPandas()
     shared = points.sparkSession.sparkContext.broadcast({d: (g["node"].to_numpy(np.int64), _unit(g["vec"])) for d, g in rows.groupby(rows["vec"].map(len))})
 
     def run(batches):
-        for batch in batches:
-            dims = np.diff(batch.column("vec").offsets.to_numpy())
-            for dim in np.unique(dims):
-                if int(dim) not in shared.value:
-                    continue
-                names, v = shared.value[int(dim)]
-                part = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                own = part.column("node").to_numpy()
-                i, j = np.nonzero(_unit(part.column("vec")) @ v.T >= min_cosine)
-                x, y = own[i], names[j]
-                ok = x != y
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok])], ["a", "b"])
-
-    true = points.select("node", "vec").mapInArrow(run, "a long, b long").distinct().join(found.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
-    r = true.agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
-    return r["hits"] / r["n"] if r["n"] else 1.0
-
-
-def near_duplicates(embeddings: DataFrame, min_cosine: float = MIN_COSINE, shard: int = SHARD, overlap: int = OVERLAP, breadth: int = BREADTH, recall: float = RECALL) -> DataFrame:
+        for whole in batches:
+            for at in range(0, len(whole), _ROWS):
+                batch = whole.slice(at, _ROWS)
+                dims = np.diff(batch.column("vec").offsets.to_numpy())
+                for dim in np.unique(dims):
+                    if int(dim) not in shared.value:
+                        continue
+                    names, v = shared.value[int(dim)]
+                    part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                    own = part.column("node").to_numpy()
+                    cosine = _unit(part.column("vec")) @ v.T
+                    i, j = np.nonzero(cosine >= min_cosine)
+                    ok = own[i] != names[j]
+                    i, j = i[ok], j[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[j]), pa.array(own[i]), pa.array(cosine[i, j])], ["x", "y", "cosine"])
+
+    return points.select("node", "vec").mapInArrow(run, "x long, y long, cosine double")
+
+
+def audit(points: DataFrame, n: int, min_cosine: float = MIN_COSINE, enough: float = PAIRS) -> tuple[DataFrame, float, bool]:
+    """compared() of as many vectors as it takes, what their pairs are worth, and whether these are all vectors.
+
+    Pairs of one vector are found or missed together, so that the worth is
+    Kish's effective number: (sum of pairs)^2 / sum of (pairs of a vector)^2.
+    """
+    out, upto, pairs, squares = None, 0.0, 0, 0
+    step = AUDIT
+    while True:
+        last = upto * n + step >= n
+        hi = 1.0 if last else upto + step / n
+        part = cut(compared(points, upto, hi, min_cosine))
+        r = part.groupBy("x").count().agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q")).first()
+        out, upto = part if out is None else out.unionByName(part), hi
+        pairs, squares = pairs + (r["n"] or 0), squares + (r["q"] or 0)
+        worth = pairs * pairs / squares if squares else 0.0
+        if last or worth >= enough:
+            return out, worth, last
+        done = upto * n
+        step = min(AUDIT_PASS, max(done, 1.2 * done * (enough / worth - 1) if worth and enough < math.inf else 0))
+
+
+def lower_bound(share: float, worth: float, z: float = Z) -> float:
+    """Wilson's lower confidence bound (95 %, one-sided) of a share of ``worth`` independent draws."""
+    if not worth:
+        return 0.0
+    return (share + z * z / (2 * worth) - z * math.sqrt(share * (1 - share) / worth + z * z / (4 * worth * worth))) / (1 + z * z / worth)
+
+
+def found_share(true: DataFrame, found: DataFrame) -> float:
+    """The share of the pairs of compared() that is in ``found``."""
+    pairs = true.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    r = pairs.join(found.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
+    return r["hits"] / r["n"] if r["n"] else 0.0
+
+
+def starting_overlap(n: int, shard: int = SHARD, overlap: int = OVERLAP) -> int:
+    """Nearest pivots whose shards a vector joins at first."""
+    return max(overlap, math.ceil(math.log2(max(1, -(-n // shard))) / 2))
+
+
+def near_duplicates(embeddings: DataFrame, min_cosine: float = MIN_COSINE, shard: int = SHARD, overlap: int = OVERLAP, breadth: int = BREADTH, recall: float = RECALL, enough: float = PAIRS) -> DataFrame:
     """(vec_id, near_id, cosine) of all pairs vec_id < near_id of near duplicates."""
     points = cut(nodes(embeddings))
     n = points.count()
-    while True:
+    overlap = starting_overlap(n, shard, overlap)
+    true, worth, everything = audit(points, n, min_cosine, enough)
+    while not everything:
         cells = cut(assign(points, shard, overlap))
         lists = cells.groupBy("shard").applyInPandas(_built(DEGREE, ALPHA), "node long, near_nodes array<long>")
         united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near_nodes"))).alias("near_nodes"))
         graph = cells.join(united, "node").select("shard", "node", "vec", "near_nodes")
         found = cut(graph.groupBy("shard").applyInPandas(_searched(min_cosine, breadth), "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
-        if audit(points, found, min_cosine) >= recall or breadth >= n and overlap * shard >= n:
-            break
+        if lower_bound(found_share(true, found), worth) >= recall:
+            return _pairs(points, found)
+        if breadth >= n and overlap * shard >= n:
+            true, worth, everything = audit(points, n, min_cosine, math.inf)
         breadth, overlap = breadth * 2, overlap + 1
-    return _pairs(points, found)
+    return _pairs(points, true.filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), "cosine"))
 
 
 def _pairs(points: DataFrame, found: DataFrame) -> DataFrame:

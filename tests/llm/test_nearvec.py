@@ -37,3 +37,41 @@ def test_search_reaches_its_range():
     q, f = nearvec.search(v, nearvec.build(v), np.arange(400), 0.8, 24)
     want = v @ v.T >= 0.8
     assert want[q, f].all() and len(q) >= 0.97 * want.sum()
+
+
+def test_rare_pairs_are_not_accepted_on_a_small_audit(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(3000, 48))
+    near = base[:5] + rng.normal(size=(5, 48)) * 0.42  # about 0.92; an audit of 200 vectors meets none of them
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([*base, *near])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, nearvec.MIN_COSINE)
+    assert len(want) == 4
+    got = {(r[0], r[1]) for r in nearvec.near_duplicates(df, shard=30, overlap=1).collect()}
+    assert got == want
+
+
+def test_search_under_a_sampled_audit(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 16))
+    rows = [(i, [float(x) for x in base[i % 60] + rng.normal(size=16) * 0.05]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    points = nearvec.nodes(df)
+    true, worth, everything = nearvec.audit(points, 1500, enough=100)
+    assert not everything and worth >= 100
+    want = brute(rows, nearvec.MIN_COSINE)
+    assert {(min(r[0], r[1]), max(r[0], r[1])) for r in true.select("x", "y").collect()} < {(min(a, b), max(a, b)) for a, b in _nodes(points, want)}
+    got = {(r[0], r[1]) for r in nearvec.near_duplicates(df, shard=300, enough=100).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def _nodes(points, pairs):
+    of = {i: r["node"] for r in points.select("node", "ids").collect() for i in r["ids"]}
+    return {(of[a], of[b]) for a, b in pairs}
+
+
+def test_lower_bound_and_starting_overlap():
+    assert nearvec.lower_bound(1.0, 0) == 0.0
+    assert nearvec.lower_bound(1.0, 20) < 0.95 < nearvec.lower_bound(1.0, 400)
+    assert nearvec.lower_bound(0.95, 400) < 0.95
+    assert [nearvec.starting_overlap(p * nearvec.SHARD) for p in (1, 10, 49, 195, 3125)] == [2, 2, 3, 4, 6]
