@@ -5,7 +5,12 @@ labelled documents but every ``HELD_OUT``-th: the highest order has counts, the
 lower ones continuation counts, each with its own absolute discount, down to a
 uniform share for unseen characters.  A model is two sorted arrays of 64-bit
 hashes, of n-grams with their log probabilities and of histories with their
-back-off weights.  A text goes to the language of the lowest cross-entropy per
+back-off weights.  All n-grams count: discounts and continuation counts are
+aggregated in Spark, and the models are cut by the character before the last
+into pieces of about ``PIECE_GRAMS`` 4-grams (one, where they are few; more
+where one character has more).  All that the score of a 4-gram takes, but the
+single characters, is in one piece, so that a pass for each piece gives its
+share of every text's sum.  A text goes to the language of the lowest cross-entropy per
 character, if that is within what the held-out documents of this language and
 of about this length show; else it is rejected.
 
@@ -42,10 +47,10 @@ ORDER = 4
 HELD_OUT = 8
 FALSE_REJECTS = 0.001
 MIN_HELD = 8
-#: n-grams that the model of a language holds at most, the most frequent ones; this bounds what is broadcast.
-MAX_GRAMS = 1 << 21
+#: 4-grams of all languages that are broadcast at once; more of them take more passes.
+PIECE_GRAMS = 1 << 22
 
-SCORES = "doc_id long, label string, held boolean, best string, entropy double, margin double, n_chars long"
+SUMS = "doc_id long, label string, held boolean, key string, n_chars long, sums array<double>"
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,20 +124,29 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(keys: np.ndarray, n: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """(n-gram hashes, log probabilities, history hashes, log weights, log floor), hashes sorted."""
+def discount(n1: float, n2: float) -> float:
+    return n1 / (n1 + 2.0 * n2) if n1 and n2 else 0.5
+
+
+def kneser_ney(keys: np.ndarray, n: np.ndarray, vocabulary: int, single: tuple[np.ndarray, np.ndarray] | None = None, discounts: list[float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """(n-gram hashes, log probabilities, history hashes, log weights, log floor), hashes sorted.
+
+    A piece of a model takes the ``single`` characters with their continuation
+    counts, and the ``discounts`` from single characters up, of the whole.
+    """
     order = np.argsort(keys)
     levels = [(keys[order].astype(np.uint64), n[order].astype(np.float64))]
     for j in range(ORDER - 1, 0, -1):
         short, c = np.unique(levels[-1][0] & np.uint64((1 << (16 * j)) - 1), return_counts=True)
         levels.append((short, c.astype(np.float64)))
+    if single is not None:
+        levels[-1] = single[0].astype(np.uint64), single[1].astype(np.float64)
     all_keys, all_p, all_h, all_w = [], [], [], []
     lower_keys, lower_p = None, None
     floor = 1.0 / vocabulary
     unseen = 0.0
     for i, (k, c) in enumerate(reversed(levels)):
-        n1, n2 = (c == 1).sum(), (c == 2).sum()
-        d = n1 / (n1 + 2.0 * n2) if n1 and n2 else 0.5
+        d = discount((c == 1).sum(), (c == 2).sum()) if discounts is None else discounts[i]
         h = k >> np.uint64(16)
         hist, first, back = np.unique(h, return_index=True, return_inverse=True)
         total = np.bincount(back, c, len(hist))
@@ -159,6 +173,8 @@ def kneser_ney(keys: np.ndarray, n: np.ndarray, vocabulary: int) -> tuple[np.nda
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     h = tk.mix(keys)
     at = np.minimum(np.searchsorted(table, h), len(table) - 1)
     return at, table[at] == h
@@ -180,54 +196,105 @@ def log_probability(model, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, max_grams: int = MAX_GRAMS) -> dict:
-    """The models by language; the driver gets at most ``max_grams`` counts a language."""
-    counts = cut(gram_counts(docs))
-    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    tables = {}
-    for name, size in sorted(sizes.items()):
-        own = counts.filter(F.col("lang") == name).select("gram", "n")
-        got = (own.orderBy(F.desc("n"), "gram").limit(max_grams) if size > max_grams else own).toArrow()
-        tables[name] = got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy()
-    seen = np.unique(np.concatenate([k & np.uint64(0xFFFF) for k, _ in tables.values()])) if tables else []
-    return {name: kneser_ney(k, n, len(seen) + 1) for name, (k, n) in tables.items()}
+def levels(counts: DataFrame) -> list[DataFrame]:
+    """(lang, gram, n) of single characters, pairs, triples and 4-grams: counts of the last, continuation counts of the others."""
+    out = [counts]
+    for j in range(ORDER - 1, 0, -1):
+        out.append(cut(out[-1].groupBy("lang", F.col("gram").bitwiseAND((1 << (16 * j)) - 1).alias("gram")).agg(F.count("*").alias("n"))))
+    return out[::-1]
 
 
-def scores(docs: DataFrame, models: dict) -> DataFrame:
-    """The best language of each document; one pass, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def pieces(counts: DataFrame, piece_grams: int = PIECE_GRAMS) -> tuple[np.ndarray, int]:
+    """(the piece of each character before the last, number of pieces)."""
+    sizes = counts.groupBy(F.shiftright("gram", 16).bitwiseAND(0xFFFF).alias("c")).agg(F.count("*").alias("n")).collect()
+    of, at, full = np.zeros(1 << 16, np.int32), 0, 0
+    for r in sorted(sizes, key=lambda r: r["c"]):
+        if full and full + r["n"] > piece_grams:
+            at, full = at + 1, 0
+        of[r["c"]], full = at, full + r["n"]
+    return of, at + 1
+
+
+def train(docs: DataFrame, piece_grams: int = PIECE_GRAMS):
+    """(languages, the piece of each character, an iterator over the pieces' models by language)."""
+    counts = cut(gram_counts(docs))
+    all_levels = levels(counts)
+    discounts: dict[str, list[float]] = {}
+    for level in all_levels:
+        for r in level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect():
+            discounts.setdefault(r["lang"], []).append(discount(r["n1"], r["n2"]))
+    single = all_levels[0].orderBy("lang", "gram").toPandas()
+    names, vocabulary = sorted(discounts), single["gram"].nunique() + 1
+    of, n = pieces(counts, piece_grams)
+
+    def models(piece: int) -> dict:
+        chars = [int(c) for c in np.flatnonzero(of == piece)]
+        out = {}
+        for name in names:
+            own = counts.filter(F.col("lang") == name).select("gram", "n")
+            if n > 1:
+                wanted = counts.sparkSession.createDataFrame([(c,) for c in chars], "c long")
+                own = own.join(F.broadcast(wanted), F.shiftright("gram", 16).bitwiseAND(0xFFFF) == F.col("c"), "left_semi")
+            got, one = own.toArrow(), single[single["lang"] == name]
+            out[name] = kneser_ney(got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy(), vocabulary, (one["gram"].to_numpy(), one["n"].to_numpy()), discounts[name])
+        return out
+
+    return names, of, (models(i) for i in range(n))
+
+
+def sums(docs: DataFrame, models: dict, of: np.ndarray, piece: int, whole: bool):
+    """(SUMS of each document, the broadcast): log probabilities by language of its 4-grams in one piece; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast((models, of))
 
     def run(batches):
-        known = shared.value
-        names = np.array([*known, None], object)
+        known, where = shared.value
         for batch in batches:
             texts = tk.string_array(batch.column("text"))
             for lo, hi in tk.slices(texts):
                 g, first = grams(texts[lo:hi])
                 distinct, back = np.unique(g, return_inverse=True)
-                n = np.diff(first)
-                ent = np.full((len(known), hi - lo), np.inf)
+                mine = slice(None) if whole else np.flatnonzero(where[((distinct >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)] == piece)
+                total = np.empty((hi - lo, len(known)))
                 for i, m in enumerate(known.values()):
-                    total = np.concatenate([[0.0], np.cumsum(log_probability(m, distinct)[back])])
-                    ent[i] = -(total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
-                nothing = (n == 0) | (not len(known))
-                best = np.where(nothing, len(known), ent.argmin(axis=0) if len(known) else 0)
-                low = np.sort(ent, axis=0)[:2]
-                entropy = low[0] if len(known) else np.zeros(hi - lo)
-                margin = low[1] - low[0] if len(known) > 1 else np.zeros(hi - lo)
+                    p = np.zeros(len(distinct))
+                    p[mine] = log_probability(m, distinct[mine])
+                    upto = np.concatenate([[0.0], np.cumsum(p[back])])
+                    total[:, i] = upto[first[1:]] - upto[first[:-1]]
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("lang"), part.column("held"), pa.array(names[best].tolist(), pa.string()), pa.array(entropy, mask=nothing), pa.array(margin, mask=nothing), pa.array(n)],
-                    [x.split()[0] for x in SCORES.split(", ")],
-                )
-
-    return _source(docs).mapInArrow(run, SCORES)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * len(known)), pa.array(total.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("held"), part.column("key"), pa.array(np.diff(first)), lists], [x.split()[0] for x in SUMS.split(", ")])
+
+    key = F.lit("") if whole else F.md5("text")
+    return _source(docs).withColumn("key", key).mapInArrow(run, SUMS), shared
+
+
+def scores(docs: DataFrame, piece_grams: int = PIECE_GRAMS) -> DataFrame:
+    """(doc_id, label, held, best, entropy, margin, n_chars): the best language of each document."""
+    names, of, models = train(docs, piece_grams)
+    whole = not of.any()
+    have = None
+    for i, model in enumerate(models):
+        own, shared = sums(docs, model, of, i, whole)
+        if not whole:  # the next piece takes the place of this one
+            own = cut(own)
+            shared.unpersist()
+        if have is None:
+            have = own
+        else:
+            more = own.select("key", F.col("sums").alias("more")).groupBy("key").agg(F.first("more").alias("more"))  # equal texts have equal sums
+            have = cut(have.join(more, "key").withColumn("sums", F.zip_with("sums", "more", lambda x, y: x + y)).drop("more"))
+    by = F.transform("sums", lambda x: -x / F.greatest("n_chars", F.lit(1)))
+    low = F.array_sort("by")
+    some = (F.col("n_chars") > 0) & (F.size("sums") > 0)
+    best = F.element_at(F.array(*[F.lit(x) for x in names]).cast("array<string>"), F.array_position("by", F.array_min("by")).cast("int"))
+    margin = F.when(F.size("by") > 1, F.get(low, 1) - F.get(low, 0)).otherwise(0.0)
+    return have.withColumn("by", by).select("doc_id", "label", "held", F.when(some, best).alias("best"), F.when(some, F.array_min("by")).alias("entropy"), F.when(some, margin).alias("margin"), "n_chars")
 
 
-def identify(docs: DataFrame, false_rejects: float = FALSE_REJECTS) -> DataFrame:
+def identify(docs: DataFrame, false_rejects: float = FALSE_REJECTS, piece_grams: int = PIECE_GRAMS) -> DataFrame:
     """(doc_id, language, closest, entropy, margin): language is null where it is rejected."""
     size = F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int")
-    scored = cut(scores(docs, train(docs)).withColumn("size", size))
+    scored = cut(scores(docs, piece_grams).withColumn("size", size))
     sure = scored.filter("held AND label = best").groupBy("best", "size").agg(F.count("*").alias("n"), F.max("entropy").alias("top"), F.stddev_pop("entropy").alias("sd"), F.percentile_approx("entropy", [0.5, 1 - false_rejects], 10000).alias("q"))
     middle = F.col("q")[0]
     limit = F.when(F.col("n") >= MIN_HELD, F.when(F.col("n") * false_rejects < 1, middle + F.greatest(2 * (F.col("top") - middle), 6 * F.col("sd"))).otherwise(F.col("q")[1]))

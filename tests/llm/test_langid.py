@@ -79,3 +79,25 @@ def test_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r["language"] for r in langid.identify(df).collect()] == [None]
     assert langid.identify(df.limit(0)).count() == 0
+
+
+def test_pieces_use_every_gram(spark):
+    rows = corpus(4, 300) + [(10_000 + i, t, None) for i, (_, t, _) in enumerate(corpus(5, 60))] + [(20_000, None, "en"), (20_000, "zz 中 q", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts: dict = {}
+    for r in langid.gram_counts(df).collect():
+        counts.setdefault(r["lang"], []).append((r["gram"], r["n"]))
+    keys = {name: np.array([g for g, _ in c]).view(np.uint64) for name, c in counts.items()}
+    size = len(np.unique(np.concatenate([k & np.uint64(0xFFFF) for k in keys.values()]))) + 1
+    models = {name: langid.kneser_ney(k, np.array([n for _, n in counts[name]]), size) for name, k in sorted(keys.items())}
+    want = []
+    for i, t, _ in rows:
+        g, _ = langid.grams(textkit.string_array(pa.array([t or ""])))
+        low = {name: -langid.log_probability(m, g).sum() / max(len(g), 1) for name, m in models.items()}
+        best = min(low, key=low.get)
+        want.append((i, best if len(g) else "", round(low[best], 6)))
+    _, n = langid.pieces(langid.gram_counts(df), 100)
+    assert n > 3
+    for piece_grams in (100, langid.PIECE_GRAMS):
+        got = [(r["doc_id"], r["closest"] or "", round(r["entropy"] or 0.0, 6)) for r in langid.identify(df, piece_grams=piece_grams).collect()]
+        assert sorted(got) == sorted((i, b, abs(e)) for i, b, e in want)
