@@ -13,8 +13,9 @@ the windows around them are counted exactly.
 Defined cases: null ids, null texts and texts without words match nothing.
 An item or document with fewer than ``k`` words has one shingle of all its
 words, so such an item matches only a document of exactly these words.  Rows
-that repeat an id give one result, with the largest count.  Other columns are
-not read.
+that repeat an id are judged one by one and give one result, with the largest
+count.  An item of several texts has the shingles of all of them, and windows
+as long as the longest.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ def _source(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
 
 
-def _shingled(k: int, fn, texts_of=lambda b: pc.utf8_lower(tk.string_array(b.column(1)))):
-    """mapInArrow function that hands the shingles of a slice of rows to ``fn``."""
+def _shingled(k: int, fn, texts_of=lambda b: pc.utf8_lower(tk.string_array(b.column(1))), keyed: bool = False):
+    """mapInArrow function that hands the shingles of a slice of rows, and with ``keyed`` their third column, to ``fn``."""
 
     def run(batches):
         for batch in batches:
@@ -53,19 +54,20 @@ def _shingled(k: int, fn, texts_of=lambda b: pc.utf8_lower(tk.string_array(b.col
                 h, first, *_ = tk.words(texts[lo:hi])
                 sh, pos, bounds = tk.shingles(h, first, k)
                 local = pos - np.repeat(first[:-1], np.diff(bounds))
-                yield from fn(ids[lo:hi], np.diff(first), tk.signed(sh), local, bounds)
+                more = [batch.column(2).to_numpy()[lo:hi]] if keyed else []
+                yield from fn(ids[lo:hi], np.diff(first), tk.signed(sh), local, bounds, *more)
 
     return run
 
 
 def shingle_rows(df: DataFrame, key: str, k: int) -> DataFrame:
-    """(id, words, pos, shingle): a row for each shingle of each text."""
+    """(id, row, words, pos, shingle): a row for each shingle of each text; ``row`` tells texts of one id apart."""
 
-    def rows(ids, counts, sh, pos, bounds):
+    def rows(ids, counts, sh, pos, bounds, keys):
         n = np.diff(bounds)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(counts, n)), pa.array(pos), pa.array(sh)], ["id", "words", "pos", "shingle"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(keys, n)), pa.array(np.repeat(counts, n)), pa.array(pos), pa.array(sh)], ["id", "row", "words", "pos", "shingle"])
 
-    return _source(df, key).mapInArrow(_shingled(k, rows), "id long, words long, pos long, shingle long")
+    return _source(df, key).withColumn("row", F.xxhash64("text")).mapInArrow(_shingled(k, rows, keyed=True), "id long, row long, words long, pos long, shingle long")
 
 
 def best_window(pos: np.ndarray, what: np.ndarray, span: int) -> int:
@@ -100,7 +102,7 @@ def _ranked(items: DataFrame, freq: DataFrame, min_containment: float) -> pd.Dat
     """Item shingles with n, need, span and whether each is in the item's prefix."""
     t = items.join(freq, "shingle", "left").select("id", "words", "shingle", F.coalesce("freq", F.lit(0)).alias("freq"))
     return t.withColumn("rank", F.expr("row_number() OVER (PARTITION BY id ORDER BY freq, shingle)")).withColumn("n", F.expr("count(*) OVER (PARTITION BY id)")).select(
-        "id", "shingle", "n", F.ceil(F.col("n") * F.lit(min_containment) - F.lit(1e-9)).alias("need"), "words", "rank"
+        "id", "shingle", "n", F.ceil(F.col("n") * F.lit(min_containment) - F.lit(1e-9)).alias("need"), F.expr("max(words) OVER (PARTITION BY id)").alias("words"), "rank"
     ).withColumn("rare", F.expr("rank <= n - need + 1"))
 
 
@@ -169,7 +171,7 @@ def _by_joins(docs: DataFrame, items: DataFrame, k: int, min_containment: float)
     freq = rows.join(items.select("shingle").distinct(), "shingle", "left_semi").groupBy("shingle").agg(F.count("*").alias("freq"))
     ranked = cut(_ranked(items, freq, min_containment).withColumnsRenamed({"id": "item_id", "words": "item_words"}))
     hits = rows.join(ranked, "shingle")
-    candidates = rows.join(ranked.filter("rare"), "shingle").select("id", "item_id").distinct()
+    candidates = rows.join(ranked.filter("rare"), "shingle").select("id", "row", "item_id").distinct()
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["pos", "shingle"]).sort_values("pos")
@@ -177,7 +179,7 @@ def _by_joins(docs: DataFrame, items: DataFrame, k: int, min_containment: float)
         got = _verified(pdf["pos"].to_numpy(), pdf["shingle"].to_numpy(), pdf["rare"].to_numpy(bool), int(_spans(first["item_words"], k)), int(first["need"]))
         return pd.DataFrame([(first["id"], first["item_id"], got, first["n"])] if got else [], columns=["doc_id", "item_id", "n_matched", "n_shingles"])
 
-    return _once(hits.join(candidates, ["id", "item_id"]).groupBy("id", "item_id").applyInPandas(verify, RESULT))
+    return _once(hits.join(candidates, ["id", "row", "item_id"]).groupBy("id", "row", "item_id").applyInPandas(verify, RESULT))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

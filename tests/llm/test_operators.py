@@ -138,6 +138,19 @@ def test_contained_items_against_brute_force(spark):
     assert decontam.contained_items(df, bench.limit(0)).count() == decontam.contained_items(df.limit(0), bench).count() == 0
 
 
+def test_texts_of_one_id_are_not_merged(spark):
+    item = [f"w{i}" for i in range(40)]
+    halves = [(1, " ".join(item[:20]), "s"), (1, " ".join(["x"] * 20 + item[20:]), "s")]
+    other = [(2, " ".join(item), "s"), (2, " ".join(item[:36]), "s"), (3, " ".join(item[:34]), "s")]
+    spread = [(4, " ".join([*(f"a{i}" for i in range(10)), *["y"] * 25, *(f"b{i}" for i in range(30))]), "s")]
+    df = table(spark, halves + other + spread)
+    texts = [(7, " ".join(item)), (8, " ".join(f"a{i}" for i in range(10))), (8, " ".join(f"b{i}" for i in range(30)))]
+    bench = spark.createDataFrame(texts, "item_id long, text string")
+    for bound in (1 << 20, 0):  # handed to every task, and joined
+        got = sorted(tuple(r) for r in decontam.contained_items(df, bench, broadcast_shingles=bound).collect())
+        assert got == [(2, 7, 36, 36), (3, 7, 30, 36), (4, 8, 26, 32)]
+
+
 def test_mixing_hits_its_sizes(spark):
     rnd = random.Random(4)
     rows = [(i, prose(rnd, rnd.randrange(1, 200)), "big" if i % 10 else "small") for i in range(600)] + [(700, None, None), (701, "", None), (None, "x", "big")]
