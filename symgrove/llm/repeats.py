@@ -22,14 +22,15 @@ All of them are found, each with all its occurrences:
    leaf of this tree and go on as a group of their own, with the next, longer
    stretch of words, until all are told apart.
 
-A result row is a group: ``doc_ids`` and ``positions`` (in words) are its
-suffixes in order, and ``repeats`` has an entry (lo, hi, n_words) for each
-maximal repeat, whose occurrences are entries lo to hi (from 0, inclusive) of
-the lists.  The first one spans the whole group.  So nested repeats cost three
+A result row is a suffix: the ``rank``-th (from 0) of its group, at word
+``position`` of ``doc_id``.  Its ``repeats`` has an entry (last, n_words) for
+each maximal repeat whose first occurrence in the order it is; all occurrences
+are the group's ranks from its own to ``last``.  So nested repeats cost two
 numbers each, not another list.  ``occurrences()`` unfolds them.
 
 Words are compared by 32 bits of their hash inside a group, and 64 bits decide
-on the first ``min_words``.
+on the first ``min_words``: a repeat may come out a word too long where two
+different words share 32 bits, once in four billion ends.
 
 Defined cases: null ids and null texts are left out, as is a text of fewer than
 ``min_words`` words.  A text's start differs from every word and from every
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgrove.llm import textkit as tk
-from symgrove.llm.runtime import cut
+from symgrove.llm.runtime import cut, stored
 
 MIN_WORDS = 50
 ANCHOR = 16
@@ -59,7 +60,8 @@ ANCHORS = "uid long, pos int, anchor long, before long"
 STRETCH = "anchor long, part long, uid long, doc_id long, pos int, back long, reach int, depth int, n_words int, words binary"
 CONTINUED = "anchor long, uid long, doc_id long, n_words int, suffixes array<struct<part:long,pos:int,depth:int,left:long>>, words binary"
 FOUND = "anchor long, part long, depth int, doc_ids array<long>, positions array<int>, uids array<long>, repeats array<struct<lo:int,hi:int,n_words:int>>, open boolean"
-RESULT = ["doc_ids", "positions", "repeats"]
+PACKED = ["anchor", "part", "doc_ids", "positions", "repeats"]
+RESULT = "group_id long, rank int, doc_id long, position int, repeats array<struct<last:int,n_words:int>>"
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -393,19 +395,39 @@ def _next(batches):
         tk.release()
 
 
+def _unpacked(batches):
+    """A row for each suffix of each group."""
+    for batch in batches:
+        ids, reps = batch.column("doc_ids"), batch.column("repeats")
+        n, m = np.diff(ids.offsets.to_numpy()), np.diff(reps.offsets.to_numpy())
+        starts = np.cumsum(n) - n
+        key = [batch.column(c).to_numpy().view(np.uint64) for c in ("anchor", "part")]
+        group = tk.signed(tk.mix(key[0] + tk.mix(key[1])))
+        rank = np.arange(int(n.sum())) - np.repeat(starts, n)
+        inner = reps.flatten()
+        lo, hi, size = (inner.field(x).to_numpy() for x in ("lo", "hi", "n_words"))
+        at = np.repeat(starts, m) + lo
+        order = np.lexsort((size, at))
+        upto = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(rank)))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(upto), pa.StructArray.from_arrays([pa.array(hi[order]), pa.array(size[order])], ["last", "n_words"]))
+        columns = [pa.array(np.repeat(group, n)), pa.array(rank.astype(np.int32)), ids.flatten(), batch.column("positions").flatten(), lists]
+        yield pa.RecordBatch.from_arrays(columns, ["group_id", "rank", "doc_id", "position", "repeats"])
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR, reach: int = REACH) -> DataFrame:
-    """(doc_ids, positions, repeats): the maximal repeats of all texts, by group."""
+    """RESULT: the suffixes of each group with the maximal repeats that start the order there."""
     src = _source(docs)
-    every = cut(anchors(docs, min_words, k))
+    every, drop_every = stored(anchors(docs, min_words, k))
     diverse = every.groupBy("anchor").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("*").alias("n")).filter("n > 1 AND lo <> hi").select("anchor")
     wanted = every.join(diverse, "anchor").groupBy("uid").agg(F.array_distinct(F.collect_list("pos")).alias("at"))
-    listed = cut(src.join(wanted, "uid").select("uid", "doc_id", "text", "at"))
+    listed, drop_listed = stored(src.join(wanted, "uid").select("uid", "doc_id", "text", "at"))
+    drop_every()
     src = listed.drop("at")  # no other text can be open later, so none other is moved again
     stretches = listed.mapInArrow(_stretches(min_words, k, reach), STRETCH)
     level = cut(stretches.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_buckets(min_words), FOUND))
     done = []
     while True:
-        done.append(level.filter("NOT open").select(*RESULT))
+        done.append(level.filter("NOT open").select(*PACKED))
         left_over = level.filter("open")
         if left_over.isEmpty():
             break
@@ -416,14 +438,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCH
         todo = todo.groupBy("uid", "anchor", "end").agg(F.collect_set("s").alias("s")).groupBy("uid").agg(F.collect_list(F.struct("anchor", "end", "s")).alias("at"))
         more = src.join(todo, "uid").select("uid", "doc_id", "text", "at").mapInArrow(_continuations(reach), CONTINUED)
         level = cut(more.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_next, FOUND))
+    drop_listed()
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out
+    return out.mapInArrow(_unpacked, RESULT)
 
 
-def occurrences(groups: DataFrame) -> DataFrame:
-    """(n_words, doc_ids, positions): a row for each maximal repeat, with all its occurrences."""
-    each = groups.select("doc_ids", "positions", F.explode("repeats").alias("r"))
-    part = lambda c: F.slice(c, F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo") + 1).alias(c)
-    return each.select(F.col("r.n_words").alias("n_words"), part("doc_ids"), part("positions"))
+def occurrences(suffixes: DataFrame) -> DataFrame:
+    """(group_id, first, n_words, doc_id, position): a row for each occurrence of each maximal repeat."""
+    each = suffixes.select("group_id", F.col("rank").alias("first"), F.explode("repeats").alias("r")).select("group_id", "first", "r.last", "r.n_words")
+    return each.join(suffixes.select("group_id", "rank", "doc_id", "position"), "group_id").filter("rank BETWEEN first AND last").select("group_id", "first", "n_words", "doc_id", "position")

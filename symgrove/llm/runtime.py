@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,12 +14,15 @@ from pyspark.sql import functions as F
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder in spark.checkpoint.dir; set one only where none is set.
 
-    The fallback is for local runs and tests.  A cluster names a folder that
-    all executors share.
+    The fallback is for local masters alone.  A cluster has to name a folder
+    that all executors share.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="symgrove-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="symgrove-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,6 +35,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Like cut(), but as a compressed Parquet table in the same folder, and a function that deletes it.
+
+    For tables that hold texts, which a checkpoint would write uncompressed.
+    What is not deleted goes when the JVM ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.deleteOnExit(path)
+    df.write.option("compression", "zstd").parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString()), lambda: fs.delete(path, True)
+
+
+def named(columns: list[str]) -> list[Column]:
+    """Columns by names that may hold dots and backticks."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def uniform(seed: str, *cols: Column) -> Column:
     """A number in (0, 1) from MD5 of the seed and the columns: equal in any SQL engine."""
     key = F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols])
@@ -48,7 +75,7 @@ def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     ids = cut(ids.toDF(key).distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return df.join(ids, key, "left_anti").select(*df.columns)
+    return df.join(ids, key, "left_anti").select(*named(df.columns))
 
 
 def cut_points(df: DataFrame, part: str, key: str, tie: str, quota: DataFrame, bins: int = 4096) -> DataFrame:
@@ -75,7 +102,7 @@ def up_to_cut(key: Column, tie: Column) -> Column:
     return (key < F.col("last_key")) | ((key == F.col("last_key")) & (tie <= F.col("last_tie")))
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: (id, root), root = smallest id.
 
     Alternating large-star and small-star contraction; each round is cut
@@ -84,7 +111,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     cur = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(max_rounds):
+    while True:
         n = both(cur).groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         large = both(cur).join(n, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -94,6 +121,4 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         cur = nxt
         if same:
             break
-    else:
-        raise RuntimeError("components did not converge")
     return cur.select(F.col("a").alias("id"), F.col("b").alias("root"))

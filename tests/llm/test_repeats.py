@@ -29,9 +29,11 @@ def brute(texts: dict[int, list[str]], least: int) -> set:
 
 
 def found(df) -> set:
-    rows = repeats.occurrences(df).collect()
-    got = [(r["n_words"], frozenset(zip(r["doc_ids"], r["positions"], strict=True))) for r in rows]
-    assert len(got) == len(set(got))
+    each = {}
+    for r in repeats.occurrences(df).collect():
+        each.setdefault((r["group_id"], r["first"], r["n_words"]), []).append((r["doc_id"], r["position"]))
+    got = [(n, frozenset(o)) for (_, _, n), o in each.items()]
+    assert len(got) == len(set(got)) and all(len(o) == len(set(o)) for o in each.values())
     return set(got)
 
 
