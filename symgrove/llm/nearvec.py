@@ -1,35 +1,41 @@
 """Near-duplicate embeddings through a robust-pruned flat graph.
 
-1. *Shards.*  ``n / SHARD`` vectors with the least hashes are pivots; each
-   vector joins the shards of its ``OVERLAP`` nearest pivots.
+1. *Shards.*  Random vectors are pivots, one per ``SHARD`` vectors but at most
+   ``PIVOTS``; each vector joins the shards of its ``OVERLAP`` nearest pivots
+   (or half as many as the pivots have binary digits, if that is more).  A shard
+   of more than ``LARGEST`` vectors is cut again in the same way, by pivots of
+   its own, until none is, so what a task or a broadcast holds doesn't grow.
 2. *Build.*  In each shard a vector's candidates are its nearest neighbours,
    some random vectors and the shard's medoid; robust pruning (a candidate goes
    when a chosen neighbour is ``ALPHA`` times closer to it than the vector is)
    leaves ``DEGREE`` of them, and reverse edges are added and pruned alike.
 3. *Union.*  The adjacency lists of a vector from all its shards are united.
-4. *Search.*  Every vector is a query in each of its shards, over the united
-   graph among the shard's vectors: greedy best-first search from the medoid
-   with a list of ``BREADTH``, which then expands every vector found in range
-   until no new one turns up.
-5. *Verify.*  Pairs count if their cosine in double precision is at least
+4. *Search.*  Every vector is a query in each of its shards: greedy best-first
+   search of the united graph from the medoid with a list of ``BREADTH``, which
+   then expands every vector found in range until no new one turns up.  Where a
+   vector in range lies in further shards that the query isn't in, the
+   expansion goes on there from this vector, shard by shard, until no query
+   enters a new one.
+5. *Verify.*  Links count if their cosine in double precision is at least
    ``min_cosine``.
-6. *Audit.*  Vectors in random order are compared with all others, until their
-   pairs are worth ``PAIRS`` independent ones or all vectors are compared.  In
-   the second case these are all pairs, and the result.  Else, while the lower
-   confidence bound of the share of their pairs that was found is under
-   ``RECALL``, the breadth is doubled, and the overlap raised by one, and the
-   search repeated; where nothing is left to raise, all vectors are compared.
+6. *Audit.*  Before the build ``PROBES`` random vectors get a perturbed partner
+   each, at a random cosine of at least ``min_cosine``, which is indexed like
+   any other vector.  They and their partners are compared with all vectors.
+   While the lower confidence bound of the share of these true links that the
+   search found is under ``RECALL``, the breadth is doubled, the overlap raised
+   by one, and graph and search repeated.  So an audit always has links to
+   judge by, and takes one pass over the vectors.  The partners don't show in
+   the result.
 
-A vector starts with half as many shards as the pivots have binary digits,
-``OVERLAP`` at least, since near vectors share their nearest pivots the less
-often the more pivots there are.
+Equal vectors are one node with a number of rows, so copies cost no search.
 
-Equal vectors are one node with all their ids, so copies cost no search.
+The result has a row for each vector: its class, named by the least id of all
+vectors that links tie together, and the number of its links.
 
 Defined cases: null ids, null or empty vectors, vectors with a null, NaN or
 infinite entry and zero vectors are left out.  Vectors of different length are
-never near each other.  Rows that repeat an id and vector are one; an id isn't
-paired with itself.  Other columns are not read.
+never near each other.  Rows that repeat an id and vector are one; an id with
+several vectors has a row for each of them.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,76 +43,143 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgrove.llm import textkit as tk
-from symgrove.llm.runtime import cut
+from symgrove.llm.runtime import components, cut
 
 MIN_COSINE = 0.9
-SHARD = 2048
+SHARD = 1024
+PIVOTS = 1024
+LARGEST = 16384
 OVERLAP = 2
 DEGREE = 24
 CANDIDATES = 48
 RANDOM = 12
 ALPHA = 1.2
 BREADTH = 24
-AUDIT = 200
-#: Vectors that the audit compares in one pass at most; this bounds what is broadcast.
-AUDIT_PASS = 4096
-PAIRS = 400
+PROBES = 500
 RECALL = 0.95
 Z = 1.645
 _CHUNK = 256
 _ROWS = 1024
 _FANOUT = 4
 
+CELLS = "shard long, near int, node long, n long, vec array<double>"
+LINKS = "a long, b long, na long, nb long, tree boolean, to long"
 
-def nodes(embeddings: DataFrame) -> DataFrame:
-    """(node, vec, ids): distinct vectors with the ids that have them."""
+
+def members(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, vec): the rows that count, once each."""
     src = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec")).filter("vec_id IS NOT NULL AND size(vec) > 0")
     ok = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e150))) & F.exists("vec", lambda x: F.abs(x) > 1e-150)
     plain = F.transform("vec", lambda x: x + F.lit(0.0))  # -0.0 is 0.0
-    return src.filter(ok).withColumn("vec", plain).groupBy("vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select(F.xxhash64("vec").alias("node"), "vec", "ids")
+    return src.filter(ok).withColumn("vec", plain).distinct()
+
 
+def nodes(rows: DataFrame) -> DataFrame:
+    """(node, vec, n, first_id): the distinct vectors of members() with the number of their rows and the least id."""
+    return rows.groupBy("vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id")).select(F.xxhash64("vec").alias("node"), "vec", "n", "first_id")
 
-def _unit(column) -> np.ndarray:
+
+def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """(rows x length) of a non-empty list column whose rows are equally long."""
-    if isinstance(column, pa.Array):
-        v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-    else:
-        v = np.stack(column.to_numpy())
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def assign(points: DataFrame, shard: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
-    """(shard, near, node, vec): each vector in its nearest pivots' shards; near counts from 0."""
+def probes(points: DataFrame, n: int = PROBES, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """(node, vec, of): perturbed partners of the ``n`` nodes with the least hashes; at most n rows, made on the driver."""
+    rows = points.orderBy(F.xxhash64("node", F.lit("probe")), "node").limit(n).select("node", "vec").toArrow().to_pylist()
+    rng = np.random.default_rng(11)
+    out = []
+    for r in rows:
+        v = np.array(r["vec"]) / np.abs(r["vec"]).max()
+        v /= np.linalg.norm(v)
+        side = rng.normal(size=len(v))
+        side -= (side @ v) * v
+        norm = np.linalg.norm(side)
+        cosine = rng.uniform(min_cosine, 1.0)
+        if norm > 1e-9:  # else there is no other direction
+            out.append((r["node"], (cosine * v + math.sqrt(1 - cosine * cosine) * side / norm).tolist()))
+    made = points.sparkSession.createDataFrame(out, "of long, vec array<double>")
+    return made.select(F.xxhash64("vec").alias("node"), "vec", "of")
+
+
+def _nearest(v: np.ndarray, centre: np.ndarray, overlap: int) -> np.ndarray:
+    """(rows x overlap) nearest of the pivots, nearest first."""
+    near = -(v @ centre.T)
+    m = min(overlap, len(centre))
+    best = np.argpartition(near, m - 1, axis=1)[:, :m]
+    return np.take_along_axis(best, np.take_along_axis(near, best, 1).argsort(axis=1), 1)
+
+
+def _cells(t, v: np.ndarray, names: np.ndarray, centre: np.ndarray, overlap: int) -> pa.RecordBatch:
+    best = _nearest(v, centre, overlap)
+    m = best.shape[1]
+    rep = pa.array(np.repeat(np.arange(len(v)), m))
+    cols = [pa.array(names[best.ravel()]), pa.array(np.tile(np.arange(m, dtype=np.int32), len(v))), *(t.column(c).take(rep) for c in ("node", "n", "vec"))]
+    cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
+    return pa.table(cols, names=[x.split()[0] for x in CELLS.split(", ")])
+
+
+def assign(points: DataFrame, shard: int = SHARD, overlap: int = OVERLAP, pivots: int = PIVOTS, largest: int = LARGEST) -> DataFrame:
+    """CELLS: each vector in its nearest pivots' shards; near counts from 0."""
     sizes = {r["dim"]: r["n"] for r in points.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()}
-    pivots = {}
-    for dim, n in sizes.items():  # one per shard and length of vectors
-        rows = points.filter(F.size("vec") == dim).orderBy(F.xxhash64("node"), "node").limit(-(-n // shard)).select("node", "vec").toPandas()
-        pivots[dim] = rows["node"].to_numpy(np.int64), _unit(rows["vec"])
-    shared = points.sparkSession.sparkContext.broadcast(pivots)
+    known = {}
+    for dim, n in sizes.items():  # for each length of vectors at most ``pivots``
+        m = min(pivots, -(-n // shard))
+        m = 1 if n <= largest and m < 2 * overlap else m  # else most shards would hold most vectors
+        rows = points.filter(F.size("vec") == dim).orderBy(F.xxhash64("node"), "node").limit(m).select("node", "vec").toArrow()
+        known[dim] = rows["node"].to_numpy(), _unit(rows["vec"])
+    shared = points.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         for batch in batches:
-            vec = batch.column("vec")
-            dims = np.diff(vec.offsets.to_numpy())
+            dims = np.diff(batch.column("vec").offsets.to_numpy())
             for dim in np.unique(dims):
-                which = np.flatnonzero(dims == dim)
-                names, centre = shared.value[int(dim)]
-                part = batch.take(pa.array(which))
-                near = -(_unit(part.column("vec")) @ centre.T)
-                m = min(overlap, len(names))
-                best = np.argpartition(near, m - 1, axis=1)[:, :m]
-                best = np.take_along_axis(best, np.take_along_axis(near, best, 1).argsort(axis=1), 1)
-                rep = pa.array(np.repeat(np.arange(len(which)), m))
-                yield pa.RecordBatch.from_arrays([pa.array(names[best.ravel()]), pa.array(np.tile(np.arange(m, dtype=np.int32), len(which))), part.column("node").take(rep), part.column("vec").take(rep)], ["shard", "near", "node", "vec"])
+                part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                yield from _cells(part, _unit(part.column("vec")), *shared.value[int(dim)], overlap).to_batches()
+
+    done, level = [], 0
+    cells = cut(points.select("node", "n", "vec").mapInArrow(run, CELLS))
+    while True:
+        level += 1
+        large = cut(cells.groupBy("shard").agg(F.count("*").alias("size")).filter(F.col("size") > largest))
+        if large.isEmpty():
+            done.append(cells)
+            break
+        done.append(cells.join(large, "shard", "left_anti").select(cells.columns))
+        inside = cells.join(large, "shard")
+        draw = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        chosen = inside.filter(draw < F.least(F.lit(float(pivots)), F.col("size") / shard) / F.col("size")).select(F.col("shard").alias("home"), F.col("size").alias("of"), F.col("node").alias("pivot"), F.col("vec").alias("centre"))
+        pieces = lambda c: F.ceil(F.col(c) / largest).cast("int")
+        spread = chosen.select("home", "pivot", "centre", F.explode(F.sequence(F.lit(0), pieces("of") - 1)).alias("part")).groupBy("home", "part")
+        rows = inside.select("shard", F.pmod(F.xxhash64("node"), pieces("size")).cast("int").alias("piece"), "node", "n", "vec").groupBy("shard", "piece")
+        cells = cut(rows.cogroup(spread).applyInArrow(_cut_again(overlap), CELLS))
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
 
-    return points.select("node", "vec").mapInArrow(run, "shard long, near int, node long, vec array<double>")
+def _cut_again(overlap: int):
+    def run(rows: pa.Table, chosen: pa.Table) -> pa.Table:
+        """A piece of a large shard, divided among the shard's own pivots."""
+        if not rows.num_rows or not chosen.num_rows:
+            return rows.append_column("near", pa.array(np.zeros(rows.num_rows, np.int32))).select([x.split()[0] for x in CELLS.split(", ")])
+        old = np.uint64(rows["shard"][0].as_py() & ((1 << 64) - 1))
+        names = tk.signed(tk.mix(chosen["pivot"].to_numpy().view(np.uint64) + tk.mix(np.array([old]))))
+        order = np.argsort(names)
+        return _cells(rows, _unit(rows["vec"]), names[order], _unit(chosen["centre"])[order], max(1, min(overlap, len(order) // 8)))
+
+    return run
 
 
 def robust_prune(v: np.ndarray, at: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -135,7 +208,7 @@ def medoid(v: np.ndarray) -> int:
 
 
 def build(v: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """The pruned graph of one shard: (n x degree), padded with -1."""
+    """The pruned graph of one shard, padded with -1; the last column is a random ring, so that nothing is out of reach."""
     n = len(v)
     everyone = np.arange(n)
     if n <= degree + 1:
@@ -156,21 +229,27 @@ def build(v: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarr
     back = np.full((n, degree), -1, np.int64)
     few = nth < degree
     back[dst[few], nth[few]] = src[few]
-    return robust_prune(v, everyone, np.concatenate([out, back], axis=1), degree, alpha)
+    out = robust_prune(v, everyone, np.concatenate([out, back], axis=1), degree, alpha)
+    order = np.argsort(tk.mix(everyone.astype(np.uint64)))
+    ring = np.empty(n, np.int64)
+    ring[order] = np.roll(order, -1)
+    return np.concatenate([out, ring[:, None]], axis=1)
 
 
 def _built(degree: int, alpha: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        names = pdf["node"].to_numpy(np.int64)
-        graph = build(_unit(pdf["vec"]).astype(np.float32), degree, alpha)
-        return pd.DataFrame({"node": names, "near_nodes": [names[r[r >= 0]] for r in graph]})
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        names = t["node"].to_numpy()
+        graph = build(_unit(t["vec"]).astype(np.float32), degree, alpha)
+        have = graph >= 0
+        upto = np.concatenate([[0], np.cumsum(have.sum(axis=1))]).astype(np.int32)
+        return pa.table([pa.array(names), pa.ListArray.from_arrays(pa.array(upto), pa.array(names[graph[have]]))], names=["node", "near_nodes"])
 
     return run
 
 
-def search(v: np.ndarray, graph: np.ndarray, queries: np.ndarray, min_cosine: float, breadth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, found) in range: greedy search of each query from the medoid, expanded over the range."""
+def search(v: np.ndarray, graph: np.ndarray, queries: np.ndarray, min_cosine: float, breadth: int, seeds: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``queries``, found) in range: greedy search from the medoid, or from ``seeds`` (row, place), expanded over the range."""
     start = medoid(v)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     n = len(v)
@@ -180,7 +259,12 @@ def search(v: np.ndarray, graph: np.ndarray, queries: np.ndarray, min_cosine: fl
         rows = np.arange(len(q))
         seen = np.full((len(q), n), -np.inf, np.float32)  # cosines of what was visited
         todo = np.full((len(q), n), -np.inf, np.float32)  # of what isn't expanded yet
-        seen[:, start] = todo[:, start] = v[q] @ v[start]
+        if seeds is None:
+            seen[:, start] = todo[:, start] = q @ v[start]
+        else:
+            mine = np.flatnonzero((seeds[0] >= lo) & (seeds[0] < lo + len(q)))
+            r, at = seeds[0][mine] - lo, seeds[1][mine]
+            seen[r, at] = todo[r, at] = np.einsum("nd,nd->n", q[r], v[at])
         while len(rows):
             k = min(_FANOUT, n)
             part = np.argpartition(-todo[rows], k - 1, axis=1)[:, :k]
@@ -199,41 +283,137 @@ def search(v: np.ndarray, graph: np.ndarray, queries: np.ndarray, min_cosine: fl
             new[new] = seen[r2[new], nb[new]] == -np.inf
             key = np.unique(r2[new] * n + nb[new])
             r2, nb = key // n, key % n
-            cosine = np.einsum("nd,nd->n", v[q[r2]], v[nb])
+            cosine = np.einsum("nd,nd->n", q[r2], v[nb])
             seen[r2, nb] = todo[r2, nb] = cosine
         a, b = np.nonzero(seen >= least)
-        out.append((q[a], b))
-    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+        out.append((a + lo, b))
+    return (np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links make a spanning forest of ``n`` places."""
+    root = list(range(n))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)], out[i] = min(x, y), True
+    return out
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """(values, number in each row) of a list column; null lists are empty."""
+    column = column.combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes
 
 
 def _searched(min_cosine: float, breadth: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        names = pdf["node"].to_numpy(np.int64)
-        exact = _unit(pdf["vec"])
-        lists = [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in pdf["near_nodes"]]
-        sizes = np.array([len(x) for x in lists])
-        flat = np.concatenate(lists)
+    """LINKS of a shard, and where to go on: rows with ``to``, a further shard, for query a from vector b."""
+
+    def run(t: pa.Table) -> pa.Table:
+        shard = t["shard"][0].as_py()
+        t = t.sort_by([("node", "ascending"), ("entry", "ascending")])
+        guest = np.asarray(t["entry"].is_valid())
+        own = t.filter(pa.array(~guest))
+        names, weight, exact = own["node"].to_numpy(), own["n"].to_numpy(), _unit(own["vec"]) if own.num_rows else np.zeros((0, 1))
+        if not len(names):
+            return pa.table([pa.array([], x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())], names=[x.split()[0] for x in LINKS.split(", ")])
+        flat, sizes = _lists(own["near_nodes"])
         row, col = np.repeat(np.arange(len(names)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
         graph = np.full((len(names), max(1, int(sizes.max(initial=0)))), -1, np.int64)
         graph[row, col] = np.where(names[at] == flat, at, -1)  # the shard's part of the united graph
-        a, b = search(exact.astype(np.float32), graph, np.arange(len(names)), min_cosine, breadth)
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        key = np.unique(a[a != b] * len(names) + b[a != b])
-        a, b = key // len(names), key % len(names)
-        cosine = np.einsum("nd,nd->n", exact[a], exact[b])
-        ok = cosine >= min_cosine
-        return pd.DataFrame({"a": names[a[ok]], "b": names[b[ok]], "cosine": cosine[ok]})
+        v = exact.astype(np.float32)
+        if guest.any():
+            g = t.filter(pa.array(guest))
+            asks, first, back = np.unique(g["node"].to_numpy(), return_index=True, return_inverse=True)
+            who = g.take(pa.array(first))
+            q_exact, q_weight, (q_homes, q_n) = _unit(who["vec"]), who["n"].to_numpy(), _lists(who["homes"])
+            entry = np.minimum(np.searchsorted(names, g["entry"].to_numpy()), len(names) - 1)
+            a, b = search(v, graph, q_exact.astype(np.float32), min_cosine, breadth, (back, entry))
+        else:
+            asks, q_exact, q_weight = names, exact, weight
+            q_homes, q_n = _lists(own["homes"])
+            a, b = search(v, graph, v, min_cosine, breadth)
+        ok = asks[a] != names[b]
+        a, b = a[ok], b[ok]
+        cosine = np.einsum("nd,nd->n", q_exact[a], exact[b])
+        a, b = a[cosine >= min_cosine], b[cosine >= min_cosine]
+        x, y, wx, wy = asks[a], names[b], q_weight[a], weight[b]
+        flip = x > y
+        lo, hi = np.where(flip, y, x), np.where(flip, x, y)
+        wlo, whi = np.where(flip, wy, wx), np.where(flip, wx, wy)
+        order = np.lexsort((hi, lo))
+        keep = order[np.append(True, (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0))] if len(order) else order
+        lo, hi, wlo, whi = lo[keep], hi[keep], wlo[keep], whi[keep]
+        every, place = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+        tree = np.zeros(len(lo), bool)
+        real = np.flatnonzero((wlo > 0) & (whi > 0))
+        tree[real] = _forest(len(every), place[: len(lo)][real], place[len(lo) :][real])
+        # shards of the vectors found that the query isn't in
+        homes, n_homes = _lists(own["homes"])
+        start = np.cumsum(n_homes) - n_homes
+        ask = np.repeat(a, n_homes[b])
+        to = homes[np.arange(len(ask)) - np.repeat(np.cumsum(n_homes[b]) - n_homes[b], n_homes[b]) + np.repeat(start[b], n_homes[b])] if len(ask) else np.zeros(0, np.int64)
+        via = np.repeat(names[b], n_homes[b])
+        there = set(zip(np.repeat(np.arange(len(asks)), q_n).tolist(), q_homes.tolist(), strict=True))
+        on: dict[tuple[int, int], int] = {}
+        for i, s, x in zip(ask.tolist(), to.tolist(), via.tolist(), strict=True):
+            if s != shard and (i, s) not in there:
+                on.setdefault((int(asks[i]), s), x)
+        more = [(i, x, s) for (i, s), x in on.items()]
+        none, zero = len(lo), [0] * len(more)
+        cols = [[*lo.tolist(), *(m[0] for m in more)], [*hi.tolist(), *(m[1] for m in more)], [*wlo.tolist(), *zero], [*whi.tolist(), *zero], [*tree.tolist(), *[False] * len(more)], [*[None] * none, *(m[2] for m in more)]]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in LINKS.split(", ")])
 
     return run
 
 
-def compared(points: DataFrame, lo: float, hi: float, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(x, y, cosine): all near vectors y of the vectors x whose random number is in [lo, hi)."""
-    draw = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = points.filter((draw >= lo) & (draw < hi)).select("node", "vec").toPandas()
-    shared = points.sparkSession.sparkContext.broadcast({d: (g["node"].to_numpy(np.int64), _unit(g["vec"])) for d, g in rows.groupby(rows["vec"].map(len))})
+def linked(points: DataFrame, shard: int, overlap: int, breadth: int, min_cosine: float, pivots: int = PIVOTS, largest: int = LARGEST) -> DataFrame:
+    """(a, b, na, nb, tree): the links a < b that build and search find among ``points(node, n, vec)``; those with tree connect all."""
+    cells = assign(points, shard, overlap, pivots, largest)
+    lists = cells.groupBy("shard").applyInArrow(_built(DEGREE, ALPHA), "node long, near_nodes array<long>")
+    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near_nodes"))).alias("near_nodes"))
+    homes = cells.groupBy("node").agg(F.collect_list("shard").alias("homes"))
+    graph = cut(cells.join(united, "node").join(homes, "node").select("shard", "node", "n", "vec", "near_nodes", "homes"))
+    none = F.lit(None).cast("long").alias("entry")
+    found, asked = [], None
+    todo = graph.select("*", none)
+    while True:
+        got = cut(todo.groupBy("shard").applyInArrow(_searched(min_cosine, breadth), LINKS))
+        found.append(got.filter("to IS NULL").drop("to"))
+        on = got.filter("to IS NOT NULL").groupBy(F.col("to").alias("shard"), F.col("a").alias("node")).agg(F.min("b").alias("entry"))
+        if asked is not None:
+            on = on.join(asked, ["shard", "node"], "left_anti")
+        on = cut(on)
+        if on.isEmpty():
+            break
+        asked = on.select("shard", "node") if asked is None else asked.unionByName(on.select("shard", "node"))
+        own = graph.filter("true").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("vec").alias("vec"), F.any_value("homes").alias("homes"))
+        guests = on.join(own, "node").select("shard", "node", "n", "vec", F.lit(None).cast("array<long>").alias("near_nodes"), "homes", "entry")
+        todo = graph.join(on.select("shard").distinct(), "shard", "left_semi").select("*", none).unionByName(guests)
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("tree").alias("tree"))
+
+
+def compared(points: DataFrame, sample: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """(x, y): all near vectors y among ``points`` of the few vectors x of ``sample(node, vec)``, by brute force."""
+    rows = sample.select("node", "vec").toArrow()
+    dims = np.array([len(x) for x in rows["vec"]], np.int64)
+    by = {int(d): rows.take(pa.array(np.flatnonzero(dims == d))) for d in np.unique(dims)}
+    shared = points.sparkSession.sparkContext.broadcast({d: (g["node"].to_numpy(), _unit(g["vec"])) for d, g in by.items()})
 
     def run(batches):
         for whole in batches:
@@ -246,35 +426,11 @@ def compared(points: DataFrame, lo: float, hi: float, min_cosine: float = MIN_CO
                     names, v = shared.value[int(dim)]
                     part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                     own = part.column("node").to_numpy()
-                    cosine = _unit(part.column("vec")) @ v.T
-                    i, j = np.nonzero(cosine >= min_cosine)
+                    i, j = np.nonzero(_unit(part.column("vec")) @ v.T >= min_cosine)
                     ok = own[i] != names[j]
-                    i, j = i[ok], j[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[j]), pa.array(own[i]), pa.array(cosine[i, j])], ["x", "y", "cosine"])
-
-    return points.select("node", "vec").mapInArrow(run, "x long, y long, cosine double")
+                    yield pa.RecordBatch.from_arrays([pa.array(names[j[ok]]), pa.array(own[i[ok]])], ["x", "y"])
 
-
-def audit(points: DataFrame, n: int, min_cosine: float = MIN_COSINE, enough: float = PAIRS) -> tuple[DataFrame, float, bool]:
-    """compared() of as many vectors as it takes, what their pairs are worth, and whether these are all vectors.
-
-    Pairs of one vector are found or missed together, so that the worth is
-    Kish's effective number: (sum of pairs)^2 / sum of (pairs of a vector)^2.
-    """
-    out, upto, pairs, squares = None, 0.0, 0, 0
-    step = AUDIT
-    while True:
-        last = upto * n + step >= n
-        hi = 1.0 if last else upto + step / n
-        part = cut(compared(points, upto, hi, min_cosine))
-        r = part.groupBy("x").count().agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q")).first()
-        out, upto = part if out is None else out.unionByName(part), hi
-        pairs, squares = pairs + (r["n"] or 0), squares + (r["q"] or 0)
-        worth = pairs * pairs / squares if squares else 0.0
-        if last or worth >= enough:
-            return out, worth, last
-        done = upto * n
-        step = min(AUDIT_PASS, max(done, 1.2 * done * (enough / worth - 1) if worth and enough < math.inf else 0))
+    return points.select("node", "vec").mapInArrow(run, "x long, y long")
 
 
 def lower_bound(share: float, worth: float, z: float = Z) -> float:
@@ -284,11 +440,17 @@ def lower_bound(share: float, worth: float, z: float = Z) -> float:
     return (share + z * z / (2 * worth) - z * math.sqrt(share * (1 - share) / worth + z * z / (4 * worth * worth))) / (1 + z * z / worth)
 
 
-def found_share(true: DataFrame, found: DataFrame) -> float:
-    """The share of the pairs of compared() that is in ``found``."""
-    pairs = true.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    r = pairs.join(found.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
-    return r["hits"] / r["n"] if r["n"] else 0.0
+def audit(true: DataFrame, found: DataFrame) -> tuple[float, int]:
+    """(recall, number of vectors that have links in compared()).
+
+    Recall is the share of the links that is in ``found``, of all together or
+    as the mean over the vectors, whichever is less.  Links of one vector are
+    found or missed together, so it is the vectors that count as draws.
+    """
+    pairs = true.select("x", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    per = pairs.join(found.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").groupBy("x").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    r = per.agg(F.count("*").alias("draws"), F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.avg(F.col("hits") / F.col("n")).alias("mean")).first()
+    return (min(r["hits"] / r["n"], r["mean"]), r["draws"]) if r["n"] else (1.0, 0)
 
 
 def starting_overlap(n: int, shard: int = SHARD, overlap: int = OVERLAP) -> int:
@@ -296,40 +458,52 @@ def starting_overlap(n: int, shard: int = SHARD, overlap: int = OVERLAP) -> int:
     return max(overlap, math.ceil(math.log2(max(1, -(-n // shard))) / 2))
 
 
-def near_duplicates(embeddings: DataFrame, min_cosine: float = MIN_COSINE, shard: int = SHARD, overlap: int = OVERLAP, breadth: int = BREADTH, recall: float = RECALL, enough: float = PAIRS) -> DataFrame:
-    """(vec_id, near_id, cosine) of all pairs vec_id < near_id of near duplicates."""
-    points = cut(nodes(embeddings))
-    n = points.count()
+def links(points: DataFrame, min_cosine: float = MIN_COSINE, shard: int = SHARD, overlap: int = OVERLAP, breadth: int = BREADTH, recall: float = RECALL, n_probes: int = PROBES, pivots: int = PIVOTS, largest: int = LARGEST) -> tuple[DataFrame, float, float]:
+    """(links a < b of ``points(node, n, vec)``, audited recall, its lower confidence bound)."""
+    planted = cut(probes(points, n_probes, min_cosine)).join(points.select("node"), "node", "left_anti")
+    every = cut(points.select("node", "n", "vec").unionByName(planted.select("node", F.lit(0).cast("long").alias("n"), "vec")))
+    sample = planted.select("node", "vec").unionByName(points.join(planted.select(F.col("of").alias("node")), "node", "left_semi").select("node", "vec"))
+    true = cut(compared(every, sample, min_cosine).distinct())
+    n = every.count()
     overlap = starting_overlap(n, shard, overlap)
-    true, worth, everything = audit(points, n, min_cosine, enough)
-    while not everything:
-        cells = cut(assign(points, shard, overlap))
-        lists = cells.groupBy("shard").applyInPandas(_built(DEGREE, ALPHA), "node long, near_nodes array<long>")
-        united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near_nodes"))).alias("near_nodes"))
-        graph = cells.join(united, "node").select("shard", "node", "vec", "near_nodes")
-        found = cut(graph.groupBy("shard").applyInPandas(_searched(min_cosine, breadth), "a long, b long, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
-        if lower_bound(found_share(true, found), worth) >= recall:
-            return _pairs(points, found)
-        if breadth >= n and overlap * shard >= n:
-            true, worth, everything = audit(points, n, min_cosine, math.inf)
+    while True:
+        found = cut(linked(every, shard, overlap, breadth, min_cosine, pivots, largest))
+        share, worth = audit(true, found)
+        bound = lower_bound(share, worth)
+        if bound >= recall or not worth or (share == 1.0 and breadth >= n):  # a few vectors give no high bound, but all of them were met
+            return found.filter("na > 0 AND nb > 0"), share, bound
         breadth, overlap = breadth * 2, overlap + 1
-    return _pairs(points, true.filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), "cosine"))
 
 
-def _pairs(points: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of ids from pairs of nodes and from nodes with several ids."""
-    ids = points.select("node", "ids")
-    across = found.join(ids.select(F.col("node").alias("a"), F.col("ids").alias("x")), "a").join(ids.select(F.col("node").alias("b"), F.col("ids").alias("y")), "b")
-    across = across.select("cosine", F.explode("x").alias("x"), "y").select("cosine", "x", F.explode("y").alias("y"))
-    within = ids.filter("size(ids) > 1").select(F.lit(1.0).alias("cosine"), F.explode("ids").alias("x"), "ids").select("cosine", "x", F.explode("ids").alias("y")).filter("x < y")
-    every = across.filter("x <> y").unionByName(within).select(F.least("x", "y").alias("vec_id"), F.greatest("x", "y").alias("near_id"), "cosine")
-    return every.groupBy("vec_id", "near_id").agg(F.max("cosine").alias("cosine"))
+def near_duplicates(embeddings: DataFrame, min_cosine: float = MIN_COSINE, **kw) -> DataFrame:
+    """(vec_id, class_id, n_links) of every vector."""
+    rows = cut(members(embeddings))
+    points = cut(nodes(rows))
+    found, _, _ = links(points, min_cosine, **kw)
+    found = cut(found)
+    group = components(found.filter("tree").select("a", "b"))
+    named = points.join(group.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("nb").alias("w")), F.struct(F.col("b").alias("node"), F.col("na").alias("w")))).alias("e"))
+    counts = ends.groupBy("e.node").agg(F.sum("e.w").alias("w"))
+    per = named.join(classes, "root").join(counts, "node", "left").select("node", "class_id", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    return rows.select("vec_id", F.xxhash64("vec").alias("node")).join(per, "node").select("vec_id", "class_id", "n_links")
+
+
+#: Two perturbed copies of each vector, the nearer to it the less the id leaves over; one in ten is an exact copy.
+PERTURBED = {
+    "spark": "SELECT vec_id, CAST(embedding AS ARRAY<DOUBLE>) AS embedding FROM {embeddings} UNION ALL SELECT -1 - 2 * vec_id - k, transform(embedding, (x, i) -> CAST(x AS DOUBLE) + (vec_id % 10) / 20.0D * CAST(embedding[(i + 1 + k) % size(embedding)] AS DOUBLE)) FROM {embeddings} CROSS JOIN (SELECT explode(array(0, 1)) AS k) c",
+    "duckdb": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings UNION ALL SELECT -1 - 2 * vec_id - k, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x + (vec_id % 10) / 20.0::DOUBLE * CAST(embedding[(i + k) % len(embedding) + 1] AS DOUBLE)) FROM embeddings CROSS JOIN (SELECT unnest([0, 1]) AS k) c",
+}
 
 
-def oracle(min_cosine: float = MIN_COSINE) -> str:
-    """DuckDB SQL for the (vec_id, near_id) of near_duplicates(embeddings): all pairs compared."""
+def oracle(min_cosine: float = MIN_COSINE, table: str = "embeddings") -> str:
+    """DuckDB SQL for near_duplicates(embeddings): all pairs compared, classes by transitive closure."""
     ok = "vec_id IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)), true) AND list_contains(list_transform(embedding, lambda x: x <> 0), true)"
     return f"""
-    WITH e AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE {ok})
-    SELECT DISTINCT a.vec_id, b.vec_id AS near_id FROM e a JOIN e b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
-    WHERE list_cosine_similarity(a.v, b.v) >= {min_cosine}"""
+    WITH RECURSIVE e AS (SELECT vec_id, v, row_number() OVER (ORDER BY vec_id, v) AS r FROM (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM ({table}) WHERE {ok})),
+    p AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {min_cosine}),
+    c AS (SELECT r, r AS other FROM e UNION SELECT c.r, p.b FROM c JOIN p ON p.a = c.other)
+    SELECT e.vec_id, k.class_id, coalesce(l.n, 0) AS n_links FROM e
+      JOIN (SELECT c.r, min(o.vec_id) AS class_id FROM c JOIN e o ON o.r = c.other GROUP BY c.r) k ON k.r = e.r
+      LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) l ON l.a = e.r"""

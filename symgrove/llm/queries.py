@@ -17,8 +17,13 @@ def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of near-duplicate embeddings."""
-    return nearvec.near_duplicates(_read(spark, sf_dir, "embeddings")).select("vec_id", "near_id")
+    """Each embedding with its class of near duplicates and the number of its links."""
+    return nearvec.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def perturbed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all embeddings and two perturbed copies of each, so that links are many in any table."""
+    return nearvec.near_duplicates(spark.sql(nearvec.PERTURBED["spark"], embeddings=_read(spark, sf_dir, "embeddings")))
 
 
 def op3_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +75,13 @@ QUERIES = {
         op8_pareto_mixing,
         op9_simple8b_tokens,
         op10_odd_sketch_near_duplicates,
+        perturbed_embeddings,
     )
 }
 
 SQL = {
     "op2_embedding_near_duplicates": nearvec.oracle(),
+    "perturbed_embeddings": nearvec.oracle(table=nearvec.PERTURBED["duckdb"]),
     "op5_benchmark_containment": decontam.oracle(),
     "op6_event_sourced_chats": chat.oracle(),
     "op8_pareto_mixing": mixing.oracle(),

@@ -1,77 +1,110 @@
 import numpy as np
+import pytest
 
 from symgrove.llm import nearvec
 
 
 def brute(rows, least):
+    """{(id, place in rows): (class, links)} of distinct rows."""
+    rows = list(dict.fromkeys((i, tuple(v)) for i, v in rows))
     v = np.array([r[1] for r in rows])
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
-    ids = [r[0] for r in rows]
-    s = v @ v.T
-    return {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in zip(*np.nonzero(s >= least), strict=True) if ids[i] != ids[j]}
+    near = v @ v.T >= least
+    np.fill_diagonal(near, True)
+    root = np.array([r[0] for r in rows])
+    while True:
+        new = np.array([root[n].min() for n in near])
+        if (new == root).all():
+            break
+        root = new
+    return sorted((r[0], int(c), int(n.sum()) - 1) for r, c, n in zip(rows, root, near, strict=True))
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, [float(x) for x in v], 7) for i, v in rows], "vec_id long, embedding array<double>, node int")
+
+
+def clustered(rng, n=700, dims=16):
+    base = rng.normal(size=(n, dims))
+    return list(enumerate([*base, *(base[i % 20] + rng.normal(size=dims) * 0.05 for i in range(300)), *base[:5]]))
 
 
 def test_against_brute_force(spark):
-    rng = np.random.default_rng(3)
-    base = rng.normal(size=(700, 16))
-    copies = [base[i % 20] + rng.normal(size=16) * 0.05 for i in range(300)]
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate([*base, *copies, *base[:5]])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {(r[0], r[1]) for r in nearvec.near_duplicates(df, shard=200).collect()}
+    rows = clustered(np.random.default_rng(3))
+    got = sorted(map(tuple, nearvec.near_duplicates(table(spark, rows), shard=200).collect()))
     want = brute(rows, nearvec.MIN_COSINE)
-    assert got <= want
-    assert len(got) >= 0.95 * len(want) > 1000
+    assert [r[0] for r in got] == [r[0] for r in want]
+    found, true = sum(r[2] for r in got), sum(r[2] for r in want)
+    assert 0.95 * true <= found <= true > 2000
+    assert np.mean([a == b for a, b in zip(got, want, strict=True)]) > 0.95
+
+
+def test_large_shards_are_cut_again(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=24)
+    hot = [centre + rng.normal(size=24) * 0.6 for _ in range(600)]  # a third of all rows near one place, few of them linked
+    rows = list(enumerate([*hot, *(h + rng.normal(size=24) * 0.1 for h in hot[:80]), *rng.normal(size=(1200, 24))]))
+    points = nearvec.nodes(nearvec.members(table(spark, rows)))
+    cells = nearvec.assign(points, shard=50, overlap=2, pivots=16, largest=300)
+    assert max(r["count"] for r in cells.groupBy("shard").count().collect()) <= 300
+    assert cells.select("node").distinct().count() == points.count()
+    every = points.select("node", "n", "vec")
+    found = nearvec.linked(every, 50, 3, 24, nearvec.MIN_COSINE, 16, 300).count()
+    true = sum(r[2] for r in brute(rows, nearvec.MIN_COSINE)) / 2
+    assert 0.9 * true <= found <= true > 50
 
 
 def test_defined_cases(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (None, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [1.0, 0.0, 0.0]), (9, [0.0, 1.0]), (1, [1.0, 0.01])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, node string")
-    assert {(r[0], r[1]) for r in nearvec.near_duplicates(df).collect()} == {(1, 2)}
+    assert sorted(map(tuple, nearvec.near_duplicates(df).collect())) == [(1, 1, 2), (1, 1, 2), (2, 1, 2), (8, 8, 0), (9, 9, 0)]
     assert nearvec.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_many_copies_of_a_vector(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(3000)] + [(5000, [1.0, 2.0, 3.1]), (5001, [-1.0, 0.0, 0.0])]
+    got = sorted(map(tuple, nearvec.near_duplicates(table(spark, rows)).collect()))
+    assert got == [(i, 0, 3000) for i in range(3000)] + [(5000, 0, 3000), (5001, 5001, 0)]
+
+
 def test_search_reaches_its_range():
     rng = np.random.default_rng(5)
     v = rng.normal(size=(400, 8))
     v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-    q, f = nearvec.search(v, nearvec.build(v), np.arange(400), 0.8, 24)
+    q, f = nearvec.search(v, nearvec.build(v), v, 0.8, 24)
     want = v @ v.T >= 0.8
     assert want[q, f].all() and len(q) >= 0.97 * want.sum()
+    q, f = nearvec.search(v, nearvec.build(v), v, 0.8, 400)
+    assert len(q) == want.sum()
 
 
-def test_rare_pairs_are_not_accepted_on_a_small_audit(spark):
+def test_an_audit_always_has_links(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(3000, 48))
-    near = base[:5] + rng.normal(size=(5, 48)) * 0.42  # about 0.92; an audit of 200 vectors meets none of them
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate([*base, *near])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    want = brute(rows, nearvec.MIN_COSINE)
-    assert len(want) == 4
-    got = {(r[0], r[1]) for r in nearvec.near_duplicates(df, shard=30, overlap=1).collect()}
-    assert got == want
-
-
-def test_search_under_a_sampled_audit(spark):
-    rng = np.random.default_rng(3)
-    base = rng.normal(size=(60, 16))
-    rows = [(i, [float(x) for x in base[i % 60] + rng.normal(size=16) * 0.05]) for i in range(1500)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    points = nearvec.nodes(df)
-    true, worth, everything = nearvec.audit(points, 1500, enough=100)
-    assert not everything and worth >= 100
+    near = base[:5] + rng.normal(size=(5, 48)) * 0.42  # about 0.92
+    rows = list(enumerate([*base, *near]))
+    points = nearvec.nodes(nearvec.members(table(spark, rows))).cache()
+    found, share, bound = nearvec.links(points, shard=100, overlap=1)
+    assert share >= bound >= nearvec.RECALL
     want = brute(rows, nearvec.MIN_COSINE)
-    assert {(min(r[0], r[1]), max(r[0], r[1])) for r in true.select("x", "y").collect()} < {(min(a, b), max(a, b)) for a, b in _nodes(points, want)}
-    got = {(r[0], r[1]) for r in nearvec.near_duplicates(df, shard=300, enough=100).collect()}
-    assert got <= want and len(got) >= 0.95 * len(want)
+    pairs = found.select("a", "b").distinct().count()
+    assert pairs <= sum(r[2] for r in want) / 2 == 4 and found.filter("na = 0 OR nb = 0").count() == 0 and pairs >= 3
+
+
+def test_expansion_goes_on_in_further_shards(spark):
+    rng = np.random.default_rng(4)
+    angle = np.arange(400) / 400 * 2 * np.pi  # a ring whose links cross every border of shards
+    v = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    rows = list(enumerate(v + rng.normal(size=v.shape) * 1e-4))
+    points = nearvec.nodes(nearvec.members(table(spark, rows))).cache()
+    found = nearvec.linked(points, 20, 2, 24, 0.998)
+    assert found.count() * 2 == sum(r[2] for r in brute(rows, 0.998))
 
 
-def _nodes(points, pairs):
-    of = {i: r["node"] for r in points.select("node", "ids").collect() for i in r["ids"]}
-    return {(of[a], of[b]) for a, b in pairs}
+@pytest.mark.parametrize("share, worth, low", [(1.0, 0, 0.0), (1.0, 20, 0.88), (1.0, 400, 0.993), (0.95, 400, 0.93)])
+def test_lower_bound(share, worth, low):
+    assert abs(nearvec.lower_bound(share, worth) - low) < 0.005
 
 
-def test_lower_bound_and_starting_overlap():
-    assert nearvec.lower_bound(1.0, 0) == 0.0
-    assert nearvec.lower_bound(1.0, 20) < 0.95 < nearvec.lower_bound(1.0, 400)
-    assert nearvec.lower_bound(0.95, 400) < 0.95
+def test_starting_overlap():
     assert [nearvec.starting_overlap(p * nearvec.SHARD) for p in (1, 10, 49, 195, 3125)] == [2, 2, 3, 4, 6]
