@@ -9,16 +9,20 @@ are XORed and the number of ones left estimates how many samples differ:
 Candidates of a band bucket are verified by this estimate alone, which is one
 XOR and one population count for each 64 bits.
 
+Equal signatures are one node, so copies, however many, meet the bands once.
+A partition's buckets are verified together, as arrays.  A bucket of more than
+``BLOCK`` nodes is cut into blocks by hash, and each pair of blocks is a unit of
+its own: all its pairs are still compared, in pieces of bounded size.
+
 Defined cases: documents with a null id, or with a null text or one without
 words, are in no group.  Documents with fewer than ``k`` words have one shingle
-of all their words.  Rows that repeat a doc_id are one document (the union of
-their candidates).  Other columns of the input are not read.
+of all their words.  Rows that repeat a doc_id are one document: whatever one
+of its texts is near to is near to it.  Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -32,6 +36,9 @@ BANDS = 32
 ROWS = 4
 SKETCH_BITS = 512
 MIN_JACCARD = 0.5
+BLOCK = 4096
+#: Buckets up to this size are compared by their number of members, all of one size at once.
+_SMALL = 8
 _CHUNK = 1 << 15
 
 SIGNATURE = "doc_id long, fp long, bands array<long>, sketch binary"
@@ -116,45 +123,82 @@ def signatures(docs: DataFrame, k: int = SHINGLE_WORDS, bands: int = BANDS, rows
     return src.mapInArrow(run, SIGNATURE)
 
 
-def _bucket_edges(min_jaccard: float, samples: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Components of one bucket, by breadth-first search among those not yet reached."""
-        ids, first = np.unique(pdf["doc_id"].to_numpy(), return_index=True)
-        sk = np.frombuffer(b"".join(pdf["sketch"].iloc[first]), np.uint64).reshape(len(ids), -1)
-        left = np.arange(len(ids))
-        a, b = [], []
-        while len(left) > 1:
+def most_ones(min_jaccard: float, bits: int, samples: int) -> int:
+    """The most ones in the XOR of two sketches that are near; -1 if even equal ones aren't."""
+    ones = np.arange(bits + 1)
+    share = np.minimum(2.0 * ones / bits, 1 - 1e-9)
+    near = np.maximum(0.0, 1 + bits / 2 * np.log1p(-share) / (2 * samples)) >= min_jaccard
+    return int(near.sum()) - 1
+
+
+def _far(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(many ^ one).sum(axis=-1)
+
+
+def _links(units: np.ndarray, names: np.ndarray, sk: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of rows in order of their unit that connect what is near within each."""
+    edges = np.flatnonzero(np.diff(units, prepend=units[:1] - 1))
+    sizes = np.diff(np.append(edges, len(units)))
+    a, b = [], []
+    for n in range(2, _SMALL + 1):
+        at = edges[sizes == n]
+        for i in range(n if len(at) else 0):
+            for j in range(i):
+                near = at[_far(sk[at + i], sk[at + j]) <= most]
+                a.append(names[near + i])
+                b.append(names[near + j])
+    for lo, n in zip(edges[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
+        left = np.arange(lo, lo + n)
+        while len(left) > 1:  # a component by breadth-first search among those not yet reached
             root, queue, left = left[0], [left[0]], left[1:]
             while queue and len(left):
-                near = jaccard(sk[queue.pop()], sk[left], samples) >= min_jaccard
+                near = _far(sk[queue.pop()], sk[left]) <= most
                 found = left[near]
                 queue.extend(found)
-                a.extend(ids[found])
-                b.extend([ids[root]] * len(found))
+                a.append(names[found])
+                b.append(np.repeat(names[root], len(found)))
                 left = left[~near]
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _verified(most: int):
+    def run(batches):
+        for t in tk.whole_groups(batches, ["unit"]):
+            column = t["sketch"].combine_chunks()
+            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+            sk = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(t.num_rows, -1)
+            a, b = _links(t["unit"].to_numpy(), t["fp"].to_numpy(), sk, most)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, min_jaccard: float = MIN_JACCARD) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, min_jaccard: float = MIN_JACCARD, block: int = BLOCK) -> DataFrame:
     """(doc_id, rep_id): each near copy with the smallest id of its group.
 
-    Equal signatures are grouped first, so thousands of exact copies meet the
-    bands as one document.  Buckets of one document are dropped before any
-    sketch is moved.  A bucket emits a spanning forest of its verified pairs,
-    never all pairs, and so stays linear in the size of a tight group.
+    Buckets of one node are dropped before any sketch is moved.  A bucket
+    emits links that connect what is near in it, not all pairs.
     """
     sig = cut(signatures(docs, k, bands, rows, bits))
-    same = sig.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    exact = sig.join(same, "fp").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = cut(sig.join(same.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi"))
-    keyed = reps.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("key"))
-    shared = keyed.groupBy("key").agg(F.collect_list("doc_id").alias("ids")).filter("size(ids) > 1").select("key", F.explode("ids").alias("doc_id"))
-    buckets = shared.join(reps.select("doc_id", "sketch"), "doc_id").select("key", "doc_id", "sketch")
-    near = buckets.groupBy("key").applyInPandas(_bucket_edges(min_jaccard, bands * rows), "a long, b long")
-    groups = components(exact.unionByName(near))
-    return groups.select(F.col("id").alias("doc_id"), F.col("root").alias("rep_id"))
+    nodes = cut(sig.groupBy("fp").agg(F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
+    keyed = nodes.select("fp", F.posexplode("bands").alias("band", "key")).select("fp", F.xxhash64("band", "key").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = keyed.join(shared, "key").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o)))
+    units = buckets.select("fp", F.explode(F.when(F.col("blocks") == 1, F.array("key")).otherwise(each)).alias("unit"))
+    units = units.join(nodes.select("fp", "sketch"), "fp").repartition("unit").sortWithinPartitions("unit", "fp")
+    near = units.mapInArrow(_verified(most_ones(min_jaccard, bits, bands * rows)), "a long, b long")
+    # texts of one id
+    ids = sig.select("doc_id", "fp")
+    first = ids.groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("z")).filter("b <> z").select("doc_id", "b")
+    tied = ids.join(first, "doc_id").select(F.col("fp").alias("a"), "b")
+    groups = components(near.unionByName(tied)).withColumnRenamed("id", "fp")
+    of = ids.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    reps = of.groupBy("root").agg(F.min("first").alias("rep_id"), F.max("last").alias("last")).filter("rep_id <> last").select("root", "rep_id")
+    named = of.join(reps, "root").select("fp", "rep_id")
+    return ids.join(named, "fp").filter("doc_id <> rep_id").select("doc_id", "rep_id").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, **kw) -> DataFrame:

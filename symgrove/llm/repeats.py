@@ -286,28 +286,6 @@ class _Rows:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.columns, kinds, strict=True)], [x.split()[0] for x in FOUND.replace("<lo:int,hi:int,n_words:int>", "").split(", ")])
 
 
-def _whole_groups(batches, keys: list[str], rows: int = 1 << 14):
-    """Tables of a partition sorted by ``keys`` that end where a group ends."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(pa.Table.from_batches([batch]))
-        if sum(t.num_rows for t in held) < rows:
-            continue
-        t = pa.concat_tables(held)
-        same = np.ones(t.num_rows, bool)
-        for k in keys:
-            c = t[k].to_numpy()
-            same &= c == c[-1]
-        first = int(same.argmax())  # the last group may go on in the next batch
-        if first:
-            yield t.slice(0, first)
-        held = [t.slice(first)]
-    if held:
-        yield pa.concat_tables(held)
-
-
 def _flat_words(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words of all rows, first of each row, number in each row)."""
     w = t["words"].combine_chunks()
@@ -330,7 +308,7 @@ def _in_order(c: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
 def _buckets(min_words: int):
     def run(batches):
         """Groups of suffixes that share their first words, from anchors' buckets in order."""
-        for t in _whole_groups(batches, ["anchor"], 1 << 13):
+        for t in tk.whole_groups(batches, ["anchor"], 1 << 13):
             flat, base, size = _flat_words(t)
             c = {x: t[x].to_numpy().astype(np.int64) for x in _NAMES if x != "words"}
             order = _in_order(c, ["anchor"])
@@ -369,7 +347,7 @@ def _buckets(min_words: int):
 
 def _next(batches):
     """Open groups with their next words, from anchors' buckets in order."""
-    for t in _whole_groups(batches, ["anchor"], 1 << 11):
+    for t in tk.whole_groups(batches, ["anchor"], 1 << 11):
         flat, begin, size = _flat_words(t)
         code = flat.astype(">u4").tobytes()
         lists = t["suffixes"].combine_chunks()

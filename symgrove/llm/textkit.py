@@ -97,6 +97,28 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES):
     release()
 
 
+def whole_groups(batches, keys: list[str], rows: int = 1 << 14):
+    """Tables of a partition sorted by ``keys`` that end where a group ends."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) < rows:
+            continue
+        t = pa.concat_tables(held)
+        same = np.ones(t.num_rows, bool)
+        for k in keys:
+            c = t[k].to_numpy()
+            same &= c == c[-1]
+        first = int(same.argmax())  # the last group may go on in the next batch
+        if first:
+            yield t.slice(0, first)
+        held = [t.slice(first)]
+    if held:
+        yield pa.concat_tables(held)
+
+
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of the words of lower-cased text."""
     w = _IS_WORD[data]

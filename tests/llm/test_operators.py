@@ -200,6 +200,39 @@ def test_near_duplicates_are_grouped(spark):
     assert oddsketch.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 5])
+def test_groups_are_those_of_all_candidates(spark, block):
+    rnd = random.Random(9)
+    rows = []
+    for _ in range(30):
+        base = [f"v{rnd.randrange(3000)}" for _ in range(rnd.randrange(30, 120))]
+        for _ in range(rnd.choice([1, 2, 3, 12])):
+            copy = [f"v{rnd.randrange(3000)}" if rnd.random() < 0.04 else w for w in base]
+            rows.append((len(rows), " ".join(copy), "s"))
+    rows += [(3, rows[20][1], "s"), (3, rows[3][1], "s"), (700, rows[11][1], "s")]  # id 3 has two texts
+    docs = table(spark, rows)
+    sig = oddsketch.signatures(docs).collect()
+    root = {r["doc_id"]: r["doc_id"] for r in sig}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in sig:
+        for y in sig:
+            a, b = np.frombuffer(x["sketch"], np.uint64), np.frombuffer(y["sketch"], np.uint64)
+            if any(p == q for p, q in zip(x["bands"], y["bands"], strict=True)) and oddsketch.jaccard(a, b[None], oddsketch.BANDS * oddsketch.ROWS)[0] >= oddsketch.MIN_JACCARD:
+                i, j = top(x["doc_id"]), top(y["doc_id"])
+                root[max(i, j)] = min(i, j)
+    got = sorted(map(tuple, oddsketch.near_duplicates(docs, block=block).collect()))
+    assert got == sorted((i, top(i)) for i in root if top(i) != i) and len(got) > 60
+    text = dict((i, t) for i, t, _ in rows[:-3])
+    true = lambda i, j: (lambda a, b: len(a & b) / len(a | b))(shingles(text[i], 3), shingles(text[j], 3))
+    close = [(i, j) for i in text for j in range(i) if true(i, j) >= 0.7]
+    assert np.mean([top(i) == top(j) for i, j in close]) > 0.97 and len(close) > 100
+
+
 def test_sketches_estimate_high_similarities():
     rng = np.random.default_rng(8)
     a = rng.integers(0, 1 << 32, (200, 128), dtype=np.uint32)
@@ -209,3 +242,7 @@ def test_sketches_estimate_high_similarities():
         sa, sb = oddsketch.odd_sketches(a, 512), oddsketch.odd_sketches(b, 512)
         got = np.array([oddsketch.jaccard(x, y[None], 128)[0] for x, y in zip(sa, sb, strict=True)])
         assert abs(got - true).mean() < 0.05
+    most = oddsketch.most_ones(0.5, 512, 128)
+    ones = np.zeros((2, 8), np.uint64)
+    ones[0, : most // 64], ones[0, most // 64] = np.uint64(2**64 - 1), np.uint64((1 << most % 64) - 1)
+    assert oddsketch.jaccard(ones[1], ones[:1], 128)[0] >= 0.5
