@@ -5,11 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from symgrove.functions.text import member_name, super_method
-from symgrove.plans.iterate import connected, cut
+from symgrove.plans.iterate import connected, cut, union
 
 MRO = "class_id string, pos int, ancestor_id string"
+#: Links of a hierarchy that one task takes whole.
+WHOLE = 5000
 
 
 def python_parents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -61,6 +64,40 @@ def _merge(c: str, orders: list[list[str] | None], bases: list[str]) -> list[str
     return out
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _merged(own: pd.Series, orders: pd.Series, bases: pd.Series) -> pd.Series:
+    one = lambda c, os, bs: None if bs is None else _merge(c, [None if o is None else list(o) for o in os], list(bs))
+    return pd.Series([one(*x) for x in zip(own, orders, bases, strict=True)], dtype=object)
+
+
+def c3_orders(parents: DataFrame) -> DataFrame:
+    """(class_id, order): the C3 order of each class of ``parents(class_id, parent_id, ord)``, null if it has none.
+
+    Level by level: a class is merged once all its parents are, so a task sees
+    the orders of one class's parents, however many classes share a base.
+    Members of a cycle, and what inherits from them, are never merged and have
+    no row.
+    """
+    parents = parents.select("class_id", "parent_id", "ord").distinct()
+    parents = cut(parents.join(parents.groupBy("class_id").agg(F.count("*").alias("n")), "class_id"))
+    own = parents.select("class_id").distinct()
+    inbox = None
+    level = cut(parents.select(F.col("parent_id").alias("class_id")).distinct().join(own, "class_id", "left_anti").select("class_id", F.lit(True).alias("ready"), F.array("class_id").alias("order")))
+    levels = [level]
+    while True:
+        front = level.filter("ready").select(F.col("class_id").alias("parent_id"), "order")
+        sent = parents.join(front, "parent_id").select("class_id", "n", F.struct("ord", "parent_id", "order").alias("p"))
+        if inbox is not None:
+            sent = sent.unionByName(inbox)
+        got = sent.groupBy("class_id", "n").agg(F.sort_array(F.collect_list("p")).alias("p")).withColumn("ready", F.size("p") == F.col("n"))
+        bases = lambda c: F.when(F.col("ready"), F.transform("p", lambda x: x[c]))
+        level = cut(got.withColumn("order", _merged("class_id", bases("order"), bases("parent_id"))))
+        if level.filter("ready").isEmpty():
+            return union([x.filter("ready").select("class_id", "order") for x in levels])
+        levels.append(level)
+        inbox = level.filter("NOT ready").select("class_id", "n", F.explode("p").alias("p"))
+
+
 def _component(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["class_id", "ord"])
     parents: dict[str, list[str]] = {}
@@ -70,15 +107,23 @@ def _component(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["class_id", "pos", "ancestor_id"])
 
 
-def c3_mro(parents: DataFrame) -> DataFrame:
-    """(class_id, pos, ancestor_id) of ``parents(class_id, parent_id, ord)``.
+def c3_mro(parents: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """(class_id, pos, ancestor_id) of ``parents(class_id, parent_id, ord)``: a row for each class in each class's order.
 
-    Each connected hierarchy is one group.  A class without a consistent order
-    has no rows, nor have those that inherit from it.
+    Connected hierarchies of at most ``whole`` links are one group each; larger
+    ones, such as all that share a common base, go level by level.  Both give
+    the same.  A class without a consistent order has no rows, nor have those
+    that inherit from it.
     """
-    parents = cut(parents)
+    parents = cut(parents.select("class_id", "parent_id", "ord").distinct())
     comp = connected(parents.select(F.col("class_id").alias("a"), F.col("parent_id").alias("b")))
-    return parents.join(comp, parents["class_id"] == comp["id"]).select("component", "class_id", "parent_id", "ord").groupBy("component").applyInPandas(_component, MRO)
+    own = cut(parents.join(comp.withColumnRenamed("id", "class_id"), "class_id"))
+    large = own.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > whole).select("component")
+    out = own.join(large, "component", "left_anti").select("component", "class_id", "parent_id", "ord").groupBy("component").applyInPandas(_component, MRO)
+    rest = cut(own.join(large, "component", "left_semi"))
+    if rest.isEmpty():
+        return out
+    return out.unionByName(c3_orders(rest).filter("order IS NOT NULL").select("class_id", F.posexplode("order").alias("pos", "ancestor_id")))
 
 
 def enclosing_class(nodes: DataFrame) -> DataFrame:

@@ -10,22 +10,23 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgrove import schema
 from symgrove.functions.text import normal_path, without_script_extension
 from symgrove.plans.iterate import cut, union
 
-_HOOKS = "Callback Context DebugValue Effect ImperativeHandle LayoutEffect Memo Reducer Ref State"
-EXTERNAL_NAMES = sorted(
-    [f"use{x}" for x in _HOOKS.split()]
-    + [f"{a}{b}" for b in ("Timeout", "Interval") for a in ("set", "clear")]
-    + [f"{a}AnimationFrame" for a in ("cancel", "request")]
-    + [f"{a}code{b}" for a in ("de", "en") for b in ("URI", "URIComponent")]
-    + "Boolean Number String cloneDeep debounce isEqual isFinite isNaN isNil omit parseFloat parseInt pick super this throttle".split()
-)
-EXTERNAL_HEADS = [f"{x}." for x in sorted("_ Array JSON Math Number Object Promise React Store String console document window".split())] + ["new Date"]
+#: Globals, hooks and utility functions of script runtimes, which no project defines: a call of one of them is external, not unresolved.
+EXTERNAL_NAMES = """
+    Boolean Number String super this
+    setTimeout clearTimeout setInterval clearInterval requestAnimationFrame cancelAnimationFrame
+    encodeURI decodeURI encodeURIComponent decodeURIComponent isNaN isFinite parseInt parseFloat
+    useState useReducer useRef useMemo useCallback useContext useEffect useLayoutEffect useImperativeHandle useDebugValue
+    cloneDeep isEqual isNil omit pick debounce throttle
+""".split()
+#: The same for whatever follows these objects, and for dates.
+EXTERNAL_HEADS = [f"{x}." for x in "console window document Math JSON Object Array String Number Promise React Store _".split()] + ["new Date"]
 SCRIPTS = ["", ".js", ".jsx", ".ts", ".tsx", "/index.js", "/index.jsx", "/index.ts", "/index.tsx"]
 
 
@@ -35,37 +36,40 @@ def name_index(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.explode(F.array_distinct(F.array("name", colons, dots))).alias("key")).select("key", "id")
 
 
-def _keyed(raw: DataFrame, *keys: Column) -> DataFrame:
-    """(raw_id, step, key) of the rules in order; null keys and those of an earlier rule are dropped."""
-    arr = F.array(*[F.struct(F.lit(i).alias("step"), k.alias("key")) for i, k in enumerate(keys)])
-    return raw.select("raw_id", F.explode(arr).alias("k")).select("raw_id", "k.step", "k.key").filter("key IS NOT NULL AND key <> ''")
+def _winners(raw: DataFrame, index: DataFrame, by: str, keys: list[Column]) -> DataFrame:
+    """(by, key, hits): for each distinct ``by`` the first of its ``keys`` that is in the index, and how many nodes have it.
+
+    Rules are decided by counts of one row per key, so nothing fans out here,
+    and each name is decided once, however many raw edges have it.
+    """
+    rules = F.array(*[F.struct(F.lit(i).alias("step"), k.alias("key")) for i, k in enumerate(keys)])
+    candidates = raw.select(by).filter(F.col(by).isNotNull()).distinct().select(by, F.explode(rules).alias("k")).select(by, "k.step", "k.key").filter("key IS NOT NULL AND key <> ''")
+    counts = index.groupBy("key").agg(F.count("*").alias("hits"))
+    return candidates.join(counts, "key").groupBy(by).agg(F.min_by(F.struct("key", "hits"), "step").alias("w")).select(by, "w.key", "w.hits")
 
 
-def _first_hits(candidates: DataFrame, index: DataFrame) -> DataFrame:
-    """(raw_id, target_id, hits): all nodes of the first rule that hit, once each."""
-    hits = candidates.join(index, "key").groupBy("raw_id", "id").agg(F.min("step").alias("step"))
-    own = Window.partitionBy("raw_id")
-    best = hits.withColumn("least", F.min("step").over(own)).filter("step = least")
-    return best.select("raw_id", F.col("id").alias("target_id"), F.count("*").over(own).alias("hits"))
+def _hits(raw: DataFrame, index: DataFrame, by: str, keys: list[Column]) -> DataFrame:
+    """The raw edges with ``hits`` and ``id`` (and what else the index has) for each node of their first key that hit."""
+    return raw.join(_winners(raw, index, by, keys), by).join(index, "key").drop("key").withColumnRenamed("id", "target_id")
 
 
-def call_targets(raw: DataFrame, index: DataFrame) -> DataFrame:
+def _call_keys() -> list[Column]:
     """Exact; with a capital head; last dotted segment; last segment after colons."""
     t = F.col("target_name")
     head = F.substring_index(t, ".", 1)
     capital = F.when(t.contains(".") & head.rlike("^[a-z]"), F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30)))
-    return _first_hits(_keyed(raw, t, capital, F.when(t.contains("."), F.substring_index(t, ".", -1)), F.when(t.contains("::"), F.element_at(F.split(t, "::"), -1))), index)
+    return [t, capital, F.when(t.contains("."), F.substring_index(t, ".", -1)), F.when(t.contains("::"), F.element_at(F.split(t, "::"), -1))]
 
 
-def type_targets(raw: DataFrame, index: DataFrame) -> DataFrame:
+def _type_keys() -> list[Column]:
     """Without type parameters: exact; last segment after colons."""
     t = F.trim(F.substring_index("target_name", "<", 1))
-    return _first_hits(_keyed(raw, t, F.element_at(F.split(t, "::"), -1)), index)
+    return [t, F.element_at(F.split(t, "::"), -1)]
 
 
-def import_targets(raw: DataFrame, index: DataFrame) -> DataFrame:
+def _import_keys() -> list[Column]:
     t = F.col("target_name")
-    return _first_hits(_keyed(raw, t, F.element_at(F.split(t, "::"), -1)), index)
+    return [t, F.element_at(F.split(t, "::"), -1)]
 
 
 def file_index(nodes: DataFrame) -> DataFrame:
@@ -75,10 +79,10 @@ def file_index(nodes: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.max("id").alias("id"))
 
 
-def path_targets(raw: DataFrame, files: DataFrame, module: str = "target_module") -> DataFrame:
+def _path_hits(raw: DataFrame, files: DataFrame, module: str = "target_module") -> DataFrame:
     """The file of an imported module: as it stands, then with the extensions and index files of scripts."""
     base = normal_path(F.col(module))
-    return _first_hits(_keyed(raw, *[F.when(F.col(module).isNotNull(), F.concat(base, F.lit(x))) for x in SCRIPTS]), files)
+    return _hits(raw, files, module, [F.concat(base, F.lit(x)) for x in SCRIPTS])
 
 
 def path_aliases(config: str, root: str = "") -> list[tuple[str, str]]:
@@ -104,21 +108,27 @@ def aliased(raw: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
     return raw.withColumn("aliased", out)
 
 
-def with_confidence(raw: DataFrame, hits: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges of (raw_id, target_id, hits): same file, else one hit, else several."""
-    files = nodes.select(F.col("id").alias("target_id"), F.col("file_path").alias("t_file"))
+def located_index(nodes: DataFrame) -> DataFrame:
+    """name_index() with the file of each node, so that targets needn't be looked up again."""
+    colons, dots = F.element_at(F.split("name", "::"), -1), F.substring_index("name", ".", -1)
+    return nodes.select("id", F.col("file_path").alias("t_file"), F.explode(F.array_distinct(F.array("name", colons, dots))).alias("key"))
+
+
+def _ranked(raw: DataFrame, nodes: DataFrame, keys: list[Column]) -> DataFrame:
+    """Edges to all nodes of the first rule that hit: in the same file, else one hit, else several."""
     sources = nodes.select(F.col("id").alias("source_id"), F.col("file_path").alias("s_file"))
+    at = raw.select("raw_id", "source_id", "kind", "source_line", "target_name").join(sources, "source_id", "left")
     c = F.when(F.col("s_file") == F.col("t_file"), schema.SAME_FILE).when(F.col("hits") == 1, schema.UNIQUE).otherwise(schema.AMBIGUOUS)
-    return hits.join(raw.select("raw_id", "source_id", "kind", "source_line"), "raw_id").join(files, "target_id", "left").join(sources, "source_id", "left").select("raw_id", *_edge_columns(), c.alias("confidence"))
+    return _hits(at, located_index(nodes), "target_name", keys).select("raw_id", *_edge_columns(), c.alias("confidence"))
 
 
 def _edge_columns() -> list[str]:
     return ["source_id", "target_id", "kind", "source_line"]
 
 
-def _certain(raw: DataFrame, hits: DataFrame, confidence: Column | None = None) -> DataFrame:
+def _certain(hits: DataFrame, confidence: Column | None = None) -> DataFrame:
     confidence = F.lit(schema.CERTAIN) if confidence is None else confidence
-    return hits.join(raw.select("raw_id", "source_id", "kind", "source_line"), "raw_id").select("raw_id", *_edge_columns(), confidence.alias("confidence"))
+    return hits.select("raw_id", *_edge_columns(), confidence.alias("confidence"))
 
 
 def _left(raw: DataFrame, done: DataFrame) -> DataFrame:
@@ -129,29 +139,27 @@ def resolve_imports(raw: DataFrame, nodes: DataFrame, aliases: list[tuple[str, s
     """A node's id; else a file by path, then by alias; else by name."""
     raw = raw.filter("kind = 'IMPORTS'")
     ids, files = nodes.select(F.col("id").alias("target_id")), file_index(nodes)
-    by_id = _certain(raw, raw.filter("target_module IS NULL").select("raw_id", F.col("target_name").alias("target_id")).join(ids, "target_id", "left_semi"))
+    by_id = _certain(raw.filter("target_module IS NULL").withColumn("target_id", F.col("target_name")).join(ids, "target_id", "left_semi"))
     rest = _left(raw, by_id)
-    by_path = _certain(rest, path_targets(rest, files))
+    by_path = _certain(_path_hits(rest, files))
     rest = _left(rest, by_path)
     found = [by_id, by_path]
     if aliases:
-        by_alias = _certain(rest, path_targets(aliased(rest, list(aliases)), files, "aliased"))
+        by_alias = _certain(_path_hits(aliased(rest, list(aliases)), files, "aliased"))
         rest = _left(rest, by_alias)
         found.append(by_alias)
-    named = import_targets(rest, name_index(nodes))
-    found.append(_certain(rest, named, F.when(F.col("hits") == 1, schema.UNIQUE).otherwise(schema.AMBIGUOUS)))
+    found.append(_certain(_hits(rest, name_index(nodes), "target_name", _import_keys()), F.when(F.col("hits") == 1, schema.UNIQUE).otherwise(schema.AMBIGUOUS)))
     return union(found)
 
 
 def resolve_types(raw: DataFrame, nodes: DataFrame) -> DataFrame:
-    raw = raw.filter(F.col("kind").isin("EXTENDS", "IMPLEMENTS", "REFERENCES"))
-    return with_confidence(raw, type_targets(raw, name_index(nodes)), nodes)
+    return _ranked(raw.filter(F.col("kind").isin("EXTENDS", "IMPLEMENTS", "REFERENCES")), nodes, _type_keys())
 
 
 def resolve_by_id(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     """CONTAINS and HANDLES_ROUTE, whose targets are ids."""
     raw = raw.filter(F.col("kind").isin("CONTAINS", "HANDLES_ROUTE"))
-    return _certain(raw, raw.select("raw_id", F.col("target_name").alias("target_id")).join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi"))
+    return _certain(raw.withColumn("target_id", F.col("target_name")).join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi"))
 
 
 def resolve_fetches(raw: DataFrame, routes: DataFrame) -> DataFrame:
@@ -177,23 +185,33 @@ def is_external(target: Column) -> Column:
     return out
 
 
-def classify_calls(raw: DataFrame, resolved: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(raw_id, target_name, status): resolved, external or unresolved."""
+def classify_calls(raw: DataFrame, nodes: DataFrame, super_targets: DataFrame | None = None) -> DataFrame:
+    """(target_name, status, n): the calls of each name that are resolved, external or unresolved.
+
+    Counts of the distinct names are joined with the distinct keys of the index;
+    no target is looked up to learn that there is one.
+    """
+    raw = raw.filter("kind = 'CALLS'")
+    counts = []
+    if super_targets is not None:
+        counts.append(raw.join(super_targets.select("raw_id").distinct(), "raw_id", "left_semi").groupBy("target_name").agg(F.count("*").alias("n")).select("target_name", F.lit("resolved").alias("status"), "n"))
+        raw = _left(raw, super_targets)
+    names = raw.groupBy("target_name").agg(F.count("*").alias("n")).withColumn("head", F.when(F.col("target_name").contains("."), F.substring_index("target_name", ".", 1)))
+    done = _winners(raw, name_index(nodes), "target_name", _call_keys()).select("target_name", F.lit(True).alias("done"))
     constants = nodes.filter("kind = 'Constant'").select(F.col("name").alias("head"), F.lit(True).alias("constant")).distinct()
-    done = resolved.select("raw_id", F.lit(True).alias("done")).distinct()
-    calls = raw.filter("kind = 'CALLS'").withColumn("head", F.when(F.col("target_name").contains("."), F.substring_index("target_name", ".", 1)))
     status = F.when(F.col("done"), "resolved").when(is_external(F.col("target_name")) | F.coalesce("constant", F.lit(False)), "external").otherwise("unresolved")
-    return calls.join(done, "raw_id", "left").join(constants, "head", "left").select("raw_id", "target_name", status.alias("status"))
+    counts.append(names.join(done, "target_name", "left").join(constants, "head", "left").select("target_name", status.alias("status"), "n"))
+    return union(counts)
 
 
 def resolution_stats(classified: DataFrame) -> DataFrame:
     """One row: counts and the resolved share, external calls left out of it."""
-    n = lambda s: F.count(F.when(F.col("status") == s, 1))
+    n = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0))
     return classified.agg(n("resolved").alias("resolved"), n("external").alias("external"), n("unresolved").alias("unresolved")).withColumn("percent", F.round(100.0 * F.col("resolved") / F.greatest(F.col("resolved") + F.col("unresolved"), F.lit(1)), 4))
 
 
 def top_unresolved(classified: DataFrame, limit: int = 20) -> DataFrame:
-    return classified.filter("status = 'unresolved'").groupBy("target_name").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "target_name").limit(limit)
+    return classified.filter("status = 'unresolved'").groupBy("target_name").agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "target_name").limit(limit)
 
 
 def resolve_calls(raw: DataFrame, nodes: DataFrame, super_targets: DataFrame | None = None) -> DataFrame:
@@ -201,9 +219,9 @@ def resolve_calls(raw: DataFrame, nodes: DataFrame, super_targets: DataFrame | N
     raw = raw.filter("kind = 'CALLS'")
     found = []
     if super_targets is not None:
-        found.append(_certain(raw, super_targets))
+        found.append(_certain(raw.join(super_targets.select("raw_id", "target_id"), "raw_id")))
         raw = _left(raw, super_targets)
-    found.append(with_confidence(raw, call_targets(raw, name_index(nodes)), nodes))
+    found.append(_ranked(raw, nodes, _call_keys()))
     return union(found)
 
 

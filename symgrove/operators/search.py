@@ -3,8 +3,8 @@
 Words are runs of letters and digits, lower-cased, accents folded.  A query
 splits at other characters but underscores; a token with underscores is a
 phrase of its parts, the last of them a prefix.  Term counts are computed
-inside each row with array functions, so scoring takes two scans (totals, then
-scores) and no shuffle of postings.
+inside each row by regular expressions in generated code, so scoring takes two
+scans (totals, then scores) and no shuffle of postings.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ def fold(text: str) -> str:
     return text.lower().translate({ord(a): b for a, b in zip(_ACCENTED, _PLAIN, strict=True)})
 
 
-def tokens(c: Column) -> Column:
-    folded = F.translate(F.lower(F.coalesce(c, F.lit(""))), _ACCENTED, _PLAIN)
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+_INNER, _GAP = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]+"
+
+
+def folded(c: Column) -> Column:
+    return F.translate(F.lower(F.coalesce(c, F.lit(""))), _ACCENTED, _PLAIN)
 
 
 def query_phrases(query: str) -> list[list[str]]:
@@ -36,20 +38,10 @@ def query_phrases(query: str) -> list[list[str]]:
     return list(map(list, dict.fromkeys(tuple(p) for p in found if p)))
 
 
-def _count(words: Column, phrase: list[str]) -> Column:
-    """Occurrences of the phrase, its last word being a prefix."""
-    last = len(phrase) - 1
-    if not last:
-        return F.size(F.filter(words, lambda x: x.startswith(phrase[0])))
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - last, F.lit(1))), lambda i: _at(words, phrase, i))
-    return F.when(F.size(words) > last, F.size(at)).otherwise(0)
-
-
-def _at(words: Column, phrase: list[str], i: Column) -> Column:
-    ok = F.try_element_at(words, i + (len(phrase) - 1)).startswith(phrase[-1])
-    for j, p in enumerate(phrase[:-1]):
-        ok = ok & (F.try_element_at(words, i + j) == p)
-    return F.coalesce(ok, F.lit(False))
+def _pattern(phrase: list[str]) -> str:
+    """Matches where the phrase begins, its last word being a prefix; occurrences may overlap."""
+    first, *rest = phrase
+    return rf"(?<!{_INNER}){re.escape(first)}" + (f"(?={_GAP}{_GAP.join(map(re.escape, rest))})" if rest else "")
 
 
 def bm25(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
@@ -57,10 +49,11 @@ def bm25(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
     phrases = query_phrases(query)
     if not phrases:
         return rows.limit(0).withColumn("score", F.lit(0.0))
-    words = rows.select("*", *[tokens(F.col(c)).alias(f"__w{i}") for i, c in enumerate(columns)])
+    words = rows.select("*", *[folded(F.col(c)).alias(f"__w{i}") for i, c in enumerate(columns)])
     add = lambda xs: sum(xs[1:], xs[0])
-    size = add([F.size(f"__w{i}") for i in range(len(columns))])
-    tf = [add([_count(F.col(f"__w{i}"), p) for i in range(len(columns))]) for p in phrases]
+    times = lambda i, pattern: F.regexp_count(F.col(f"__w{i}"), F.lit(pattern))
+    size = add([times(i, f"{_INNER}+") for i in range(len(columns))])
+    tf = [add([times(i, _pattern(p)) for i in range(len(columns))]) for p in phrases]
     counted = words.select(*rows.columns, size.alias("__size"), *[t.alias(f"__t{j}") for j, t in enumerate(tf)])
     totals = counted.agg(F.count("*").alias("__n"), F.avg("__size").alias("__avg"), *[F.count(F.when(F.col(f"__t{j}") > 0, 1)).alias(f"__n{j}") for j in range(len(tf))])
     out = counted.filter(add([F.col(f"__t{j}") for j in range(len(tf))]) > 0).crossJoin(F.broadcast(totals))

@@ -93,23 +93,34 @@ def neighbors(g: Graph, start: str, depth: int = 1) -> DataFrame:
 
 
 def shortest_path(g: Graph, start: str, end: str, max_depth: int = 15) -> DataFrame:
-    """(id, name, depth, trail) of the least trail among the shortest undirected ones, or no row."""
+    """(id, name, depth, trail) of the least trail among the shortest undirected ones, or no row.
+
+    Both ends are searched, the smaller frontier first, over links that are
+    made once.  All shortest paths pass the level on which the frontiers meet,
+    and the least trail through a node is the least one to it and on from it.
+    """
     both = g.edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     names = g.nodes.select("id", "name")
-    frontier = cut(names.filter(F.col("id") == start).select("id", F.col("id").alias("trail")))
-    seen = frontier.select("id")
-    depth = 0
-    while frontier.filter(F.col("id") == end).isEmpty():
-        depth += 1
-        if depth > max_depth:
-            return names.limit(0).select("id", "name", F.lit(0).alias("depth"), F.lit("").alias("trail"))
-        step = both.join(frontier.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), F.concat("trail", F.lit(","), "b").alias("trail"))
-        frontier = cut(step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("trail").alias("trail")))
-        if frontier.isEmpty():
-            return names.limit(0).select("id", "name", F.lit(0).alias("depth"), F.lit("").alias("trail"))
-        seen = seen.unionByName(frontier.select("id"))
-    return frontier.filter(F.col("id") == end).join(names, "id").select("id", "name", F.lit(depth).alias("depth"), "trail")
+    none = names.limit(0).select("id", "name", F.lit(0).alias("depth"), F.lit("").alias("trail"))
+    fronts = [cut(names.filter(F.col("id") == x).select("id", F.col("id").alias("trail")).distinct()) for x in (start, end)]
+    seen = [f.select("id") for f in fronts]
+    sizes, depth = [f.count() for f in fronts], 0
+    while all(sizes):
+        joined = fronts[0].join(fronts[1].select("id", F.col("trail").alias("rest")), "id")
+        tail = F.substring("rest", F.length("id") + 1, F.length("rest"))  # without the node itself
+        met = joined.select(F.concat("trail", tail).alias("trail")).agg(F.min("trail").alias("trail")).first()["trail"]
+        if met is not None:
+            return names.filter(F.col("id") == end).limit(1).select("id", "name", F.lit(depth).alias("depth"), F.lit(met).alias("trail"))
+        if depth == max_depth:
+            break
+        i, depth = int(sizes[1] < sizes[0]), depth + 1
+        trail = F.concat("trail", F.lit(","), "b") if i == 0 else F.concat("b", F.lit(","), "trail")
+        step = both.join(fronts[i].withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), trail.alias("trail"))
+        fronts[i] = cut(step.join(seen[i], "id", "left_anti").groupBy("id").agg(F.min("trail").alias("trail")))
+        sizes[i] = fronts[i].count()
+        seen[i] = seen[i].unionByName(fronts[i].select("id"))
+    return none
 
 
 def find_implementations(g: Graph, trait: str, depth: int = 5) -> DataFrame:

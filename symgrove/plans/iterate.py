@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint, so a lost executor costs one step.
-
-    The folder is that of ``spark.checkpoint.dir``; where none is set, as in
-    tests, a local one.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> None:
+    """The folder of ``spark.checkpoint.dir``; where none is set, a local one under a local master, and an error under any other."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="symgrove-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="symgrove-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint, so a lost executor costs one step."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -28,7 +32,7 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(id, component) of undirected ``edges(a, b)``: the smallest id reachable.
 
     Every round hooks each id to the least label among its neighbours and then
@@ -36,7 +40,7 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """
     links = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    for _ in range(rounds):
+    while True:
         near = links.join(label, links["b"] == label["id"]).groupBy("a").agg(F.min("component").alias("m"))
         hooked = label.join(near, label["id"] == near["a"]).select("id", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         jump = hooked.select(F.col("id").alias("j"), F.col("component").alias("further"))
@@ -44,4 +48,3 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
         label = new.select("id", "component")
         if new.filter("component <> was").isEmpty():
             return label
-    raise RuntimeError("components did not converge")

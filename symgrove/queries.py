@@ -103,10 +103,13 @@ def symbol_members(spark, sf_dir):
     return rank.symbol_members(_g(spark, sf_dir).nodes, "C1")
 
 
-@query("""SELECT id, name, kind, file_path, line_start, line_end, signature, visibility, language FROM nodes n WHERE kind IN ('Function', 'Method', 'Constructor') AND NOT contains(lower(file_path), 'cust/n1')
+_KEPT = " AND ".join(f"NOT contains(lower(file_path), '{x}')" for x in rank.DEAD_EXCLUDES)
+
+
+@query(f"""SELECT id, name, kind, file_path, line_start, line_end, signature, visibility, language FROM nodes n WHERE kind IN ('Function', 'Method', 'Constructor') AND {_KEPT}
     AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_id = n.id AND e.kind = 'CALLS')""")
 def dead_code(spark, sf_dir):
-    return rank.dead_symbols(_g(spark, sf_dir), excludes=["cust/n1"], limit=None)
+    return rank.dead_symbols(_g(spark, sf_dir), limit=None)
 
 
 _WALK = """@w AS (SELECT n.id, n.name, n.kind, n.file_path, n.line_start, 0 AS depth, n.name AS path, CAST(NULL AS INT) AS call_line, [n.name] AS names, CAST([] AS INT[]) AS lines FROM nodes n WHERE n.id = '{start}'
@@ -165,9 +168,15 @@ def neighbors(spark, sf_dir):
     return traverse.neighbors(_g(spark, sf_dir), PART_B, 2)
 
 
-@query(f"@{_BOTH}, w AS (SELECT id, 0 AS depth FROM nodes WHERE id = 'R0' UNION SELECT b, depth + 1 FROM w JOIN both_ways ON a = id WHERE depth < 6 AND id <> 'C1') SELECT n.id, n.name, min(w.depth) AS depth FROM w JOIN nodes n USING (id) WHERE n.id = 'C1' GROUP BY ALL", recursive=True)
+_TRAILS = "t0 AS (SELECT id, id AS trail, 0 AS depth FROM nodes WHERE id = 'R0'), " + ", ".join(
+    f"t{d} AS (SELECT b AS id, min(trail || ',' || b) AS trail, {d} AS depth FROM t{d - 1} JOIN both_ways ON a = t{d - 1}.id JOIN dist ON dist.id = b AND dist.depth = {d} GROUP BY b)" for d in range(1, 16)
+)
+
+
+@query(f"""@{_BOTH}, w AS (SELECT id, 0 AS depth FROM nodes WHERE id = 'R0' UNION SELECT b, depth + 1 FROM w JOIN both_ways ON a = id WHERE depth < 15), dist AS MATERIALIZED (SELECT id, min(depth) AS depth FROM w GROUP BY id), {_TRAILS}
+    SELECT n.id, n.name, t.depth, t.trail FROM ({" UNION ALL ".join(f"SELECT * FROM t{d}" for d in range(16))}) t JOIN nodes n USING (id) WHERE n.id = 'C1'""", recursive=True)
 def shortest_path(spark, sf_dir):
-    return traverse.shortest_path(_g(spark, sf_dir), "R0", "C1").select("id", "name", "depth")
+    return traverse.shortest_path(_g(spark, sf_dir), "R0", "C1")
 
 
 @query("SELECT id, name, kind, file_path, line_start, line_end, signature FROM nodes WHERE contains(lower(file_path), 'cust/n1') AND kind NOT IN ('File', 'Import') AND line_start <= 120 AND line_end >= 40")
@@ -255,11 +264,11 @@ def resolve_calls(spark, sf_dir):
 
 
 def _classified(spark, sf_dir):
-    raw, nodes = _raw_calls(spark, sf_dir), _g(spark, sf_dir).nodes
-    return resolve.classify_calls(raw, resolve.resolve_calls(raw, nodes), nodes)
+    return resolve.classify_calls(_raw_calls(spark, sf_dir), _g(spark, sf_dir).nodes)
 
 
-_CLASSIFIED = f"{_CALLS}, classified AS (SELECT raw_id, target_name, CASE WHEN raw_id IN (SELECT raw_id FROM resolved) THEN 'resolved' WHEN starts_with(target_name, 'console.') THEN 'external' ELSE 'unresolved' END AS status FROM raw)"
+_CLASSIFIED = f"""{_CALLS}, classified AS (SELECT raw_id, target_name, CASE WHEN raw_id IN (SELECT raw_id FROM resolved) THEN 'resolved'
+    WHEN starts_with(target_name, 'console.') OR (contains(target_name, '.') AND string_split(target_name, '.')[1] IN (SELECT name FROM nodes WHERE kind = 'Constant')) THEN 'external' ELSE 'unresolved' END AS status FROM raw)"""
 
 
 @query(f"{_CLASSIFIED} SELECT count(*) FILTER (WHERE status = 'resolved') AS resolved, count(*) FILTER (WHERE status = 'external') AS external, count(*) FILTER (WHERE status = 'unresolved') AS unresolved, round(100.0::DOUBLE * count(*) FILTER (WHERE status = 'resolved') / greatest(count(*) FILTER (WHERE status <> 'external'), 1), 4) AS percent FROM classified")
@@ -334,9 +343,8 @@ def entry_points(spark, sf_dir):
 
 
 def _traced(spark, sf_dir):
-    g = _g(spark, sf_dir)
-    entries = g.nodes.filter("parent_id = 'C0' AND kind = 'Method'").select("id", F.col("name").alias("label"))
-    return g, processes.trace(g, entries)
+    g = derived.kept(_web(spark, sf_dir))
+    return g, processes.trace(g, processes.entry_points(g).select("id", "label"))
 
 
 _NEXT = """met{d} AS (SELECT * FROM (SELECT f.process_id, f.label, e.target_id AS id, f.step AS src, e.source_line, e.confidence, n.name, (SELECT max(step) FROM lev{p} x WHERE x.process_id = f.process_id) AS last,
@@ -345,7 +353,8 @@ _NEXT = """met{d} AS (SELECT * FROM (SELECT f.process_id, f.label, e.target_id A
       WHERE NOT EXISTS (SELECT 1 FROM seen{p} s WHERE s.process_id = f.process_id AND s.id = e.target_id)) WHERE k = 1),
     lev{d} AS (SELECT * FROM (SELECT process_id, label, id, last + row_number() OVER (PARTITION BY process_id ORDER BY src, source_line, name, id) AS step, {d} AS depth, confidence FROM met{d}) WHERE step <= 50),
     seen{d} AS (SELECT process_id, id FROM seen{p} UNION ALL SELECT process_id, id FROM lev{d})"""
-_STEPS = """@lev0 AS (SELECT concat('process:', id) AS process_id, concat('Process: ', name) AS label, id, 1 AS step, 0 AS depth, 1.0::DOUBLE AS confidence FROM nodes WHERE parent_id = 'C0' AND kind = 'Method'), seen0 AS (SELECT process_id, id FROM lev0), """ + ", ".join(_NEXT.format(d=d, p=d - 1) for d in range(1, 7))
+_STEPS = f"""@{_ROUTES}, lev0 AS (SELECT concat('process:', n.id) AS process_id, concat('Process: ', min(r.name)) AS label, n.id, 1 AS step, 0 AS depth, 1.0::DOUBLE AS confidence
+      FROM handles h JOIN routes r ON r.id = h.target_id JOIN nodes n ON n.id = h.source_id GROUP BY n.id), seen0 AS (SELECT process_id, id FROM lev0), """ + ", ".join(_NEXT.format(d=d, p=d - 1) for d in range(1, 7))
 _ALL_STEPS = " UNION ALL ".join(f"SELECT * FROM lev{d}" for d in range(7))
 
 
@@ -360,12 +369,65 @@ def processes_list(spark, sf_dir):
     return rank.processes(derived.Graph(*processes.process_graph(steps, g.nodes)), None)
 
 
-@query()
+#: In a block of ten by ten classes the order is that of the columns from a class's own to the first, each from its row up.
+@query("""SELECT concat('P', p_partkey) AS class_id, CAST((p_partkey % 10 - c) * (p_partkey % 100 // 10 + 1) + p_partkey % 100 // 10 - r AS INT) AS pos, concat('P', p_partkey - p_partkey % 100 + 10 * r + c) AS ancestor_id
+    FROM part, range(10) AS x(c), range(10) AS y(r) WHERE c <= p_partkey % 10 AND r <= p_partkey % 100 // 10""", graph=False)
 def c3_mro(spark, sf_dir):
     ext = _g(spark, sf_dir).calls("EXTENDS")
     return mro.c3_mro(ext.select(F.col("source_id").alias("class_id"), F.col("target_id").alias("parent_id"), (F.col("source_line") + 1).alias("ord")))
 
 
+_SUPER = """SELECT concat('C', c_custkey) AS id, c_name AS name, 'Class' AS kind, CAST(NULL AS STRING) AS parent_id FROM {customer}
+    UNION ALL SELECT concat('M', c_custkey), concat(c_name, '.run'), 'Method', concat('C', c_custkey) FROM {customer} WHERE c_custkey % 5 = 0
+    UNION ALL SELECT concat('I', c_custkey), concat(c_name, '.__init__'), 'Constructor', concat('C', c_custkey) FROM {customer}"""
+
+
+@query("""WITH RECURSIVE w AS (SELECT c_custkey AS c, c_custkey // 2 AS a, 1 AS pos FROM customer WHERE c_custkey % 5 = 0 AND c_custkey > 0 UNION ALL SELECT c, a // 2, pos + 1 FROM w WHERE a % 5 <> 0)
+    SELECT c AS raw_id, concat('M', c) AS source_id, concat('M', a) AS target_id, 'CALLS' AS kind, 7 AS source_line, 1.0::DOUBLE AS confidence FROM w WHERE a % 5 = 0""", graph=False)
+def super_calls(spark, sf_dir):
+    """Each class has the one of half its number as its base; every fifth has a method that calls its super()'s."""
+    null = F.lit(None).cast("string")
+    nodes = derived.select(spark, sf_dir, _SUPER).withColumns({"language": F.lit("python"), "file_path": F.lit("m.py")})
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("c"))
+    name = lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    edges = customers.filter("c > 0").select(name("C", F.col("c")).alias("source_id"), name("C", F.expr("c div 2")).alias("target_id"), F.lit("EXTENDS").alias("kind"), F.lit(0).alias("source_line"))
+    raw = customers.filter("c % 5 = 0 AND c > 0").select(F.col("c").alias("raw_id"), name("M", F.col("c")).alias("source_id"), F.lit("CALLS").alias("kind"), F.lit("super().run").alias("target_name"), null.alias("target_module"), F.lit(7).alias("source_line"))
+    return resolve.resolve_calls(raw, nodes, mro.super_targets(raw, nodes, edges))
+
+
+_SCRIPT_FILES = "SELECT concat('F', page_id) AS id, concat('p', page_id, '.ts') AS name, 'File' AS kind, CASE WHEN page_id % 7 = 0 THEN concat('web/p', page_id, '/index.tsx') ELSE concat('web/p', page_id, '.ts') END AS file_path FROM {pages}"
+_SCRIPT_IMPORTS = """SELECT page_id AS raw_id, concat('F', page_id) AS source_id, 'IMPORTS' AS kind, CASE WHEN page_id % 5 = 4 THEN concat('F', k) ELSE 'nothing' END AS target_name, CAST(page_id % 11 AS INT) AS source_line,
+    CASE page_id % 5 WHEN 0 THEN concat('web/./p', k) WHEN 1 THEN concat('web/x/../p', k) WHEN 2 THEN concat('@/p', k) WHEN 3 THEN concat('web/q', k) ELSE CAST(NULL AS STRING) END AS target_module
+    FROM (SELECT page_id, CAST(floor(page_id / 2) AS BIGINT) AS k FROM {pages}) x"""
+
+
+@query("SELECT page_id AS raw_id, concat('F', page_id) AS source_id, concat('F', page_id // 2) AS target_id, 'IMPORTS' AS kind, CAST(page_id % 11 AS INT) AS source_line, 1.0::DOUBLE AS confidence FROM pages WHERE page_id % 5 <> 3", graph=False)
+def imports_by_path(spark, sf_dir):
+    """Imports of scripts by relative path, by alias and by id; every fifth leads nowhere."""
+    return resolve.resolve_imports(derived.select(spark, sf_dir, _SCRIPT_IMPORTS), derived.select(spark, sf_dir, _SCRIPT_FILES), [("@/", "web/")])
+
+
+_BY_ID = "SELECT o_orderkey AS raw_id, concat('O', o_orderkey) AS source_id, CASE WHEN o_orderkey % 2 = 0 THEN 'CONTAINS' ELSE 'HANDLES_ROUTE' END AS kind, concat('P', o_orderkey) AS target_name, CAST(NULL AS STRING) AS target_module, 3 AS source_line FROM {orders}"
+
+
+@query("SELECT o_orderkey AS raw_id, concat('O', o_orderkey) AS source_id, concat('P', p_partkey) AS target_id, CASE WHEN o_orderkey % 2 = 0 THEN 'CONTAINS' ELSE 'HANDLES_ROUTE' END AS kind, 3 AS source_line, 1.0::DOUBLE AS confidence FROM orders JOIN part ON o_orderkey = p_partkey", graph=False)
+def resolve_by_id(spark, sf_dir):
+    return resolve.resolve_by_id(derived.select(spark, sf_dir, _BY_ID), _g(spark, sf_dir).nodes)
+
+
+@query("SELECT source_id, target_id, kind, source_line, max(confidence) AS confidence FROM edges GROUP BY ALL UNION ALL SELECT id, parent_id, name, line_start, NULL FROM nodes UNION ALL SELECT DISTINCT file_path, NULL, 'hash', 0, NULL FROM nodes")
+def save_load(spark, sf_dir):
+    """The graph after a save and a load: edges, nodes and file hashes, one under the other."""
+    g = _g(spark, sf_dir)
+    kept = store.temporary(spark)
+    kept.save(g.nodes, g.edges, g.nodes.select("file_path", F.sha2("file_path", 256).alias("hash")).distinct())
+    back = kept.load()
+    none = F.lit(None).cast("double").alias("confidence")
+    nodes = back.nodes.select(F.col("id").alias("source_id"), F.col("parent_id").alias("target_id"), F.col("name").alias("kind"), F.col("line_start").alias("source_line"), none)
+    hashes = kept.load_file_hashes().filter(F.col("hash") == F.sha2("file_path", 256)).select(F.col("file_path").alias("source_id"), F.lit(None).cast("string").alias("target_id"), F.lit("hash").alias("kind"), F.lit(0).alias("source_line"), none)
+    return back.edges.unionByName(nodes).unionByName(hashes)
+
+
 _PATHS = """SELECT page_id AS id, CASE WHEN page_id % 6 = 0 THEN concat('/r/app/p', page_id, '/[id]/page.tsx') WHEN page_id % 6 = 1 THEN concat('/r/app/(g)/[...s]/x', page_id, '/route.ts')
     WHEN page_id % 6 = 2 THEN concat('/r/pages/u', page_id, '/index.tsx') WHEN page_id % 6 = 3 THEN concat('/r/routes/a.$b.c', page_id, '.tsx') WHEN page_id % 6 = 4 THEN concat('/r/pages/api/x', page_id, '.ts') ELSE concat('/r/routes/q', page_id, '/[...k]/+page.svelte') END AS path FROM {pages}"""
 
@@ -407,9 +469,14 @@ def remove_file(spark, sf_dir):
     return nodes.select("id").unionByName(edges.select(F.concat_ws(">", "source_id", "target_id").alias("id")))
 
 
-@query("SELECT concat('  \"', source_id, '\" -> \"', target_id, '\" [label=\"', kind, '\"];') AS line FROM edges WHERE kind <> 'CONTAINS'")
+_COLOR = " ".join(f"WHEN kind IN ({', '.join(repr(k) for k in kinds)}) THEN '{name}'" for name, kinds in export.COLORS.items())
+
+
+@query(f"""SELECT unnest(['digraph symbols {{', '  node [shape=box fontsize=10]; rankdir=LR;', '}}']) AS line
+    UNION ALL SELECT concat('  "', id, '" [label="', replace(string_split(name, '::')[-1], '"', '\\"'), '" style=filled fillcolor="', CASE {_COLOR} ELSE 'white' END, '"];') FROM nodes WHERE kind NOT IN ('File', 'Import')
+    UNION ALL SELECT concat('  "', source_id, '" -> "', target_id, '" [label="', kind, '"];') FROM edges WHERE kind <> 'CONTAINS'""")
 def export_dot(spark, sf_dir):
-    return export.as_dot(_g(spark, sf_dir)).filter("ord = 2").select("line")
+    return export.as_dot(_g(spark, sf_dir)).select("line")
 
 
 @query("""@k AS (SELECT source_id AS id, string_agg(DISTINCT name, ', ' ORDER BY name) AS calls FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.kind = 'CALLS' GROUP BY 1),
@@ -445,6 +512,6 @@ for _name, _sql in _IDIOMS.items():
 
 @query(f"""@w AS (SELECT id, name, 0 AS depth FROM nodes WHERE id = '{ANCHOR}' UNION ALL SELECT n.id, n.name, w.depth + 1 FROM w JOIN edges e ON e.source_id = w.id AND e.kind = 'CALLS' JOIN nodes n ON n.id = e.target_id WHERE w.depth < 3) SELECT DISTINCT name, depth FROM w""", recursive=True)
 def raw_call_tree(spark, sf_dir):
-    g = _g(spark, sf_dir)
+    g = derived.kept(_g(spark, sf_dir))
     return store.raw_query(spark, f"""WITH RECURSIVE w AS (SELECT id, name, 0 AS depth FROM {{nodes}} WHERE id = '{ANCHOR}' UNION ALL
         SELECT n.id, n.name, w.depth + 1 FROM w JOIN {{edges}} e ON e.source_id = w.id AND e.kind = 'CALLS' JOIN {{nodes}} n ON n.id = e.target_id WHERE w.depth < 3) SELECT DISTINCT name, depth FROM w""", nodes=g.nodes, edges=g.edges)

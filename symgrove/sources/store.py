@@ -7,6 +7,7 @@ partitioned by kind, which prunes reads as indexes on the kind would.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from symgrove import schema
 from symgrove.operators.resolve import dedup_edges
+from symgrove.plans.iterate import checkpoint_folder
 from symgrove.sources.derived import Graph
 
 BACKEND = "spark"
@@ -126,6 +128,15 @@ class Store:
             df.createOrReplaceTempView(name)
 
 
+def temporary(spark: SparkSession) -> Store:
+    """A store beside the checkpoints, where all executors reach it; it goes when the JVM ends."""
+    checkpoint_folder(spark)
+    out = Store(spark, f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}")
+    fs, path = out._fs()
+    fs.deleteOnExit(path(out.path))
+    return out
+
+
 def valid_nodes(nodes: DataFrame) -> DataFrame:
     ok = F.col("kind").isin(schema.SYMBOL_KINDS) & F.col("language").isin(list(schema.LANGUAGES)) & (F.col("id") != "")
     return nodes.filter(ok).withColumn("visibility", F.when(F.col("visibility").isin(schema.VISIBILITIES), F.col("visibility")).otherwise("Private"))
