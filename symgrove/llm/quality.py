@@ -15,9 +15,13 @@ n-grams are the word (letters and digits, ASCII lower case) and the shape
 each white-space token, and pairs of neighbouring shapes.
 
 Documents are then sampled by Gumbel top-k: of N documents those k with the
-largest ``importance / temperature + Gumbel noise`` are kept, importance being
-capped at ``CAP`` above the threshold.  k is the number of documents at or
-above the threshold that best separates the held-out labelled documents.
+largest ``importance / temperature + Gumbel noise`` are kept.  k is the number
+of documents at or above the threshold that best separates the held-out
+labelled documents.
+
+The least passage stands for the document because the sum over all of it can't
+give right results here: of the held-out toxic documents of 40,000 it drops
+71 % and keeps 78 % of the good ones, against 93 % and 97 % (README).
 
 Defined cases: without both good and bad labelled documents nothing can be
 learned and every document is kept.  A null or empty text has no n-grams and
@@ -29,6 +33,8 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,8 +46,7 @@ from symgrove.llm.runtime import cut, cut_points, uniform, up_to_cut, without_id
 BUCKETS = 1 << 20
 PASSAGE = 32
 SMOOTHING = 1.0
-TEMPERATURE = 0.1
-CAP = 2.0
+TEMPERATURE = 1.0
 HELD_OUT = 4
 #: Labelled documents used, those with the smallest hash of their id; this bounds what is broadcast.
 MAX_LABELLED = 400_000
@@ -148,7 +153,7 @@ def log_ratios(docs: DataFrame, target_ids: np.ndarray, buckets: int = BUCKETS,
     rates = {r["kind"]: r["rate"] for r in table.groupBy("kind").agg((F.sum(F.col("w") * F.col("target")) / F.greatest(F.sum("target"), F.lit(1))).alias("rate")).collect()}
     for k, rate in rates.items():
         out[int(k) * buckets : (int(k) + 1) * buckets] = -rate
-    got = table.select("bucket", "kind", "w").filter("abs(w) > 0.02").select("bucket", (F.col("w") - F.create_map(*[F.lit(x) for k, v in rates.items() for x in (int(k), v)])[F.col("kind").cast("int")]).cast("float").alias("w")).toArrow()  # at most 3 * buckets rows, whatever the input
+    got = table.select("bucket", "kind", "w").select("bucket", (F.col("w") - F.create_map(*[F.lit(x) for k, v in rates.items() for x in (int(k), v)])[F.col("kind").cast("int")]).cast("float").alias("w")).toArrow()  # at most 3 * buckets rows, whatever the input
     out[got["bucket"].to_numpy()] = got["w"].to_numpy()
     return out
 
@@ -194,8 +199,8 @@ def keep(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, b
     if at is None:
         return scored.withColumn("kept", F.lit(True))
     noise = -F.log(-F.log(uniform(seed, F.col("doc_id"))))
-    rank = F.least(F.col("importance") - at, F.lit(CAP)) / temperature + noise
-    keyed = scored.withColumn("part", F.lit(0)).withColumn("key", 1 / (1 + F.exp(rank / 8)))
+    rank = (F.col("importance") - at) / temperature + noise
+    keyed = scored.withColumn("part", F.lit(0)).withColumn("key", 0.5 - F.atan(rank / 8) / math.pi)  # in (0, 1), the best first
     quota = keyed.groupBy("part").agg(F.sum((F.col("importance") >= at).cast("long")).alias("n"))
     last = F.broadcast(cut_points(keyed, "part", "key", "doc_id", cut(quota), bins=1 << 16))
     return keyed.join(last, "part").select("doc_id", "importance", F.coalesce(up_to_cut(F.col("key"), F.col("doc_id")), F.lit(False)).alias("kept"))
