@@ -11,13 +11,16 @@ is an MD5, so every engine and every run gives the same sample.
 
 Two passes: the first sees ids and sizes only, finds for each source the last
 rank that is taken, and hands this one row per source to the second, which
-decides row by row.  No text is shuffled.
+decides row by row.  No text is shuffled, unless there are more than
+``BROADCAST_PARTS`` sources, such as web domains: then what is known of them is
+joined by a shuffle, in place of a broadcast.
 
 Defined cases: a null source is a source of its own.  A null or empty text has
 size 1.  Documents with a null id are left out.  Rows that repeat a doc_id and
 text share one random number and are decided alike, so the sample may then
 miss its size by the repeats.  Sources of weight 0, or missing from given
-weights, get no copies.
+weights, get no copies.  A column ``copies`` of the table gives way to the one
+that is appended.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symgrove.llm.runtime import cut, cut_points, uniform, up_to_cut
+from symgrove.llm.runtime import BROADCAST_PARTS, cut, cut_points, handed, named, uniform, up_to_cut
 
 SEED = "mix-1"
 NO_SOURCE = "\x00"
@@ -37,19 +40,26 @@ def size_of(text: Column) -> Column:
     return F.floor(F.sqrt(F.sqrt(n)) * 1000).cast("long")
 
 
-def shares(sizes: DataFrame, weights: DataFrame | None, total: int | None) -> DataFrame:
-    """(src, n, m): copies and summed size of each source; one row per source."""
+def shares(sizes: DataFrame, weights: DataFrame | None, total: int | None, most: int = BROADCAST_PARTS) -> tuple[DataFrame, bool]:
+    """((src, n, m): copies and summed size of each source, whether these rows are few)."""
     per = sizes.groupBy("src").agg(F.sum("size").alias("m"), F.count("*").alias("docs"))
     w = per.withColumn("w", F.lit(1).cast("long")) if weights is None else per.join(weights.groupBy(F.coalesce(F.col("source"), F.lit(NO_SOURCE)).alias("src")).agg(F.max(F.col("weight").cast("long")).alias("w")), "src")
-    w = w.filter("w > 0")
-    every = Window.partitionBy(F.lit(1))
-    w = w.withColumn("t", F.sum("docs").over(every) if total is None else F.lit(total).cast("long")).withColumn("ws", F.sum("w").over(every))
-    w = w.withColumn("base", F.expr("t * w div ws")).withColumn("rest", F.expr("t * w % ws"))
-    rank = F.row_number().over(every.orderBy(F.desc("rest"), "src"))
-    return w.select("src", "m", (F.col("base") + (rank <= F.col("t") - F.sum("base").over(every)).cast("long")).alias("n"))
-
-
-def sample_copies(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, seed: str = SEED) -> DataFrame:
+    w = cut(w.filter("w > 0"))
+    known = w.agg(F.count("*").alias("n"), F.sum("docs").alias("t"), F.sum("w").alias("ws")).first()
+    t, ws = (known["t"] if total is None else total) or 0, known["ws"] or 1
+    w = w.withColumn("base", F.expr(f"{t}L * w div {ws}L")).withColumn("rest", F.expr(f"{t}L * w % {ws}L"))
+    if known["n"] <= most:
+        every = Window.partitionBy(F.lit(1))
+        more = F.row_number().over(every.orderBy(F.desc("rest"), "src")) <= t - F.sum("base").over(every)
+        return cut(w.select("src", "m", (F.col("base") + more.cast("long")).alias("n"))), True
+    w = w.withColumn("part", F.lit(0)).withColumn("key", (F.lit(ws) - F.col("rest")) / F.lit(ws + 1.0))
+    quota = cut(w.groupBy("part").agg((F.lit(t) - F.sum("base")).alias("n")))
+    last = cut_points(w, "part", "key", "src", quota).select("part", "last_key", "last_tie")
+    more = F.coalesce(up_to_cut(F.col("key"), F.col("src")), F.lit(False))
+    return cut(w.join(F.broadcast(last), "part").select("src", "m", (F.col("base") + more.cast("long")).alias("n"))), False
+
+
+def sample_copies(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, seed: str = SEED, most: int = BROADCAST_PARTS) -> DataFrame:
     """The rows of ``docs`` that are taken, with ``copies`` appended.
 
     ``weights(source, weight)`` holds integers; without it all sources weigh
@@ -58,28 +68,28 @@ def sample_copies(docs: DataFrame, weights: DataFrame | None = None, total: int
     """
     src, size = F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)), size_of(F.col("text"))
     slim = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), src.alias("src"), size.alias("size"))
-    per = F.broadcast(cut(shares(slim, weights, total)))  # one row per source
+    per, few = shares(slim, weights, total, most)
 
     def odds(doc_id: Column) -> Column:
         u, p = uniform(seed, doc_id), F.expr("CAST((n * size) % m AS DOUBLE) / m")
         q = (u / (F.lit(1.0) - u)) / (p / (F.lit(1.0) - p))
         return q / (F.lit(1.0) + q)
 
-    ranked = slim.join(per, "src").withColumn("whole", F.expr("n * size div m"))
+    ranked = slim.join(handed(per, few), "src").withColumn("whole", F.expr("n * size div m"))
     quota = cut(ranked.groupBy("src").agg((F.max("n") - F.sum("whole")).alias("n")))
     part = ranked.filter("(n * size) % m > 0").withColumn("key", odds(F.col("doc_id")))
-    last = F.broadcast(cut_points(part, "src", "key", "doc_id", quota).join(per, "src"))
+    last = handed(cut(cut_points(part, "src", "key", "doc_id", quota, few=few).join(per, "src")), few)
 
-    inner = docs.filter("doc_id IS NOT NULL").select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), src.alias("src"), size.alias("size"))
+    inner = docs.filter("doc_id IS NOT NULL").select(F.struct(*named(docs.columns)).alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), src.alias("src"), size.alias("size"))
     taken = inner.join(last, "src").withColumn("whole", F.expr("n * size div m"))
     chosen = F.when(F.expr("(n * size) % m > 0"), up_to_cut(odds(F.col("doc_id")), F.col("doc_id"))).otherwise(False)
     taken = taken.withColumn("copies", F.col("whole") + chosen.cast("long")).filter("copies > 0")
-    return taken.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns], F.col("copies"))
+    return taken.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns if c.lower() != "copies"], F.col("copies"))
 
 
 def mixed(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` with each row repeated as often as it was taken."""
-    out = sample_copies(docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "source", "text"), **kw)
+    out = sample_copies(docs.select(F.struct(*named(docs.columns)).alias("__doc"), "doc_id", "source", "text"), **kw)
     copies = out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return copies.select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])
 

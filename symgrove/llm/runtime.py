@@ -78,21 +78,31 @@ def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     return df.join(ids, key, "left_anti").select(*named(df.columns))
 
 
-def cut_points(df: DataFrame, part: str, key: str, tie: str, quota: DataFrame, bins: int = 4096) -> DataFrame:
+#: Tables of parts up to this number of rows are broadcast; longer ones are joined by a shuffle.
+BROADCAST_PARTS = 1 << 16
+
+
+def handed(df: DataFrame, few: bool) -> DataFrame:
+    """``df`` as a side of a join: broadcast if it was counted and has few rows."""
+    return F.broadcast(df) if few else df
+
+
+def cut_points(df: DataFrame, part: str, key: str, tie: str, quota: DataFrame, bins: int = 4096, few: bool = True) -> DataFrame:
     """(part, last_key, last_tie): the ``quota.n``-th smallest (key, tie) of each ``part``.
 
     ``key`` lies in (0, 1).  Instead of sorting a whole part in one task, count
     a histogram of the keys, find the bin in which each quota ends and rank
     only the rows of that bin.  A part with no more rows than its quota has
-    (2.0, null), above every key; a quota of 0 has (-1.0, null).
+    (2.0, null), above every key; a quota of 0 has (-1.0, null).  ``few`` says
+    that the parts are at most BROADCAST_PARTS.
     """
     binned = df.select(part, key, tie, F.least(F.floor(F.col(key) * bins), F.lit(bins - 1)).cast("int").alias("__bin"))
     w = Window.partitionBy(part).orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = binned.groupBy(part, "__bin").agg(F.count("*").alias("__c")).withColumn("__upto", F.sum("__c").over(w))
-    ends = hist.join(F.broadcast(quota.select(part, F.col("n").alias("__n"))), part).filter("__upto >= __n AND __upto - __c < __n AND __n > 0")
+    ends = hist.join(handed(quota.select(part, F.col("n").alias("__n")), few), part).filter("__upto >= __n AND __upto - __c < __n AND __n > 0")
     ends = cut(ends.select(part, "__bin", (F.col("__n") - F.col("__upto") + F.col("__c")).alias("__need")))
     rank = Window.partitionBy(part).orderBy(key, tie)
-    last = binned.join(F.broadcast(ends), [part, "__bin"]).withColumn("__r", F.row_number().over(rank)).filter("__r = __need")
+    last = binned.join(handed(ends, few), [part, "__bin"]).withColumn("__r", F.row_number().over(rank)).filter("__r = __need")
     found = last.select(part, F.col(key).alias("last_key"), F.col(tie).alias("last_tie"))
     return quota.join(found, part, "left").select(part, F.when(F.col("n") <= 0, -1.0).otherwise(F.coalesce("last_key", F.lit(2.0))).alias("last_key"), "last_tie")
 
