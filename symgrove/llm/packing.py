@@ -3,7 +3,8 @@
 Each 64-bit word has a 4-bit selector in its top bits, which says how many ids
 of which width fill the other 60.  A document's ids are cut into blocks of
 ``BLOCK`` ids, and ``block_offsets`` has the index of each block's first word,
-so blocks are packed and unpacked side by side, as columns of numpy arrays.
+so blocks are packed and unpacked side by side, as columns of numpy arrays,
+``AT_ONCE`` blocks at a time, so that a text of any length takes no more memory.
 The last word of a block may be part filled; the counts say where it ends.
 Selector 0 is the escape, for an id of more than 60 bits: its place is kept by
 a word of selector 0, and the id itself follows the block's packed words.
@@ -23,6 +24,7 @@ from symgrove.llm import textkit as tk
 from symgrove.llm.pretoken import TOKENIZER, coder, read_ranks
 
 BLOCK = 128
+AT_ONCE = 8192
 SCHEMA = "doc_id long, n_ids long, words binary, block_offsets array<int>"
 
 #: By selector: ids in a word and bits of each.  0 is the escape, 1 a run of zeros.
@@ -47,10 +49,17 @@ def pack(ids: np.ndarray, counts: np.ndarray, block: int = BLOCK) -> tuple[np.nd
     n_blocks = int(per.sum())
     if not n_blocks:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64), per
-    row_at = np.cumsum(counts) - counts
     nth = np.arange(n_blocks) - np.repeat(np.cumsum(per) - per, per)
-    start = np.repeat(row_at, per) + nth * block
     length = np.minimum(np.repeat(counts, per) - nth * block, block)
+    upto = np.concatenate([[0], np.cumsum(length)])
+    parts = [_pack_blocks(ids[upto[lo] : upto[min(lo + AT_ONCE, n_blocks)]], length[lo : lo + AT_ONCE], block) for lo in range(0, n_blocks, AT_ONCE)]
+    sizes = np.concatenate([n for _, n in parts])
+    return np.concatenate([w for w, _ in parts]), np.concatenate([[0], np.cumsum(sizes)]), per
+
+
+def _pack_blocks(ids: np.ndarray, length: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, words of each block) of blocks of ``length`` ids each."""
+    n_blocks = len(length)
     wide = block + 120
     # a block per row, padded with zeros, so no window leaves its block
     inside = np.arange(block) < length[:, None]
@@ -94,7 +103,7 @@ def pack(ids: np.ndarray, counts: np.ndarray, block: int = BLOCK) -> tuple[np.nd
         block_of, col = np.nonzero((bits[:, :block] > 60) & inside)
         before = np.arange(len(block_of)) - (np.cumsum(escapes) - escapes)[block_of]
         words[first[block_of] + n_words[block_of] + before] = m[block_of, col]
-    return words, first, per
+    return words, np.diff(first)
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, n_ids: int, block: int = BLOCK) -> np.ndarray:
@@ -150,3 +159,16 @@ def token_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def decoded(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, ids) of token_blocks(): the ids of each row, decoded in batches."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [batch.column(c).to_pylist() for c in ("n_ids", "words", "block_offsets")]
+            ids = [unpack(np.frombuffer(w or b"", np.uint64), o or [], n or 0, block).view(np.int64) for n, w, o in zip(*rows, strict=True)]
+            offs = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([np.zeros(0, np.int64), *ids])))], ["doc_id", "ids"])
+
+    return blocks.select("doc_id", "n_ids", "words", "block_offsets").mapInArrow(run, "doc_id long, ids array<long>")

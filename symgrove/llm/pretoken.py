@@ -10,6 +10,7 @@ classes Unicode versions may disagree, go through the tokenizer whole.
 from __future__ import annotations
 
 import base64
+import hashlib
 import unicodedata
 
 import numpy as np
@@ -161,7 +162,7 @@ class Coder:
 
 def coder(ranks: bytes) -> Coder:
     """The coder of a rank file's content."""
-    key = ranks[:256] + len(ranks).to_bytes(8, "big")
+    key = hashlib.sha256(ranks).digest()
     if key not in _coders:
         _coders[key] = Coder(ranks)
     return _coders[key]

@@ -14,7 +14,7 @@ An edit (seq, pos, len, text) replaces ``len`` characters at ``pos`` of the
 text as the edits before it left it.
 
 Defined cases: a null text counts as empty.  Edits apply by (seq, pos, len,
-text); a null position is the end of the text, a position or length beyond the
+text), a null seq being 0, so that edits of one seq apply by position; a null position is the end of the text, a position or length beyond the
 end is cut to it, a negative one is 0, a null insertion is empty.  A null edit
 or list of edits changes nothing.  Every row of the input gives one row, null
 and repeated ids included.  Columns other than those named aren't read.

@@ -1,10 +1,12 @@
 """The pipeline's operators and the token counts: brute force, round trips, held-out accuracy, defined cases."""
 
 import base64
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -44,6 +46,18 @@ def test_token_blocks_round_trip(spark, bpe):
     assert packing.token_blocks(table(spark, [])).count() == 0
 
 
+def test_blocks_decode_to_their_ids(spark, bpe, monkeypatch):
+    rows = [(i, t, "s") for i, t in enumerate([*AWKWARD, "word " * 40_000])]
+    monkeypatch.setattr(packing, "AT_ONCE", 3)
+    got = {r["doc_id"]: r["ids"] for r in packing.decoded(packing.token_blocks(table(spark, rows))).collect()}
+    assert got == {i: bpe.encode_ordinary(t or "") for i, t, _ in rows}
+    ids = np.arange(5000, dtype=np.uint64) << np.uint64(52)
+    words, first, per = packing.pack(ids, np.array([700, 0, 4300]))
+    assert per.tolist() == [6, 0, 34]
+    assert packing.unpack(words[: first[6]], first[:6], 700).tolist() == ids[:700].tolist()
+    assert packing.unpack(words[first[6] :], first[6:-1] - first[6], 4300).tolist() == ids[700:].tolist()
+
+
 def test_words_hold_any_ids():
     rnd = np.random.default_rng(1)
     for n in (0, 1, 127, 128, 129, 1000):
@@ -73,6 +87,12 @@ def test_edited_counts_equal_encoding_anew(spark, bpe):
     long = spark.createDataFrame([(1, prose(rnd, 20_000), [(1, 60_000, 2, "xx")])], df.schema)
     assert tokencount.edited_counts(long).first()["chars_encoded"] < 2000
     assert tokencount.edited_counts(df.limit(0)).count() == 0
+    ties = [(2, 0, 0, "late "), (1, 4, 1, "X"), (1, 0, 0, "first "), (None, 0, 1, "N"), (1, 0, 0, "first ")]
+    got = tokencount.edited_counts(spark.createDataFrame([(1, "some words here", ties)], df.schema)).first()
+    now = "Nome words here"  # a null seq is 0; of one seq the lower position comes first
+    for pos, size, new in ((0, 0, "first "), (0, 0, "first "), (4, 1, "X"), (0, 0, "late ")):
+        now = now[:pos] + new + now[pos + size :]
+    assert (got["n_tokens_after"], got["n_chars_after"]) == (len(bpe.encode_ordinary(now)), len(now))
 
 
 def test_quality_keeps_good_documents(spark):
@@ -93,6 +113,38 @@ def test_quality_keeps_good_documents(spark):
     assert quality.keep(docs.limit(0), labels).count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    rnd = random.Random(12)
+    texts = {i: prose(rnd, rnd.randrange(1, 90), bad=i % 4 == 0) for i in range(160)}
+    labels = {i: int(i % 4 != 0) for i in range(120)}
+    docs = table(spark, [(i, t, "s") for i, t in texts.items()])
+    got = {r["doc_id"]: (r["importance"], r["kept"]) for r in quality.keep(docs, spark.createDataFrame([(i, g, 0) for i, g in labels.items()], "doc_id long, quality int, toxic int"), buckets=1 << 12).collect()}
+    known = {r["doc_id"]: (r["good"], r["held"]) for r in quality.judged(spark.createDataFrame([(i, g, 0) for i, g in labels.items()], "doc_id long, quality int, toxic int")).collect()}
+    grams = {i: [tuple(map(int, r)) for r in quality.ngrams(pa.array([t], pa.large_string()), 1 << 12)[0]] for i, t in texts.items()}
+    target = [i for i, (good, held) in known.items() if good and not held]
+    weight = {}
+    for kind in range(3):
+        raw, own = Counter(), Counter()
+        for i, g in grams.items():
+            raw.update(r[kind] for r in g)
+            own.update(r[kind] for r in g if i in target)
+        share = sum(own.values()) / sum(raw.values())
+        w = {x: np.log((own[x] + 1) / (n * share + 1)) for x, n in raw.items()}
+        mean = sum(w[x] * n for x, n in own.items()) / sum(own.values())
+        weight |= {x: v - mean for x, v in w.items()}
+    size, step = quality.PASSAGE, quality.PASSAGE // 2
+    importance = {}
+    for i, g in grams.items():
+        per = [sum(weight[x] for x in r) for r in g]
+        starts = range(0, max(len(per) - size, 0) + step, step) if len(per) > size else [0]
+        importance[i] = float(min(sum(per[a : a + size]) for a in starts))
+    assert all(abs(got[i][0] - importance[i]) < 1e-3 for i in texts)
+    at = quality.threshold(spark.createDataFrame(list(importance.items()), "doc_id long, importance double"), spark.createDataFrame([(i, g) for i, (g, held) in known.items() if held], "doc_id long, good int"))
+    noise = lambda i: -np.log(-np.log((int(hashlib.md5(f"{quality.SEED}|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52))
+    best = sorted(texts, key=lambda i: -(importance[i] - at + noise(i)))[: sum(importance[i] >= at for i in texts)]
+    assert {i for i, (_, kept) in got.items() if kept} == set(best) and 40 < len(best) < 160
+
+
 def test_passages_decide():
     per = np.array([0.0] * 40 + [-1.0] * 4 + [0.0] * 40)
     assert quality.passage_minima(per, np.array([0, 84, 84]), 32).tolist() == [-4.0, 0.0]
@@ -107,6 +159,7 @@ def test_contained_items_against_brute_force(spark):
     rnd = random.Random(3)
     word = lambda: f"w{rnd.randrange(60)}"
     items = {i: [word() for _ in range(rnd.randrange(3, 40))] for i in range(12)}
+    items[11] = items[11][:4]
     docs = {}
     for d in range(60):
         text = [word() for _ in range(rnd.randrange(80))]
@@ -118,12 +171,13 @@ def test_contained_items_against_brute_force(spark):
             text[at:at] = copy
         docs[d] = text
     k, share = 5, 0.8
-    grams = lambda w: [tuple(w[p : p + k]) for p in range(max(len(w) - k + 1, 1 if w else 0))]
+    items |= {20: items[3][:2], 21: [items[4][0]], 22: ["nowhere", "else"]}  # found wherever these words stand
+    grams = lambda w, k: [tuple(w[p : p + k]) for p in range(max(len(w) - k + 1, 0))]
     want = {}
     for d, w in docs.items():
-        g = grams(w)
         for i, item in items.items():
-            own = set(grams(item))
+            g = grams(w, min(k, len(item)))
+            own = set(grams(item, min(k, len(item))))
             span = max(len(item) - k + 1, 1)
             best = max((len({x for x in g[p : p + span] if x in own}) for p in range(len(g))), default=0)
             if best >= np.ceil(len(own) * share - 1e-9) and best:
@@ -156,19 +210,20 @@ def test_mixing_hits_its_sizes(spark):
     rows = [(i, prose(rnd, rnd.randrange(1, 200)), "big" if i % 10 else "small") for i in range(600)] + [(700, None, None), (701, "", None), (None, "x", "big")]
     docs = table(spark, rows)
     out = mixing.sample_copies(docs)
+    assert out.columns == [c for c in docs.columns if c != "copies"] + ["copies"]
     per = Counter()
-    for r in out.collect():
-        per[r["source"]] += r["copies"] if isinstance(r["copies"], int) else 0
-    out = out.toDF(*docs.columns, "n")  # the table's own "copies" stays beside the new one
-    per = Counter()
-    for r in out.select("source", "n").collect():
-        per[r["source"]] += r["n"]
+    for r in out.select("source", "copies").collect():
+        per[r["source"]] += r["copies"]
     assert sum(per.values()) == 602 and max(per.values()) - min(per.values()) <= 1
     weights = spark.createDataFrame([("big", 3), ("small", 1), ("other", 5)], "source string, weight int")
     got = Counter()
-    for r in mixing.sample_copies(docs, weights, 400).toDF(*docs.columns, "n").select("source", "n").collect():
-        got[r["source"]] += r["n"]
+    for r in mixing.sample_copies(docs, weights, 400).select("source", "copies").collect():
+        got[r["source"]] += r["copies"]
     assert got == {"big": 300, "small": 100}
+    each = lambda **kw: Counter((r["doc_id"], r["copies"]) for r in mixing.sample_copies(docs, total=401, **kw).select("doc_id", "copies").collect())
+    assert each() == each(most=0)  # the same where sources are too many to broadcast
+    twice = docs.unionByName(docs.filter("doc_id = 5"))  # repeated rows are decided alike
+    assert mixing.sample_copies(twice).filter("doc_id = 5").select("copies").distinct().count() <= 1
     mixed = mixing.mixed(docs)
     assert mixed.columns == docs.columns and mixed.count() == 602
     assert mixing.mixed(docs.limit(0)).count() == 0
