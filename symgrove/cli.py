@@ -148,10 +148,9 @@ def main(argv: list[str] | None = None, out: Callable[[str], object] = print) ->
     spark = session()
     store = Store(spark, a.db)
     if a.command == "scan":
-        ignore = Path(a.path, ".gitignore")
         config = next((x for x in (Path(a.path, "tsconfig.json"), Path(a.path, "jsconfig.json")) if x.exists()), None)
         aliases = resolve.path_aliases(config.read_text(), Path(a.path).resolve().name) if config else []
-        out(json.dumps(files.scan(spark, str(Path(a.path).resolve()), store, a.clean, not a.no_doc_comments, ignore.read_text() if ignore.exists() else "", aliases)))
+        out(json.dumps(files.scan(spark, str(Path(a.path).resolve()), store, a.clean, not a.no_doc_comments, aliases=aliases)))
         return 0
     if a.command == "mcp":
         from symgrove import mcp

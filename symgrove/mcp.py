@@ -25,6 +25,8 @@ TOOLS = {
     "stats": ("Count nodes, edges, files, languages and kinds.", {}),
     "query": ("Run a SELECT over nodes, edges and file_hashes.", {"query": ("string", ...)}),
 }
+#: Folders and files whose callables the dead_code tool doesn't show; the command line has a list of its own.
+DEAD_EXCLUDES = "node_modules vendor .git dist/ build/ target/ .min.js".split()
 
 
 def tool_list() -> list[dict]:
@@ -49,6 +51,8 @@ def call(spark: SparkSession, store: Store, name: str, given: dict) -> object:
             return []
         walk = traverse.call_chain if name == "call_chain" else traverse.reverse_call_chain
         return cli.rows(walk(g, start, args["depth"]))
+    if name == "dead_code":
+        return cli.rows(rank.dead_symbols(g, [k.strip() for k in args["kinds"].split(",")], [] if args["include_all"] else DEAD_EXCLUDES, args["limit"]))
     if name == "query":
         store.views()
         args = {"sql": args["query"]}

@@ -10,7 +10,8 @@ from symgrove.functions.text import contains, member_name
 from symgrove.sources.derived import Graph
 
 BRIEF = ["id", "name", "kind", "file_path"]
-DEAD_EXCLUDES = sorted(["build/", "dist/", "target/", "vendor/", "third_party/", "node_modules", "pdf.worker", *(f".{x}" for x in ("bundle.js", "min.js", "min.mjs"))])
+#: Build output, dependencies and bundles, which are not a project's own code.
+DEAD_EXCLUDES = "build/ dist/ target/ vendor/ third_party/ node_modules pdf.worker .bundle.js .min.js .min.mjs".split()
 
 
 def stats_totals(g: Graph) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 from symgrove.sources.extract.common import Found, qualified
 
@@ -29,13 +30,41 @@ def _calls(out: Found, body: list[ast.stmt], source: str, owner: str | None) ->
                 out.edge(source, "CALLS", qualified(target, owner), e.lineno - 1)
 
 
+#: Statements of the second version of the language that the third can't parse.
+_OLD = re.compile(r"^(\s*)(?:print|exec)\s+[^\s=(.\[].*$|^(\s*)print\s*>>.*$", re.M)
+_OLD_EXCEPT = re.compile(r"^(\s*except\s+[^\s,:()]+)\s*,\s*\w+\s*:", re.M)
+
+
+def parsed(text: str) -> ast.Module:
+    """The syntax tree of what parses: a statement that doesn't becomes ``pass``.
+
+    Every round blanks one more line, so there are at most two rounds a line.
+    """
+    try:
+        return ast.parse(text)
+    except SyntaxError:
+        pass
+    text = _OLD_EXCEPT.sub(r"\1:", _OLD.sub(lambda m: (m[1] or m[2] or "") + "pass", text.replace("\0", " ")))
+    lines = text.split("\n")
+    while True:
+        try:
+            return ast.parse("\n".join(lines))
+        except SyntaxError as e:
+            at = min(max(e.lineno or 1, 1), len(lines)) - 1
+            while at >= 0 and not lines[at].strip():
+                at -= 1
+            if at < 0:  # nothing is left before the place
+                at = next((i for i, x in enumerate(lines) if x.strip()), -1)
+                if at < 0:
+                    return ast.Module([], [])
+            blank = lines[at].strip() == "pass" or isinstance(e, IndentationError)
+            lines[at] = "" if blank else lines[at][: len(lines[at]) - len(lines[at].lstrip())] + "pass"
+
+
 def extract(path: str, text: str) -> Found:
-    """Files that don't parse give no symbols."""
+    """Symbols of the parts of the file that parse; there is a File node in any case."""
     out = Found(path, "python")
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return out
+    tree = parsed(text)
     file = out.node(path.rsplit("/", 1)[-1], "File", 0, text.count("\n"))
 
     def visit(body: list[ast.stmt], owner: str | None, parent: str) -> None:

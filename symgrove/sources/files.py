@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 from dataclasses import dataclass
 
@@ -16,27 +15,90 @@ from symgrove.operators import mro, processes, resolve
 from symgrove.plans.iterate import cut, union
 from symgrove.sources.derived import Graph
 from symgrove.sources.extract import extract
-from symgrove.sources.store import Store, detect_changes, without_file
+from symgrove.sources.store import Store, detect_changes, raw_without_file, without_file
 
 ROW = f"record string, {schema.NODES}, {schema.RAW_EDGES.replace('kind string', 'edge_kind string').replace('raw_id bigint, ', '')}"
 
 
-def ignore_patterns(text: str) -> list[str]:
-    """Regular expressions for the lines of an ignore file; negations are left out."""
+#: Names of ignore files; in each folder the first ones come first.
+IGNORE_FILES = [".gitignore", ".ignore"]
+
+
+def _glob(pattern: str) -> str:
+    """The regular expression of a path glob: ** crosses folders, * and ? don't."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if pattern.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif pattern.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif c == "[" and "]" in pattern[i + 2 :]:
+            end = pattern.index("]", i + 2)
+            out, i = out + "[" + pattern[i + 1 : end].replace("!", "^", 1).replace("\\", "\\\\") + "]", end + 1
+        elif c == "\\" and i + 1 < len(pattern):
+            out, i = out + re.escape(pattern[i + 1]), i + 2
+        else:
+            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)), i + 1
+    return out
+
+
+def ignore_rules(text: str, folder: str = "") -> list[tuple[str, bool]]:
+    """(regular expression of paths, whether they are ignored) of an ignore file in ``folder``, in the order of its lines.
+
+    A line with ``!`` takes paths back.  A slash before the end ties a pattern
+    to the folder; without one it holds at any depth.
+    """
     out = []
-    for x in text.splitlines():
-        x = x.strip()
-        if x and x[0] not in "#!":
-            body = re.sub(r"\\Z$|\\z$", "", fnmatch.translate(x.strip("/")))
-            out.append(f"(^|/){body}(/|$)" if not x.startswith("/") else f"^{body}(/|$)")
+    base = re.escape(folder.strip("/") + "/") if folder.strip("/") else ""
+    for line in text.splitlines():
+        line = re.sub(r"(?<!\\)\s+$", "", line)
+        if not line or line.startswith("#"):
+            continue
+        ignored = not line.startswith("!")
+        line = line.removeprefix("!")
+        only_folders = line.endswith("/")
+        line = line.rstrip("/")
+        tied = "/" in line
+        body = _glob(line.lstrip("/"))
+        if body:
+            out.append((f"^{base}{'' if tied else '(?:.*/)?'}{body}{'/' if only_folders else '(?:/|$)'}", ignored))
     return out
 
 
+def project_rules(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
+    """The rules of all ignore files below ``root``, outer folders first, after those of ``.git/info/exclude``."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    base = path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = fs.makeQualified(base).toString().rstrip("/")
+
+    def text(at) -> str:
+        stream = fs.open(at)
+        try:
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+        finally:
+            stream.close()
+
+    exclude = path(f"{root}/.git/info/exclude")
+    out = ignore_rules(text(exclude)) if fs.exists(exclude) else []
+    level = ""
+    while True:
+        for name in IGNORE_FILES:
+            for found in sorted(fs.globStatus(path(f"{root}{level}/{name}")) or [], key=lambda f: f.getPath().toString()):
+                out += ignore_rules(text(found.getPath()), found.getPath().getParent().toString().removeprefix(root))
+        level += "/*"
+        if not any(f.isDirectory() for f in fs.globStatus(path(f"{root}{level}")) or []):
+            return out
+
+
 def discover_files(spark: SparkSession, root: str, ignore: str = "") -> DataFrame:
     """(file_path, language, content, hash) of the source files below ``root``.
 
-    Paths start with the root's own name.  Hidden files and folders and those
-    that ``ignore`` (an ignore file's text) names are skipped.
+    Paths start with the root's own name.  Hidden files and folders are
+    skipped, and those that the ignore files of the project and ``ignore`` (the
+    text of another) name: the last rule that a path meets decides.
     """
     root = root.rstrip("/")
     name = root.rsplit("/", 1)[-1]
@@ -45,9 +107,10 @@ def discover_files(spark: SparkSession, root: str, ignore: str = "") -> DataFram
     ext = F.lower(F.element_at(F.split(inner, r"\."), -1))
     language = F.create_map(*[F.lit(x) for kv in schema.EXTENSIONS.items() for x in kv])[ext]
     out = files.select(inner.alias("inner"), language.alias("language"), "content").filter(F.col("language").isNotNull() & ~F.col("inner").rlike(r"(^|/)\."))
-    for p in ignore_patterns(ignore):
-        out = out.filter(~F.col("inner").rlike(p))
-    return out.select(F.concat(F.lit(f"{name}/"), "inner").alias("file_path"), "language", "content", F.sha2("content", 256).alias("hash"))
+    ignored = F.lit(False)
+    for pattern, bad in [*project_rules(spark, root), *ignore_rules(ignore)]:
+        ignored = F.when(F.col("inner").rlike(pattern), bad).otherwise(ignored)
+    return out.filter(~ignored).select(F.concat(F.lit(f"{name}/"), "inner").alias("file_path"), "language", "content", F.sha2("content", 256).alias("hash"))
 
 
 def _extracted(batches):
@@ -57,21 +120,37 @@ def _extracted(batches):
         for path, language, content in zip(*(batch.column(c).to_pylist() for c in ("file_path", "language", "content")), strict=True):
             try:
                 found = extract(path, content.decode("utf-8", "replace"), language)
-            except (RecursionError, IndexError, ValueError):
-                continue  # a file that can't be read is skipped
+            except (RecursionError, IndexError, ValueError) as e:  # the file is skipped, with a record of why
+                rows.append({"record": "failure", "file_path": path, "name": type(e).__name__, "signature": str(e)[:500]})
+                continue
             rows += [{"record": "node", **n} for n in found.nodes]
             rows += [{"record": "edge", **{k: v for k, v in e.items() if k != "kind"}, "edge_kind": e["kind"]} for e in found.edges]
         yield pa.RecordBatch.from_pylist(rows, kinds)
 
 
-def parse_files(files: DataFrame, doc_comments: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(nodes, raw_edges) of discovered files; every file is read and parsed once."""
+@dataclass
+class Parsed:
+    """Symbols, raw edges, and (file_path, error, message) of the files that could not be parsed."""
+
+    nodes: DataFrame
+    raw: DataFrame
+    failures: DataFrame
+
+
+def parse_all(files: DataFrame, doc_comments: bool = True) -> Parsed:
+    """Every one of the discovered files is read and parsed once."""
     rows = cut(files.select("file_path", "language", "content").mapInArrow(_extracted, ROW))
     nodes = rows.filter("record = 'node'").select(*schema.columns(schema.NODES))
     raw = rows.filter("record = 'edge'").select(F.xxhash64("source_id", "edge_kind", "target_name", "target_module", "source_line").alias("raw_id"), "source_id", F.col("edge_kind").alias("kind"), "target_name", "target_module", "source_line").distinct()
     if not doc_comments:
         nodes = nodes.withColumn("doc_comment", F.lit(None).cast("string"))
-    return nodes, raw
+    return Parsed(nodes, raw, rows.filter("record = 'failure'").select("file_path", F.col("name").alias("error"), F.col("signature").alias("message")))
+
+
+def parse_files(files: DataFrame, doc_comments: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, raw_edges) of discovered files."""
+    p = parse_all(files, doc_comments)
+    return p.nodes, p.raw
 
 
 def file_based_routes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +175,8 @@ def file_based_routes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def build_graph(nodes: DataFrame, raw: DataFrame, aliases: list[tuple[str, str]] = ()) -> Graph:
     """Resolved edges and traced processes of extracted symbols."""
     more_nodes, more_raw = file_based_routes(nodes)
-    nodes, raw = cut(nodes.unionByName(more_nodes)), cut(raw.unionByName(more_raw))
+    nodes = cut(nodes.unionByName(more_nodes).groupBy("id").agg(F.max(F.struct(*[c for c in nodes.columns if c != "id"])).alias("n")).select("id", "n.*").select(*nodes.columns))
+    raw = cut(raw.unionByName(more_raw).dropDuplicates(["raw_id"]))
     edges = cut(resolve.resolve_edges(raw, nodes, aliases, mro.super_targets))
     g = Graph(nodes, edges)
     steps = processes.trace(g, processes.entry_points(g).select("id", "label"))
@@ -105,12 +185,33 @@ def build_graph(nodes: DataFrame, raw: DataFrame, aliases: list[tuple[str, str]]
 
 
 def scan(spark: SparkSession, root: str, store: Store, clean: bool = False, doc_comments: bool = True, ignore: str = "", aliases: list[tuple[str, str]] = ()) -> dict[str, int]:
-    """Read a project and save its graph."""
+    """Read a project and save its graph; the counts have ``failed`` where files could not be parsed."""
     if clean:
         store.clear()
     files = discover_files(spark, root, ignore)
-    g = build_graph(*parse_files(files, doc_comments), aliases)
-    return store.save(g.nodes, g.edges, files.select("file_path", "hash"))
+    p = parse_all(files, doc_comments)
+    g = build_graph(p.nodes, p.raw, aliases)
+    counts = store.save(g.nodes, g.edges, files.select("file_path", "hash"), p.raw)
+    failed = p.failures.count()
+    return counts | ({"failed": failed} if failed else {})
+
+
+def apply_changes(store: Store, new: DataFrame, gone: DataFrame, aliases: list[tuple[str, str]] = ()) -> dict[str, int]:
+    """Save the graph with the files ``new(file_path, language, content, hash)`` in place of what they were, and without ``gone(file_path)``.
+
+    Only new files are parsed.  All raw edges are resolved again, since a name
+    that came or went can change what any file refers to; the graph is the one
+    that a scan of all files would give.
+    """
+    touched = cut(new.select("file_path").unionByName(gone.select("file_path")).distinct())
+    g, hashes = store.load(), store.load_file_hashes()
+    own = g.nodes.filter("kind <> 'Process'")
+    nodes, _, hashes = without_file(own, g.edges.limit(0), hashes, touched)
+    raw = raw_without_file(own, store.load_raw_edges(), touched)
+    p = parse_all(new)
+    raw = cut(raw.unionByName(p.raw))
+    fresh = build_graph(nodes.unionByName(p.nodes), raw, aliases)
+    return store.save(fresh.nodes, fresh.edges, hashes.unionByName(new.select("file_path", "hash")), raw)
 
 
 @dataclass
@@ -128,7 +229,7 @@ def incremental_update(nodes: DataFrame, raw: DataFrame, hashes: DataFrame, file
     fresh = changes.filter("change IN ('added', 'modified')").select("file_path")
     as_edges = raw.select("*", F.col("source_id").alias("target_id"), F.lit(1.0).alias("confidence"))
     kept_nodes, _, kept_hashes = without_file(nodes, as_edges, hashes, stale)
-    kept_raw = raw.join(nodes.join(stale, "file_path", "left_semi").select(F.col("id").alias("source_id")), "source_id", "left_anti").select(*raw.columns)
+    kept_raw = raw_without_file(nodes, raw, stale)
     new = files.join(fresh, "file_path", "left_semi")
     new_nodes, new_raw = parse_files(new)
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}

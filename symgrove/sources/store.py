@@ -1,8 +1,11 @@
 """The graph on disk: versioned Parquet snapshots.
 
 A save writes a whole new snapshot next to the old ones and is visible once its
-marker file is there, so a lost driver leaves the last one intact.  Edges are
-partitioned by kind, which prunes reads as indexes on the kind would.
+marker file is there, so a lost driver leaves the last one intact.  The last
+``KEPT`` ones stay, for readers that are still at them.  Edges are partitioned
+by kind, which prunes reads as indexes on the kind would.  The raw edges are
+kept beside the resolved ones, so that changed files can be resolved anew
+against all others.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from symgrove.plans.iterate import checkpoint_folder
 from symgrove.sources.derived import Graph
 
 BACKEND = "spark"
+KEPT = 2
 
 
 def contains_edges(nodes: DataFrame) -> DataFrame:
@@ -46,6 +50,12 @@ def without_file(nodes: DataFrame, edges: DataFrame, hashes: DataFrame, paths: D
     return nodes.join(paths, "file_path", "left_anti").select(*nodes.columns), edges.select(*schema.columns(schema.EDGES)), hashes.join(paths, "file_path", "left_anti")
 
 
+def raw_without_file(nodes: DataFrame, raw: DataFrame, paths: DataFrame) -> DataFrame:
+    """The raw edges that don't start in ``paths(file_path)``."""
+    gone = nodes.join(paths, "file_path", "left_semi").select(F.col("id").alias("source_id"))
+    return raw.join(gone, "source_id", "left_anti").select(*raw.columns)
+
+
 def detect_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(file_path, change) of two tables (file_path, hash): added, modified, removed or unchanged."""
     a, b = old.select("file_path", F.col("hash").alias("was")), new.select("file_path", F.col("hash").alias("now"))
@@ -74,8 +84,8 @@ class Store:
         done = [n for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(path(f"{self.path}/{n}/DONE"))]
         return sorted(int(n[1:]) for n in done)
 
-    def save(self, nodes: DataFrame, edges: DataFrame, hashes: DataFrame | None = None) -> dict[str, int]:
-        """Write a snapshot and return its counts."""
+    def save(self, nodes: DataFrame, edges: DataFrame, hashes: DataFrame | None = None, raw: DataFrame | None = None) -> dict[str, int]:
+        """Write a snapshot, delete those before the last ones, and return its counts."""
         version = (self.versions() or [0])[-1] + 1
         out = f"{self.path}/v{version}"
         nodes, edges = consistent(nodes, edges)
@@ -85,8 +95,13 @@ class Store:
         if hashes is None:
             hashes = self.spark.createDataFrame([], schema.FILE_HASHES)
         hashes.select("file_path", "hash").write.mode("overwrite").parquet(f"{out}/file_hashes")
+        if raw is None:
+            raw = self.spark.createDataFrame([], schema.RAW_EDGES)
+        raw.select(*schema.columns(schema.RAW_EDGES)).write.mode("overwrite").parquet(f"{out}/raw_edges")
         fs, path = self._fs()
         fs.create(path(f"{out}/DONE")).close()
+        for old in self.versions()[:-KEPT]:
+            fs.delete(path(f"{self.path}/v{old}"), True)
         return {"nodes": written.count(), "edges": self._edges(out).count()}
 
     def _edges(self, at: str) -> DataFrame:
@@ -111,11 +126,17 @@ class Store:
             return self.spark.createDataFrame([], schema.FILE_HASHES)
         return self.spark.read.schema(schema.FILE_HASHES).parquet(f"{at}/file_hashes").filter(F.col("hash").rlike("^[0-9a-f]{64}$"))
 
+    def load_raw_edges(self) -> DataFrame:
+        at = self._last()
+        if at is None:
+            return self.spark.createDataFrame([], schema.RAW_EDGES)
+        return self.spark.read.schema(schema.RAW_EDGES).parquet(f"{at}/raw_edges")
+
     def remove_file_nodes(self, file_path: str) -> dict[str, int]:
         g = self.load()
         gone = self.spark.createDataFrame([(file_path,)], "file_path string")
         nodes, edges, hashes = without_file(g.nodes, g.edges, self.load_file_hashes(), gone)
-        return self.save(nodes, edges, hashes)
+        return self.save(nodes, edges, hashes, raw_without_file(g.nodes, self.load_raw_edges(), gone))
 
     def clear(self) -> None:
         fs, path = self._fs()

@@ -1,8 +1,10 @@
 """A graph that follows a stream of file versions.
 
-Rows (file_path, language, content, hash) arrive as a stream; a null content
-means that the file is gone.  Every micro-batch parses what changed and saves a
-new snapshot, so readers see whole states only.
+Rows (file_path, language, content, hash) arrive as a stream, with a
+``version`` that orders the versions of a file if they have one; a null content
+means that the file is gone.  Every micro-batch parses what changed, resolves
+all names against the whole graph and saves a new snapshot, so readers see
+whole states only, and each equals a scan of the files as they are then.
 """
 
 from __future__ import annotations
@@ -11,25 +13,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from symgrove.operators.resolve import dedup_edges
 from symgrove.plans.iterate import cut
-from symgrove.sources.files import build_graph, parse_files
-from symgrove.sources.store import Store, without_file
+from symgrove.sources.files import apply_changes
+from symgrove.sources.store import Store
 
 
 def apply_batch(store: Store, batch: DataFrame) -> None:
-    """Replace the symbols of the batch's files; of several versions of a file the greatest hash counts."""
-    last = Window.partitionBy("file_path").orderBy(F.col("content").isNull(), F.desc("hash"))
-    batch = cut(batch.withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n"))
-    new = batch.filter("content IS NOT NULL").join(store.load_file_hashes().select("file_path", "hash"), ["file_path", "hash"], "left_anti")
-    gone = batch.filter("content IS NULL")
-    touched = cut(new.select("file_path").unionByName(gone.select("file_path")).distinct())
-    if touched.isEmpty():
+    """Replace the symbols of the batch's files.
+
+    Of several versions of a file in a batch the one with the greatest
+    ``version`` counts; of equal ones, or where there is no such column, a
+    deletion, then the greatest hash.  Batches apply in the order of the stream.
+    """
+    version = F.col("version") if "version" in batch.columns else F.lit(0)
+    last = Window.partitionBy("file_path").orderBy(version.desc_nulls_last(), F.col("content").isNull().desc(), F.desc("hash"))
+    batch = cut(batch.withColumn("n", F.row_number().over(last)).filter("n = 1").select("file_path", "language", "content", "hash"))
+    known = store.load_file_hashes()
+    new = batch.filter("content IS NOT NULL").join(known.select("file_path", "hash"), ["file_path", "hash"], "left_anti")
+    gone = batch.filter("content IS NULL").join(known, "file_path", "left_semi")
+    if new.isEmpty() and gone.isEmpty():
         return
-    g = store.load()
-    nodes, edges, hashes = without_file(g.nodes, g.edges, store.load_file_hashes(), touched)
-    fresh = build_graph(*parse_files(new))
-    store.save(nodes.unionByName(fresh.nodes), dedup_edges(edges.unionByName(fresh.edges)), hashes.unionByName(new.select("file_path", "hash")))
+    apply_changes(store, new.select("file_path", "language", "content", "hash"), gone)
 
 
 def follow(files: DataFrame, store: Store, checkpoint: str, **trigger) -> StreamingQuery:

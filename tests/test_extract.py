@@ -88,7 +88,7 @@ def test_qualified():
 
 
 def test_broken_and_unknown_files():
-    assert extract("a.py", "def (").nodes == [] and extract("a.txt", "x").nodes == []
+    assert [n["kind"] for n in extract("a.py", "def (").nodes] == ["File"] and extract("a.txt", "x").nodes == []
     for lang in ("js", "rs", "go", "java", "cs", "swift", "php"):
         assert extract(f"a.{lang}", "").nodes[0]["kind"] == "File"
         extract(f"a.{lang}", "class X { { { fn func function ((((")
@@ -122,3 +122,34 @@ def test_route_handlers_and_fetches():
     assert [(e["source_id"], e["target_name"]) for e in found.edges if e["kind"] == "HANDLES_ROUTE"] == [(handler, route)]
     js = extract("a.js", "function go() {\n  fetch('/a', { method: 'post' });\n  axios.delete('/b');\n  useSWR('/c');\n}")
     assert {("FETCHES", "POST /a"), ("FETCHES", "DELETE /b"), ("FETCHES", "GET /c")} <= edges(js)
+
+
+def test_python_that_does_not_parse_keeps_the_rest():
+    found = extract("p/a.py", "import os\nclass A:\n    def f(self):\n        print 'x'\n        self.g()\n    def g(self):\n        pass\n")
+    assert [(n["kind"], n["name"]) for n in found.nodes] == [("File", "a.py"), ("Import", "os"), ("Class", "A"), ("Method", "A.f"), ("Method", "A.g")]
+    assert ("CALLS", "A.g") in {(e["kind"], e["target_name"]) for e in found.edges}
+    names = lambda text: [n["name"] for n in extract("x.py", text).nodes]
+    assert names("def f(:\n  pass\ndef ok():\n    return 1\n") == ["x.py", "ok"]
+    assert names("x = (1,\ndef ok():\n    pass\n") == ["x.py", "ok"]
+    assert names("try:\n    pass\nexcept E, e:\n    pass\ndef ok(): pass\n") == ["x.py", "ok"]
+    assert names("\0") == names("   a b\n\tc d\n") == names("((((\n\n") == ["x.py"]
+
+
+def test_routes_and_fetches_of_the_frameworks():
+    routes = lambda path, text: [(n["name"], n["line_start"]) for n in extract(path, text).nodes if n["kind"] == "Route"]
+    js = """app.get('/users', h);
+router . post("/x", y);
+@Get('a')
+<Route exact path="/home" element={<X/>} />
+const r = [{ path: '/cfg', element: X }, { path: '/no' }];
+function load() { return fetch('/users', { headers: a(b(c)), method: 'POST' }); }
+axios.get("/z"); useSWR('/s'); map.get('/no'); fetch('/plain')
+"""
+    assert routes("a.js", js) == [("GET /users", 0), ("POST /x", 1), ("GET a", 2), ("GET /home", 3), ("GET /cfg", 4)]
+    assert sorted(e["target_name"] for e in extract("a.js", js).edges if e["kind"] == "FETCHES") == ["GET /plain", "GET /s", "GET /z", "POST /users"]
+    assert routes("a.php", "<?php\n$app->get('/p', f); Route::any('/q', g);\n#[Route('/r', methods: ['PUT'])]\n#[Route('/t')]\nfunction h() {}\n") == [("GET /p", 1), ("ANY /q", 1), ("PUT /r", 2), ("GET /t", 3)]
+    assert routes("a.rs", 'let a = Router::new().route("/x", get(h)).route("/y", post(g));\n#[get("/z")]\nfn z() {}\n') == [("GET /x", 0), ("POST /y", 0), ("GET /z", 1)]
+    assert routes("a.go", 'r.GET("/g", h)\nhttp.HandleFunc("/f", h)\nm.get("/no")\n') == [("GET /g", 0), ("ANY /f", 1)]
+    assert routes("a.java", '@GetMapping("/j")\n@RequestMapping(value = "/k")\n@Named("/no")\nclass A {}\n') == [("GET /j", 0), ("ANY /k", 1)]
+    assert routes("a.cs", '[HttpGet("/c")]\n[Route("/d")]\nclass A {}\n') == [("GET /c", 0), ("ANY /d", 1)]
+    assert routes("a.py", "@app.route('/w')\n@router.get('/v')\n@name('/no')\ndef f():\n    pass\n") == [("ANY /w", 0), ("GET /v", 1)]

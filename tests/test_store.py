@@ -1,8 +1,12 @@
+import hashlib
+import random
+
 import pytest
 
 from symgrove import schema
 from symgrove.sources import files
 from symgrove.sources.store import Store, raw_query
+from symgrove.streaming import watch
 
 
 def project(tmp_path, extra=None):
@@ -78,3 +82,62 @@ def test_only_queries_are_accepted(spark):
     with pytest.raises(ValueError):
         raw_query(spark, "DROP TABLE nodes")
     assert raw_query(spark, "WITH x AS (SELECT 1 AS a) SELECT a FROM x").first()["a"] == 1
+
+
+def test_ignore_files_of_all_folders(spark, tmp_path):
+    root = project(tmp_path, {
+        ".gitignore": "# c\n*.gen.py\n!keep.gen.py\n/top.py\nlogs/\n", "a.gen.py": "x = 1\n", "sub/b.gen.py": "x = 1\n", "sub/keep.gen.py": "x = 1\n", "top.py": "x = 1\n",
+        "sub/top.py": "x = 1\n", "logs/l.py": "x = 1\n", "sub/.gitignore": "in?er/*.py\n!inner/back.py\n", "sub/inner/c.py": "x = 1\n", "sub/inner/back.py": "x = 1\n", "inner/c.py": "x = 1\n",
+        ".git/info/exclude": "**/deep/x.py\n", "sub/deep/x.py": "x = 1\n",
+    })
+    got = {r[0].removeprefix("proj/") for r in files.discover_files(spark, root, "node_modules\n").select("file_path").collect()}
+    assert got == {"src/app.py", "web/api.js", "app/items/page.tsx", "sub/keep.gen.py", "sub/top.py", "sub/inner/back.py", "inner/c.py"}
+
+
+def test_failures_are_recorded(spark, monkeypatch):
+    rows = [("p/a.py", "python", bytearray(b"def f(): pass\n"), "0"), ("p/b.py", "python", bytearray(b"x = " + b"(" * 5000), "1")]
+    df = spark.createDataFrame(rows, "file_path string, language string, content binary, hash string")
+    p = files.parse_all(df)
+    assert {r["name"] for r in p.nodes.collect()} >= {"a.py", "f"}
+    assert {r["file_path"] for r in p.failures.collect()} | {r["file_path"] for r in p.nodes.collect()} == {"p/a.py", "p/b.py"}
+
+
+def test_old_snapshots_go(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "db"))
+    nodes, edges = spark.createDataFrame([], schema.NODES), spark.createDataFrame([], schema.EDGES)
+    for _ in range(4):
+        store.save(nodes, edges)
+    assert store.versions() == [3, 4]
+
+
+def test_changes_give_the_graph_of_a_fresh_scan(spark, tmp_path):
+    rnd = random.Random(3)
+    store, now = Store(spark, str(tmp_path / "db")), {}
+    kind = "file_path string, language string, content binary, hash string, version long"
+
+    def text(i: int) -> str:
+        calls = "".join(f"    f{rnd.randrange(5)}()\n" for _ in range(2))
+        return f"from p.m{rnd.randrange(4)} import f{rnd.randrange(5)}\nclass K{i}(K{rnd.randrange(5)}):\n    def m(self):\n        super().m()\ndef f{i}():\n{calls}def main():\n    f{rnd.randrange(5)}()\n"
+
+    def row(i: int, content: str | None, version: int):
+        digest = hashlib.sha256(content.encode()).hexdigest() if content is not None else None
+        return (f"p/m{i}.py", "python", content.encode() if content is not None else None, digest, version)
+
+    def shape(g):
+        return sorted(map(str, g.nodes.drop("parent_id").collect())), sorted(map(str, g.edges.collect()))
+
+    for step in range(3):
+        batch = []
+        for i in rnd.sample(range(5), 5 if not step else 2):
+            old, new = text(i), None if step and rnd.random() < 0.3 else text(i)
+            batch += [row(i, new, 10 * step + 1), row(i, old, 10 * step)]
+            now[i] = new
+        rnd.shuffle(batch)
+        watch.apply_batch(store, spark.createDataFrame(batch, kind))
+    fresh = Store(spark, str(tmp_path / "fresh"))
+    every = spark.createDataFrame([row(i, t, 0) for i, t in now.items() if t is not None], kind)
+    watch.apply_batch(fresh, every)
+    assert shape(store.load()) == shape(fresh.load())
+    assert sorted(map(tuple, store.load_file_hashes().collect())) == sorted(map(tuple, fresh.load_file_hashes().collect()))
+    kinds = {r[0] for r in store.load().edges.select("kind").distinct().collect()}
+    assert {"CALLS", "EXTENDS", "CONTAINS", "STEP_IN_PROCESS"} <= kinds
