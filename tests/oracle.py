@@ -27,7 +27,7 @@ def canonical(rows, columns):
 
 
 def compare(spark, con, sf_dir: str, query, sql: str) -> str:
-    """An empty string, or what differs."""
+    """An empty string, or what differs; two empty results prove nothing and differ too."""
     df = query(spark, sf_dir)
     got = canonical(df.collect(), df.columns)
     cur = con.execute(sql)
@@ -35,6 +35,8 @@ def compare(spark, con, sf_dir: str, query, sql: str) -> str:
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} against {sorted(columns)}"
     want = canonical(cur.fetchall(), columns)
+    if not got and not want:
+        return "both are empty"
     if got == want:
         return ""
     a, b = [x for x in got if x not in set(want)][:2], [x for x in want if x not in set(got)][:2]
