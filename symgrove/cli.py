@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgrove import schema
-from symgrove.operators import export, ranges, rank, resolve, search, traverse
+from symgrove.operators import export, ranges, rank, resolve, traverse
 from symgrove.sources import files
 from symgrove.sources.derived import Graph
 from symgrove.sources.store import Store, raw_query
@@ -61,7 +61,7 @@ def under_root(df: DataFrame, repo: str) -> DataFrame:
     return df.withColumn("file_path", F.concat(F.lit(Path(repo).resolve().name + "/"), "file_path"))
 
 
-def answer(spark: SparkSession, g: Graph, a: argparse.Namespace) -> object:
+def answer(spark: SparkSession, store: Store, g: Graph, a: argparse.Namespace) -> object:
     """What a read-only command prints."""
     c = a.command
     if c == "stats":
@@ -69,7 +69,7 @@ def answer(spark: SparkSession, g: Graph, a: argparse.Namespace) -> object:
     if c == "hotspots":
         return rows(rank.hotspots(g, a.limit))
     if c == "search":
-        return rows(search.search_symbols(g.nodes, a.query, a.limit))
+        return rows(store.search(a.query, a.limit))
     if c == "routes":
         return rows(rank.routes(g, a.limit))
     if c == "processes":
@@ -166,7 +166,7 @@ def main(argv: list[str] | None = None, out: Callable[[str], object] = print) ->
             for r in df.toLocalIterator():
                 out(r[0].rstrip("\n"))
         return 0
-    got = answer(spark, g, a)
+    got = answer(spark, store, g, a)
     out(json.dumps(got, indent=2, default=str) if got else "(no results)")
     return 0
 

@@ -56,7 +56,7 @@ def call(spark: SparkSession, store: Store, name: str, given: dict) -> object:
     if name == "query":
         store.views()
         args = {"sql": args["query"]}
-    return cli.answer(spark, g, argparse.Namespace(command=name.replace("_", "-"), **args))
+    return cli.answer(spark, store, g, argparse.Namespace(command=name.replace("_", "-"), **args))
 
 
 def handle(spark: SparkSession, store: Store, message: dict) -> dict | None:

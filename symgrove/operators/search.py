@@ -5,6 +5,10 @@ splits at other characters but underscores; a token with underscores is a
 phrase of its parts, the last of them a prefix.  Term counts are computed
 inside each row by regular expressions in generated code, so scoring takes two
 scans (totals, then scores) and no shuffle of postings.
+
+A stored graph has an index instead: postings (token, id, column, positions)
+partitioned by the token's first character and sorted by token, so that a query
+reads the row groups of its own words only, and one row of totals.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql import functions as F
 from symgrove import schema
 
 K1, B = 1.2, 0.75
+SYMBOL_TEXT = ["name", "signature", "doc_comment"]
+HEADS = 64
 _ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x180)) if len(unicodedata.normalize("NFD", c)) == 2)
 _PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED).lower()
 
@@ -57,6 +63,11 @@ def bm25(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
     counted = words.select(*rows.columns, size.alias("__size"), *[t.alias(f"__t{j}") for j, t in enumerate(tf)])
     totals = counted.agg(F.count("*").alias("__n"), F.avg("__size").alias("__avg"), *[F.count(F.when(F.col(f"__t{j}") > 0, 1)).alias(f"__n{j}") for j in range(len(tf))])
     out = counted.filter(add([F.col(f"__t{j}") for j in range(len(tf))]) > 0).crossJoin(F.broadcast(totals))
+    return out.select(*rows.columns, _score(len(tf)).alias("score"))
+
+
+def _score(n_terms: int) -> Column:
+    """From the columns __t0 ... (counts), __n0 ... (rows that have any), __size, __avg and __n."""
 
     def term(j: int) -> Column:
         n, t = F.col(f"__n{j}"), F.col(f"__t{j}")
@@ -64,9 +75,57 @@ def bm25(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
         idf = F.when(idf > 0, idf).otherwise(1e-6)
         return idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("__size") / F.col("__avg")))
 
-    return out.select(*rows.columns, (-add([term(j) for j in range(len(tf))])).alias("score"))
+    terms = [term(j) for j in range(n_terms)]
+    return -sum(terms[1:], terms[0])
+
+
+def _head(token: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(token, 1, 1)), F.lit(HEADS)).cast("int")
+
+
+def postings(rows: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
+    """(head, token, id, col, positions, size): where each token is; size is the number of tokens of the row."""
+    words = [F.regexp_extract_all(folded(F.col(c)), F.lit(f"{_INNER}+"), F.lit(0)) for c in columns]
+    each = rows.select(F.col(key).alias("id"), F.array(*words).alias("w")).withColumn("size", F.aggregate("w", F.lit(0), lambda n, x: n + F.size(x)))
+    each = each.select("id", "size", F.posexplode("w").alias("col", "x")).select("id", "size", "col", F.posexplode("x").alias("pos", "token"))
+    return each.groupBy("token", "id", "col", "size").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select(_head(F.col("token")).alias("head"), "token", "id", "col", "positions", "size")
+
+
+def totals(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: (n, tokens) of all rows."""
+    sizes = [F.regexp_count(folded(F.col(c)), F.lit(f"{_INNER}+")) for c in columns]
+    return rows.agg(F.count("*").alias("n"), F.sum(sum(sizes[1:], sizes[0]).cast("long")).alias("tokens"))
+
+
+def bm25_indexed(index: DataFrame, total: DataFrame, query: str) -> DataFrame:
+    """(id, score) of the rows that have any query token, as bm25() has them, from postings() and totals()."""
+    phrases = query_phrases(query)
+    if not phrases:
+        return index.select("id", F.lit(0.0).alias("score")).limit(0)
+
+    def at(word: str, prefix: bool, back: int) -> DataFrame:
+        mine = F.col("token").startswith(word) if prefix else F.col("token") == word
+        return index.filter((F.col("head") == _head(F.lit(word))) & mine).select("id", "col", "size", F.explode("positions").alias("pos")).withColumn("pos", F.col("pos") - back)
+
+    found = None
+    for j, phrase in enumerate(phrases):
+        hits = at(phrase[0], len(phrase) == 1, 0)
+        for back, word in enumerate(phrase[1:], 1):
+            hits = hits.join(at(word, back == len(phrase) - 1, back).select("id", "col", "pos"), ["id", "col", "pos"], "left_semi")
+        one = hits.select("id", "size", F.lit(j).alias("j"))
+        found = one if found is None else found.unionByName(one)
+    per = found.groupBy("id", "size").agg(*[F.count_if(F.col("j") == j).alias(f"__t{j}") for j in range(len(phrases))])
+    known = per.agg(*[F.count_if(F.col(f"__t{j}") > 0).alias(f"__n{j}") for j in range(len(phrases))])
+    of = total.select(F.col("n").alias("__n"), (F.col("tokens") / F.col("n")).alias("__avg"))
+    return per.withColumnRenamed("size", "__size").crossJoin(F.broadcast(known)).crossJoin(F.broadcast(of)).select("id", _score(len(phrases)).alias("score"))
+
+
+def search_indexed(index: DataFrame, total: DataFrame, nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """search_symbols() from the index of a stored graph."""
+    hits = nodes.join(bm25_indexed(index, total, query), "id").filter(~F.col("kind").isin(schema.HIDDEN))
+    return hits.orderBy("score", "id").limit(limit).select("id", "name", "kind", "file_path", "line_start", "line_end", "signature", "doc_comment", "score")
 
 
 def search_symbols(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    hits = bm25(nodes, query, ["name", "signature", "doc_comment"]).filter(~F.col("kind").isin(schema.HIDDEN))
+    hits = bm25(nodes, query, SYMBOL_TEXT).filter(~F.col("kind").isin(schema.HIDDEN))
     return hits.orderBy("score", "id").limit(limit).select("id", "name", "kind", "file_path", "line_start", "line_end", "signature", "doc_comment", "score")

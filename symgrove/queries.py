@@ -238,6 +238,13 @@ def search_bm25(spark, sf_dir):
     return hits.select("id", "name", "kind", F.round("score", 6).alias("score")).orderBy("score", "id").limit(200)
 
 
+@query("@" + _bm25("nodes", ["name", "signature", "doc_comment"], ["ring", "brand", "order"], "id", ""))
+def search_index(spark, sf_dir):
+    """The same scores from the postings of an index, over all nodes."""
+    nodes = _g(spark, sf_dir).nodes
+    return search.bm25_indexed(search.postings(nodes, search.SYMBOL_TEXT), search.totals(nodes, search.SYMBOL_TEXT), "ring brand order").select("id", F.round("score", 6).alias("score"))
+
+
 _INDEX = "idx AS (SELECT DISTINCT k AS key, id FROM (SELECT id, unnest([name, string_split(name, '::')[-1], string_split(name, '.')[-1]]) AS k FROM nodes))"
 _RAW = f"raw AS ({derived.plain(derived.RAW_CALLS)})"
 _CALLS = f"""@{_INDEX}, {_RAW},

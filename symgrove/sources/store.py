@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgrove import schema
+from symgrove.operators import search
 from symgrove.operators.resolve import dedup_edges
 from symgrove.plans.iterate import checkpoint_folder
 from symgrove.sources.derived import Graph
@@ -91,6 +92,9 @@ class Store:
         nodes, edges = consistent(nodes, edges)
         nodes.write.mode("overwrite").parquet(f"{out}/nodes")
         written = self.spark.read.schema(schema.NODES).parquet(f"{out}/nodes")
+        index = search.postings(written, search.SYMBOL_TEXT)
+        index.repartition("head").sortWithinPartitions("head", "token").write.mode("overwrite").partitionBy("head").parquet(f"{out}/postings")
+        search.totals(written, search.SYMBOL_TEXT).write.mode("overwrite").parquet(f"{out}/totals")
         edges.repartition("kind", "source_id").sortWithinPartitions("kind", "source_id").write.mode("overwrite").partitionBy("kind").parquet(f"{out}/edges")
         if hashes is None:
             hashes = self.spark.createDataFrame([], schema.FILE_HASHES)
@@ -126,6 +130,14 @@ class Store:
             return self.spark.createDataFrame([], schema.FILE_HASHES)
         return self.spark.read.schema(schema.FILE_HASHES).parquet(f"{at}/file_hashes").filter(F.col("hash").rlike("^[0-9a-f]{64}$"))
 
+    def search(self, query: str, limit: int = 20) -> DataFrame:
+        """Ranked symbols, from the index of the last snapshot."""
+        at, nodes = self._last(), self.load().nodes
+        if at is None:
+            return search.search_symbols(nodes, query, limit)
+        index = self.spark.read.schema("token string, id string, col int, positions array<int>, size int, head int").parquet(f"{at}/postings")
+        return search.search_indexed(index, self.spark.read.schema("n long, tokens long").parquet(f"{at}/totals"), nodes, query, limit)
+
     def load_raw_edges(self) -> DataFrame:
         at = self._last()
         if at is None:

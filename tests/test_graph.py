@@ -161,6 +161,9 @@ def test_search_ranks_as_sqlite_does(spark):
         want = {r[0] - 1: r[1] for r in con.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (match,))}
         got = {r["i"]: r["score"] for r in search.bm25(df, query, ["name", "signature", "doc"]).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want), query
+        columns = ["name", "signature", "doc"]
+        got = {r["id"]: r["score"] for r in search.bm25_indexed(search.postings(df, columns, "i"), search.totals(df, columns), query).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want), query
     assert search.bm25(df, "--- !", ["name"]).count() == 0
 
 
