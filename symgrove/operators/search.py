@@ -3,8 +3,9 @@
 Words are runs of letters and digits, lower-cased, accents folded.  A query
 splits at other characters but underscores; a token with underscores is a
 phrase of its parts, the last of them a prefix.  Term counts are computed
-inside each row by regular expressions in generated code, so scoring takes two
-scans (totals, then scores) and no shuffle of postings.
+inside each row by regular expressions in generated code, in one scan of the
+text: counts alone are kept, and give the totals and then the scores, without a
+shuffle of postings.
 
 A stored graph has an index instead: postings (token, id, column, positions)
 partitioned by the token's first character and sorted by token, so that a query
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgrove import schema
+from symgrove.plans.iterate import cut
 
 K1, B = 1.2, 0.75
 SYMBOL_TEXT = ["name", "signature", "doc_comment"]
@@ -50,20 +52,24 @@ def _pattern(phrase: list[str]) -> str:
     return rf"(?<!{_INNER}){re.escape(first)}" + (f"(?={_GAP}{_GAP.join(map(re.escape, rest))})" if rest else "")
 
 
-def bm25(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
-    """``rows`` that have any query token, with ``score``, least (best) first in sense; statistics are over all rows."""
-    phrases = query_phrases(query)
+def bm25(rows: DataFrame, query: str, columns: list[str], shown: list[str] | None = None) -> DataFrame:
+    """``rows`` that have any query token, with ``score``, least (best) first in sense; statistics are over all rows.
+
+    ``shown`` are the columns of the result, by default all; leave out long texts.
+    """
+    phrases, shown = query_phrases(query), rows.columns if shown is None else shown
     if not phrases:
-        return rows.limit(0).withColumn("score", F.lit(0.0))
+        return rows.limit(0).select(*shown, F.lit(0.0).alias("score"))
     words = rows.select("*", *[folded(F.col(c)).alias(f"__w{i}") for i, c in enumerate(columns)])
     add = lambda xs: sum(xs[1:], xs[0])
     times = lambda i, pattern: F.regexp_count(F.col(f"__w{i}"), F.lit(pattern))
     size = add([times(i, f"{_INNER}+") for i in range(len(columns))])
     tf = [add([times(i, _pattern(p)) for i in range(len(columns))]) for p in phrases]
-    counted = words.select(*rows.columns, size.alias("__size"), *[t.alias(f"__t{j}") for j, t in enumerate(tf)])
+    counted = words.select(*shown, size.alias("__size"), *[t.alias(f"__t{j}") for j, t in enumerate(tf)])
+    counted = cut(counted)
     totals = counted.agg(F.count("*").alias("__n"), F.avg("__size").alias("__avg"), *[F.count(F.when(F.col(f"__t{j}") > 0, 1)).alias(f"__n{j}") for j in range(len(tf))])
     out = counted.filter(add([F.col(f"__t{j}") for j in range(len(tf))]) > 0).crossJoin(F.broadcast(totals))
-    return out.select(*rows.columns, _score(len(tf)).alias("score"))
+    return out.select(*shown, _score(len(tf)).alias("score"))
 
 
 def _score(n_terms: int) -> Column:

@@ -229,12 +229,12 @@ def _bm25(rows: str, columns: list[str], phrases: list[str], shown: str, tail: s
 @query("WITH " + _bm25("documents", ["text"], ["thing", "eau"], "doc_id", ""), graph=False)
 def search_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return search.bm25(docs, "Thing éau thing", ["text"]).select("doc_id", F.round("score", 6).alias("score"))
+    return search.bm25(docs, "Thing éau thing", ["text"], ["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("@" + _bm25("nodes", ["name", "signature", "doc_comment"], ["ring", "brand", "order"], "id, name, kind", "AND kind NOT IN ('File', 'Import') ORDER BY score, id LIMIT 200"))
 def search_bm25(spark, sf_dir):
-    hits = search.bm25(_g(spark, sf_dir).nodes, "ring brand order", ["name", "signature", "doc_comment"]).filter("kind NOT IN ('File', 'Import')")
+    hits = search.bm25(_g(spark, sf_dir).nodes, "ring brand order", search.SYMBOL_TEXT, ["id", "name", "kind"]).filter("kind NOT IN ('File', 'Import')")
     return hits.select("id", "name", "kind", F.round("score", 6).alias("score")).orderBy("score", "id").limit(200)
 
 
