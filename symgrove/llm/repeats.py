@@ -22,11 +22,21 @@ All of them are found, each with all its occurrences:
    leaf of this tree and go on as a group of their own, with the next, longer
    stretch of words, until all are told apart.
 
+5. *Hot groups.*  An anchor value that occurs more than ``HOT`` times is not
+   brought together in one task.  Its suffixes are grouped by their first
+   ``min_words`` words, groups without differing left words are dropped by an
+   aggregation, and each group of more than ``HOT`` suffixes is one node after
+   another of the tree: the least and the greatest continuation, an aggregation
+   as well, tell how far all agree, which is the node; its children are the
+   suffixes with one next word, and go on in the same way while they are large,
+   and as ordinary groups once they aren't.
+
 A result row is a suffix: the ``rank``-th (from 0) of its group, at word
 ``position`` of ``doc_id``.  Its ``repeats`` has an entry (last, n_words) for
 each maximal repeat whose first occurrence in the order it is; all occurrences
 are the group's ranks from its own to ``last``.  So nested repeats cost two
-numbers each, not another list.  ``occurrences()`` unfolds them.
+numbers each, not another list.  ``occurrences()`` unfolds them.  Each node of a
+hot group is a group of its own, whose first row has rank 0 and all others 1.
 
 Words are compared by 32 bits of their hash inside a group, and 64 bits decide
 on the first ``min_words``: a repeat may come out a word too long where two
@@ -55,10 +65,14 @@ ANCHOR = 16
 #: Words sent after an anchor in the first round, and the factor from round to round.
 REACH = 128
 GROWTH = 4
+#: Occurrences of an anchor, and suffixes of a group, that one task takes together.
+HOT = 1 << 17
 
 ANCHORS = "uid long, pos int, anchor long, before long"
 STRETCH = "anchor long, part long, uid long, doc_id long, pos int, back long, reach int, depth int, n_words int, words binary"
 CONTINUED = "anchor long, uid long, doc_id long, n_words int, suffixes array<struct<part:long,pos:int,depth:int,left:long>>, words binary"
+SUFFIX_KEYS = "part long, uid long, pos int, left long"
+SUFFIXES = "part long, uid long, doc_id long, pos int, depth int, left long, words binary, more boolean"
 FOUND = "anchor long, part long, depth int, doc_ids array<long>, positions array<int>, uids array<long>, repeats array<struct<lo:int,hi:int,n_words:int>>, open boolean"
 PACKED = ["anchor", "part", "doc_ids", "positions", "repeats"]
 RESULT = "group_id long, rank int, doc_id long, position int, repeats array<struct<last:int,n_words:int>>"
@@ -192,6 +206,89 @@ def _continuations(reach: int):
     return run
 
 
+def _own_left(pos: np.ndarray, uid: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Left words; a text's start is like no other."""
+    return np.where(pos > 0, left, -1 - (uid & ((1 << 62) - 1)))
+
+
+def _suffix_keys(min_words: int, k: int):
+    """The suffixes in reach of the anchors listed in hot_at: a hash of their first words, and the word before."""
+    w = min_words - k + 1
+
+    def run(batches):
+        for batch in batches:
+            texts, lists, uids = tk.string_array(batch.column("text")), batch.column("hot_at"), batch.column("uid").to_numpy()
+            for lo, hi in tk.slices(texts):
+                h, first = _words_of(texts[lo:hi])
+                sh, at, bounds = tk.shingles(h, first, k)
+                starts, chosen = _window_minima(sh, bounds, w)
+                part = lists.slice(lo, hi - lo)
+                wanted = np.repeat(first[:-1], np.diff(part.offsets.to_numpy())) + part.flatten().to_numpy()
+                begin = at[starts[np.isin(at[chosen], wanted)]]
+                p, inv = tk._power_tables(len(h))
+                upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * p[: len(h)], dtype=np.uint64)])
+                key = tk.signed(tk.mix((upto[begin + min_words] - upto[begin]) * inv[begin]) >> np.uint64(1))
+                row = np.searchsorted(first, begin, side="right") - 1
+                pos, uid = begin - first[row], uids[lo:hi][row]
+                left = _own_left(pos, uid, (h >> np.uint64(32)).astype(np.int64)[np.maximum(begin - 1, 0)])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(uid), pa.array(pos.astype(np.int32)), pa.array(left)], ["part", "uid", "pos", "left"])
+
+    return run
+
+
+def _flat_suffixes(batches):
+    """A row for each suffix of CONTINUED rows, with words as bytes that sort like them."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        flat, begin, size = _flat_words(t)
+        code = flat.astype(">u4").tobytes()
+        lists = batch.column("suffixes")
+        of = np.repeat(np.arange(len(size)), np.diff(lists.offsets.to_numpy()))
+        inner = lists.flatten()
+        part, pos, depth, left = (inner.field(x).to_numpy() for x in ("part", "pos", "depth", "left"))
+        uid = batch.column("uid").to_numpy()[of]
+        words = [code[4 * a : 4 * (a + n)] for a, n in zip(begin[of].tolist(), size[of].tolist(), strict=True)]
+        more = pos + depth + size[of] < batch.column("n_words").to_numpy()[of]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(uid), batch.column("doc_id").take(pa.array(of)), pa.array(pos), pa.array(depth), pa.array(_own_left(pos, uid, left)), pa.array(words, pa.binary()), pa.array(more)], [x.split()[0] for x in SUFFIXES.split(", ")])
+
+
+def _agreed(batches):
+    """How many words the least and the greatest continuation of a group have in common."""
+    for batch in batches:
+        ends = [[np.frombuffer(x, ">u4") for x in batch.column(c).to_pylist()] for c in ("lo", "hi")]
+        same = []
+        for a, b in zip(*ends, strict=True):
+            n = min(len(a), len(b))
+            differ = np.flatnonzero(a[:n] != b[:n])
+            same.append(int(differ[0]) if len(differ) else n)
+        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("forks"), batch.column("uid0"), batch.column("pos0"), pa.array(same, pa.int32())], ["part", "forks", "uid0", "pos0", "same"])
+
+
+def _node_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(RESULT rows of the next node of each hot group of SUFFIXES, the suffixes of its children (part, uid, pos, depth, left))."""
+    ends = rows.groupBy("part").agg(F.min("words").alias("lo"), F.max("words").alias("hi"), F.max(~F.col("more")).alias("end"), F.min(F.struct("uid", "pos")).alias("first"))
+    ends = ends.select("part", "lo", "hi", ((F.col("lo") != F.col("hi")) | F.col("end")).alias("forks"), F.col("first.uid").alias("uid0"), F.col("first.pos").alias("pos0"))
+    at = cut(ends.mapInArrow(_agreed, "part long, forks boolean, uid0 long, pos0 int, same int"))
+    rows = rows.join(at, "part")
+    begins = (F.col("uid") == F.col("uid0")) & (F.col("pos") == F.col("pos0"))
+    repeat = F.struct(F.lit(1).alias("last"), (F.col("depth") + F.col("same")).alias("n_words"))
+    node = rows.filter("forks").select(
+        F.xxhash64("part", "same").alias("group_id"), F.when(begins, 0).otherwise(1).alias("rank"), "doc_id", F.col("pos").alias("position"), F.when(begins, F.array(repeat)).otherwise(F.array().cast("array<struct<last:int,n_words:int>>")).alias("repeats")
+    )
+    on = F.length("words") > 4 * F.col("same")
+    word = F.substring("words", 4 * F.col("same") + 1, F.lit(4))
+    children = rows.filter(on | F.col("more")).select(
+        F.when(on, F.xxhash64("part", "same", word)).otherwise(F.xxhash64("part", "same")).alias("part"), "uid", "pos", (F.col("depth") + F.col("same") + on.cast("int")).alias("depth"), "left"
+    )
+    return node, children
+
+
+def _diverse(suffixes: DataFrame) -> DataFrame:
+    """``suffixes`` of the groups with more than one member and differing left words, with the group's size ``n``."""
+    sizes = suffixes.groupBy("part").agg(F.count("*").alias("n"), F.min("left").alias("lo"), F.max("left").alias("hi")).filter("n > 1 AND lo <> hi").select("part", "n")
+    return suffixes.join(sizes, "part").select("part", "n", "uid", "pos", "depth")
+
+
 def intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(first, last, length) of the common-prefix intervals of at least ``least``.
 
@@ -392,35 +489,58 @@ def _unpacked(batches):
         yield pa.RecordBatch.from_arrays(columns, ["group_id", "rank", "doc_id", "position", "repeats"])
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR, reach: int = REACH) -> DataFrame:
+def _next_words(src: DataFrame, todo: DataFrame, reach: int) -> DataFrame:
+    """CONTINUED of ``todo(anchor, part, depth, uid, pos)``.
+
+    The suffixes of a bucket that are open in a document mostly end at one
+    place: its next words are sent once.
+    """
+    todo = todo.select("uid", "anchor", (F.col("pos") + F.col("depth")).alias("end"), F.struct("part", "pos", "depth").alias("s"))
+    todo = todo.groupBy("uid", "anchor", "end").agg(F.collect_set("s").alias("s")).groupBy("uid").agg(F.collect_list(F.struct("anchor", "end", "s")).alias("at"))
+    return src.join(todo, "uid").select("uid", "doc_id", "text", "at").mapInArrow(_continuations(reach), CONTINUED)
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR, reach: int = REACH, hot: int = HOT) -> DataFrame:
     """RESULT: the suffixes of each group with the maximal repeats that start the order there."""
     src = _source(docs)
     every, drop_every = stored(anchors(docs, min_words, k))
-    diverse = every.groupBy("anchor").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("*").alias("n")).filter("n > 1 AND lo <> hi").select("anchor")
-    wanted = every.join(diverse, "anchor").groupBy("uid").agg(F.array_distinct(F.collect_list("pos")).alias("at"))
-    listed, drop_listed = stored(src.join(wanted, "uid").select("uid", "doc_id", "text", "at"))
+    diverse = every.groupBy("anchor").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("*").alias("n")).filter("n > 1 AND lo <> hi").select("anchor", (F.col("n") > hot).alias("hot"))
+    places = lambda test: F.array_distinct(F.collect_list(F.when(test, F.col("pos"))))
+    wanted = every.join(diverse, "anchor").groupBy("uid").agg(places(~F.col("hot")).alias("at"), places(F.col("hot")).alias("hot_at"))
+    listed, drop_listed = stored(src.join(wanted, "uid").select("uid", "doc_id", "text", "at", "hot_at"))
     drop_every()
-    src = listed.drop("at")  # no other text can be open later, so none other is moved again
-    stretches = listed.mapInArrow(_stretches(min_words, k, reach), STRETCH)
+    src = listed.select("uid", "doc_id", "text")  # no other text can be open later, so none other is moved again
+    stretches = listed.filter("size(at) > 0").select("uid", "doc_id", "text", "at").mapInArrow(_stretches(min_words, k, reach), STRETCH)
     level = cut(stretches.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_buckets(min_words), FOUND))
-    done = []
+    keys = listed.filter("size(hot_at) > 0").select("uid", "text", "hot_at")
+    large = None
+    if not keys.isEmpty():
+        large = cut(_diverse(keys.mapInArrow(_suffix_keys(min_words, k), SUFFIX_KEYS).distinct().withColumn("depth", F.lit(min_words))))
+    done, nodes = [], []
     while True:
         done.append(level.filter("NOT open").select(*PACKED))
-        left_over = level.filter("open")
-        if left_over.isEmpty():
+        todo = level.filter("open").select("anchor", "part", "depth", F.explode(F.arrays_zip("uids", "positions")).alias("x")).select("anchor", "part", "depth", F.col("x.uids").alias("uid"), F.col("x.positions").alias("pos"))
+        if large is not None:  # what is no longer too large goes on as ordinary groups
+            todo = todo.unionByName(large.filter(F.col("n") <= hot).select(F.col("part").alias("anchor"), "part", "depth", "uid", "pos"))
+            large = large.filter(F.col("n") > hot)
+            large = None if large.isEmpty() else large
+        if todo.isEmpty() and large is None:
             break
         reach *= GROWTH
-        # the suffixes of a bucket that are open in a document mostly end at one place: its next words are sent once
-        todo = left_over.select("anchor", "part", "depth", F.explode(F.arrays_zip("uids", "positions")).alias("x"))
-        todo = todo.select(F.col("x.uids").alias("uid"), "anchor", (F.col("x.positions") + F.col("depth")).alias("end"), F.struct("part", F.col("x.positions").alias("pos"), "depth").alias("s"))
-        todo = todo.groupBy("uid", "anchor", "end").agg(F.collect_set("s").alias("s")).groupBy("uid").agg(F.collect_list(F.struct("anchor", "end", "s")).alias("at"))
-        more = src.join(todo, "uid").select("uid", "doc_id", "text", "at").mapInArrow(_continuations(reach), CONTINUED)
-        level = cut(more.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_next, FOUND))
+        level = cut(_next_words(src, todo, reach).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_next, FOUND))
+        if large is not None:
+            suffixes = _next_words(src, large.select(F.col("part").alias("anchor"), "part", "depth", "uid", "pos"), reach)
+            node, children = _node_of(cut(suffixes.mapInArrow(_flat_suffixes, SUFFIXES)))
+            nodes.append(node)
+            large = cut(_diverse(children))
     drop_listed()
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.mapInArrow(_unpacked, RESULT)
+    out = out.mapInArrow(_unpacked, RESULT)
+    for x in nodes:
+        out = out.unionByName(x)
+    return out
 
 
 def occurrences(suffixes: DataFrame) -> DataFrame:

@@ -55,11 +55,11 @@ def corpus(seed: int) -> dict[int, list[str]]:
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, hot", [(1, repeats.HOT), (2, repeats.HOT), (2, 5)])
+def test_against_brute_force(spark, seed, hot):
     texts = corpus(seed)
     docs = spark.createDataFrame([(d, " ".join(w), "s") for d, w in texts.items()], "doc_id long, text string, uid string")
-    got = found(repeats.repeated_passages(docs, min_words=12, k=5, reach=10))
+    got = found(repeats.repeated_passages(docs, min_words=12, k=5, reach=10, hot=hot))
     assert got == brute(texts, 12)
 
 
@@ -71,10 +71,11 @@ def test_defined_cases(spark):
     assert repeats.repeated_passages(docs.limit(0)).count() == 0
 
 
-def test_long_copies(spark):
+@pytest.mark.parametrize("hot", [repeats.HOT, 2])
+def test_long_copies(spark, hot):
     text = " ".join(f"v{i % 977}x{i}" for i in range(3000))
     docs = spark.createDataFrame([(1, text), (2, text), (3, "z " + text)], "doc_id long, text string")
-    assert found(repeats.repeated_passages(docs)) == {(3000, frozenset({(1, 0), (2, 0), (3, 1)}))}
+    assert found(repeats.repeated_passages(docs, hot=hot)) == {(3000, frozenset({(1, 0), (2, 0), (3, 1)}))}
 
 
 def test_intervals():
