@@ -34,5 +34,5 @@ def test_query_matches_sql(spark, name):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [*(f"op{i}" for i in range(1, 11)), "perturbed"]
     assert {*queries.QUERIES, "pipeline"} <= __spark_entry__.queries().keys()
