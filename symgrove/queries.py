@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from symgrove.functions import text
 from symgrove.operators import export, mro, processes, ranges, rank, resolve, search, traverse
-from symgrove.sources import derived, store
+from symgrove.sources import derived, files, samples, store
 
 ANCHOR, TARGET, PART_A, PART_B = "O7", "P5", "P0", "P99"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -422,6 +422,24 @@ def resolve_by_id(spark, sf_dir):
     return resolve.resolve_by_id(derived.select(spark, sf_dir, _BY_ID), _g(spark, sf_dir).nodes)
 
 
+def _scanned(spark):
+    """The graph of the sample project: parsed, resolved and traced."""
+    rows = [(path, language, bytearray(code.encode())) for path, (language, code) in samples.FILES.items()]
+    return files.build_graph(*files.parse_files(spark.createDataFrame(rows, "file_path string, language string, content binary")))
+
+
+@query(samples.values(samples.NODES, "file_path, kind, name, line_start, line_end, visibility, language"), graph=False)
+def scan_nodes(spark, sf_dir):
+    return _scanned(spark).nodes.select("file_path", "kind", "name", "line_start", "line_end", "visibility", "language").distinct()
+
+
+@query(samples.values(samples.EDGES, "file_path, source, kind, target, source_line, confidence"), graph=False)
+def scan_edges(spark, sf_dir):
+    g = _scanned(spark)
+    ends = resolve.resolved_names(spark, g.edges, g.nodes).join(g.nodes.select(F.col("id").alias("source_id"), "file_path"), "source_id")
+    return ends.select("file_path", "source", "kind", "target", "source_line", "confidence").distinct()
+
+
 @query("SELECT source_id, target_id, kind, source_line, max(confidence) AS confidence FROM edges GROUP BY ALL UNION ALL SELECT id, parent_id, name, line_start, NULL FROM nodes UNION ALL SELECT DISTINCT file_path, NULL, 'hash', 0, NULL FROM nodes")
 def save_load(spark, sf_dir):
     """The graph after a save and a load: edges, nodes and file hashes, one under the other."""
@@ -445,6 +463,17 @@ def file_routes(spark, sf_dir):
     return derived.select(spark, sf_dir, _PATHS).select("id", text.file_route(F.col("path")).alias("route"))
 
 
+@query("""SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'K.m' || event_id WHEN event_id % 3 = 1 THEN 'this.a.m' || event_id ELSE 'other.m' || event_id END AS call,
+    CASE WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' WHEN s < 2592000 THEN s // 86400 || 'd ago' ELSE s // 2592000 || 'mo ago' END AS ago, 'a/' || event_id || '/d' AS path
+    FROM (SELECT event_id, event_id * event_id * 7 AS s FROM events)""", graph=False)
+def text_functions(spark, sf_dir):
+    """Calls of members under their class, times in words, and paths without detours."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"))
+    head = F.when(F.col("id") % 6 == 0, "this.m").when(F.col("id") % 3 == 0, "self.m").when(F.col("id") % 3 == 1, "this.a.m").otherwise("other.m")
+    path = F.concat(F.lit("./a//b/../"), F.col("id").cast("string"), F.lit("\\x\\..\\d"))
+    return e.select("id", text.qualify_member_call(F.concat(head, F.col("id").cast("string")), F.lit("K")).alias("call"), text.humanize_ago(F.col("id") * F.col("id") * 7).alias("ago"), text.normal_path(path).alias("path"))
+
+
 _V1 = "SELECT concat('d', doc_id) AS file_path, text FROM {documents} WHERE source <> 'src1'"
 _V2 = "SELECT concat('d', doc_id) AS file_path, CASE WHEN lang = 'fr' THEN concat(text, '!') ELSE text END AS text FROM {documents} WHERE source <> 'src2'"
 
