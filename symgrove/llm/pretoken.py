@@ -21,7 +21,7 @@ from symgrove.llm import textkit as tk
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens that a worker remembers; beyond it the cache starts anew.
-CACHE = 3 << 20
+CACHE = 1 << 20
 
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 _WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2028, 0x2029, 0x202F, 0x205F, *range(0x2000, 0x200B), 0x3000]
