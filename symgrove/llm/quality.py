@@ -132,10 +132,13 @@ def log_ratios(docs: DataFrame, target_ids: np.ndarray, buckets: int = BUCKETS,
             is_target = np.isin(key.fill_null(-(1 << 62)).to_numpy(zero_copy_only=False), known) & ~np.asarray(key.is_null())
             for lo, hi in tk.slices(texts):
                 grams, first = ngrams(texts[lo:hi], buckets)
-                raw += np.bincount(grams.ravel(), minlength=3 * buckets)
                 mine = np.repeat(is_target[lo:hi], np.diff(first))
-                if mine.any():
-                    target += np.bincount(grams[mine].ravel(), minlength=3 * buckets)
+                for kind in range(3):  # one after another, for less memory
+                    own = grams[:, kind] - kind * buckets
+                    at = slice(kind * buckets, (kind + 1) * buckets)
+                    raw[at] += np.bincount(own, minlength=buckets)
+                    if mine.any():
+                        target[at] += np.bincount(own[mine], minlength=buckets)
         hit = np.flatnonzero(raw)
         for at in range(0, len(hit), 1 << 16):
             part = hit[at : at + (1 << 16)]
