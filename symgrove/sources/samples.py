@@ -39,7 +39,7 @@ def helper(n):
     "jv/Animal.java": ("java", "interface Greets {\n    void hi();\n}\nclass Animal {\n    void eat() {\n    }\n}\nclass Dog extends Animal implements Greets {\n    public void hi() { eat(); }\n    @GetMapping(\"/dogs\")\n    public void dogs() { hi(); }\n}\n"),
 }
 
-#: (file_path, kind, name, line_start, line_end, visibility, language), checked by hand against the texts above.
+#: (file_path, kind, name, line_start, line_end, visibility, language), recorded from a run and read through against the texts above.
 NODES = [
     ("core/geo.rs", "File", "geo.rs", 0, 17, "Public", "rust"),
     ("core/geo.rs", "Struct", "Point", 0, 2, "Public", "rust"),
