@@ -22,9 +22,7 @@ windows as long as the longest.  Other columns are not read.
 
 from __future__ import annotations
 
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -206,7 +204,9 @@ def _by_joins(docs: DataFrame, items: DataFrame, sizes: list[int], k: int, min_c
     ranked = cut(_ranked(items, freq, min_containment).withColumnsRenamed({"id": "item_id", "words": "item_words", "n": "total"}))
     candidates = hits.join(ranked.filter("rare"), "shingle").filter("n >= need").select("id", "row", "item_id").distinct()
 
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+    def verify(pdf):
+        import pandas as pd  # here, so that workers of the other path don't hold it
+
         pdf = pdf.drop_duplicates(["pos", "shingle"]).sort_values("pos")
         first = pdf.iloc[0]
         got = _verified(pdf["pos"].to_numpy(), pdf["shingle"].to_numpy(), pdf["rare"].to_numpy(bool), int(_spans(first["item_words"], k)), int(first["need"]))
