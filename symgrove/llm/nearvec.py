@@ -1,29 +1,32 @@
-"""Near-duplicate embeddings through a robust-pruned flat graph.
+"""Near-duplicate embeddings through overlapping shards.
 
 1. *Shards.*  Random vectors are pivots, one per ``SHARD`` vectors but at most
    ``PIVOTS``; each vector joins the shards of its ``OVERLAP`` nearest pivots
    (or half as many as the pivots have binary digits, if that is more).  A shard
    of more than ``LARGEST`` vectors is cut again in the same way, by pivots of
    its own, until none is, so what a task or a broadcast holds doesn't grow.
-2. *Build.*  In each shard a vector's candidates are its nearest neighbours,
-   some random vectors and the shard's medoid; robust pruning (a candidate goes
-   when a chosen neighbour is ``ALPHA`` times closer to it than the vector is)
-   leaves ``DEGREE`` of them, and reverse edges are added and pruned alike.
-3. *Union.*  The adjacency lists of a vector from all its shards are united.
-4. *Search.*  Every vector is a query in each of its shards: greedy best-first
-   search of the united graph from the medoid with a list of ``BREADTH``, which
-   then expands every vector found in range until no new one turns up.  Where a
-   vector in range lies in further shards that the query isn't in, the
-   expansion goes on there from this vector, shard by shard, until no query
+2. *Compare.*  A shard of up to ``COMPARED`` vectors is compared whole, by
+   blocked products in single precision.  In a larger one (none is, unless
+   ``largest`` is raised) a robust-pruned graph is built: a vector's candidates
+   are its nearest neighbours, some random vectors and the shard's medoid,
+   pruning (a candidate goes when a chosen neighbour is ``ALPHA`` times closer to
+   it than the vector is) leaves ``DEGREE`` of them, reverse edges are added and
+   pruned alike, and each vector is searched for greedily from the medoid with a
+   list of ``BREADTH``, which then expands every vector found in range.
+3. *Once each.*  A link of vectors with several common shards counts in the
+   least of them alone, so no link is made twice and none is shuffled to find
+   that out.
+4. *Further shards.*  Where a vector in range lies in shards that the query
+   isn't in, the query is compared there too, shard by shard, until no query
    enters a new one.
 5. *Verify.*  Links count if their cosine in double precision is at least
-   ``min_cosine``.
+   ``min_cosine``; it is taken where single precision leaves a doubt.
 6. *Audit.*  Before the build ``PROBES`` random vectors get a perturbed partner
    each, at a random cosine of at least ``min_cosine``, which is indexed like
    any other vector.  They and their partners are compared with all vectors.
    While the lower confidence bound of the share of these true links that the
    search found is under ``RECALL``, the breadth is doubled, the overlap raised
-   by one, and graph and search repeated.  So an audit always has links to
+   by one, and the comparison repeated.  So an audit always has links to
    judge by, and takes one pass over the vectors.  The partners don't show in
    the result.
 
@@ -63,11 +66,16 @@ BREADTH = 24
 PROBES = 500
 RECALL = 0.95
 Z = 1.645
+#: Vectors of a shard up to which comparing all of them costs less than walking a graph.
+COMPARED = 1 << 14
 _CHUNK = 256
 _ROWS = 1024
 _FANOUT = 4
+_PAIRS = 1 << 17
+#: What a cosine in single precision may be off by.
+_DOUBT = 1e-5
 
-CELLS = "shard long, near int, node long, n long, vec array<double>"
+CELLS = "shard long, node long"
 LINKS = "a long, b long, na long, nb long, tree boolean, to long"
 
 
@@ -120,17 +128,13 @@ def _nearest(v: np.ndarray, centre: np.ndarray, overlap: int) -> np.ndarray:
     return np.take_along_axis(best, np.take_along_axis(near, best, 1).argsort(axis=1), 1)
 
 
-def _cells(t, v: np.ndarray, names: np.ndarray, centre: np.ndarray, overlap: int) -> pa.RecordBatch:
+def _cells(nodes: np.ndarray, v: np.ndarray, names: np.ndarray, centre: np.ndarray, overlap: int) -> pa.Table:
     best = _nearest(v, centre, overlap)
-    m = best.shape[1]
-    rep = pa.array(np.repeat(np.arange(len(v)), m))
-    cols = [pa.array(names[best.ravel()]), pa.array(np.tile(np.arange(m, dtype=np.int32), len(v))), *(t.column(c).take(rep) for c in ("node", "n", "vec"))]
-    cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
-    return pa.table(cols, names=[x.split()[0] for x in CELLS.split(", ")])
+    return pa.table([pa.array(names[best.ravel()]), pa.array(np.repeat(nodes, best.shape[1]))], names=["shard", "node"])
 
 
 def assign(points: DataFrame, shard: int = SHARD, overlap: int = OVERLAP, pivots: int = PIVOTS, largest: int = LARGEST) -> DataFrame:
-    """CELLS: each vector in its nearest pivots' shards; near counts from 0."""
+    """CELLS: each vector in its nearest pivots' shards."""
     sizes = {r["dim"]: r["n"] for r in points.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()}
     known = {}
     for dim, n in sizes.items():  # for each length of vectors at most ``pivots``
@@ -145,10 +149,12 @@ def assign(points: DataFrame, shard: int = SHARD, overlap: int = OVERLAP, pivots
             dims = np.diff(batch.column("vec").offsets.to_numpy())
             for dim in np.unique(dims):
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                yield from _cells(part, _unit(part.column("vec")), *shared.value[int(dim)], overlap).to_batches()
+                for at in range(0, len(part), _ROWS):
+                    piece = part.slice(at, _ROWS)
+                    yield from _cells(piece.column("node").to_numpy(), _unit(piece.column("vec")), *shared.value[int(dim)], overlap).to_batches()
 
     done, level = [], 0
-    cells = cut(points.select("node", "n", "vec").mapInArrow(run, CELLS))
+    cells = cut(points.select("node", "vec").mapInArrow(run, CELLS))
     while True:
         level += 1
         large = cut(cells.groupBy("shard").agg(F.count("*").alias("size")).filter(F.col("size") > largest))
@@ -156,12 +162,12 @@ def assign(points: DataFrame, shard: int = SHARD, overlap: int = OVERLAP, pivots
             done.append(cells)
             break
         done.append(cells.join(large, "shard", "left_anti").select(cells.columns))
-        inside = cells.join(large, "shard")
+        inside = cells.join(large, "shard").join(points.select("node", "vec"), "node")
         draw = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 40)) / F.lit(float(1 << 40))
         chosen = inside.filter(draw < F.least(F.lit(float(pivots)), F.col("size") / shard) / F.col("size")).select(F.col("shard").alias("home"), F.col("size").alias("of"), F.col("node").alias("pivot"), F.col("vec").alias("centre"))
         pieces = lambda c: F.ceil(F.col(c) / largest).cast("int")
         spread = chosen.select("home", "pivot", "centre", F.explode(F.sequence(F.lit(0), pieces("of") - 1)).alias("part")).groupBy("home", "part")
-        rows = inside.select("shard", F.pmod(F.xxhash64("node"), pieces("size")).cast("int").alias("piece"), "node", "n", "vec").groupBy("shard", "piece")
+        rows = inside.select("shard", F.pmod(F.xxhash64("node"), pieces("size")).cast("int").alias("piece"), "node", "vec").groupBy("shard", "piece")
         cells = cut(rows.cogroup(spread).applyInArrow(_cut_again(overlap), CELLS))
     out = done[0]
     for x in done[1:]:
@@ -173,11 +179,11 @@ def _cut_again(overlap: int):
     def run(rows: pa.Table, chosen: pa.Table) -> pa.Table:
         """A piece of a large shard, divided among the shard's own pivots."""
         if not rows.num_rows or not chosen.num_rows:
-            return rows.append_column("near", pa.array(np.zeros(rows.num_rows, np.int32))).select([x.split()[0] for x in CELLS.split(", ")])
+            return rows.select(["shard", "node"])
         old = np.uint64(rows["shard"][0].as_py() & ((1 << 64) - 1))
         names = tk.signed(tk.mix(chosen["pivot"].to_numpy().view(np.uint64) + tk.mix(np.array([old]))))
         order = np.argsort(names)
-        return _cells(rows, _unit(rows["vec"]), names[order], _unit(chosen["centre"])[order], max(1, min(overlap, len(order) // 8)))
+        return _cells(rows["node"].to_numpy(), _unit(rows["vec"]), names[order], _unit(chosen["centre"])[order], max(1, min(overlap, len(order) // 8)))
 
     return run
 
@@ -236,18 +242,6 @@ def build(v: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarr
     return np.concatenate([out, ring[:, None]], axis=1)
 
 
-def _built(degree: int, alpha: float):
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
-        names = t["node"].to_numpy()
-        graph = build(_unit(t["vec"]).astype(np.float32), degree, alpha)
-        have = graph >= 0
-        upto = np.concatenate([[0], np.cumsum(have.sum(axis=1))]).astype(np.int32)
-        return pa.table([pa.array(names), pa.ListArray.from_arrays(pa.array(upto), pa.array(names[graph[have]]))], names=["node", "near_nodes"])
-
-    return run
-
-
 def search(v: np.ndarray, graph: np.ndarray, queries: np.ndarray, min_cosine: float, breadth: int, seeds: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row of ``queries``, found) in range: greedy search from the medoid, or from ``seeds`` (row, place), expanded over the range."""
     start = medoid(v)
@@ -290,122 +284,168 @@ def search(v: np.ndarray, graph: np.ndarray, queries: np.ndarray, min_cosine: fl
     return (np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the links make a spanning forest of ``n`` places."""
-    root = list(range(n))
+class _Forest:
+    """Which of the links that come in chunks make a spanning forest of ``n`` places."""
 
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    def __init__(self, n: int):
+        self.root = np.arange(n)
 
-    out = np.zeros(len(a), bool)
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = top(x), top(y)
-        if x != y:
-            root[max(x, y)], out[i] = min(x, y), True
-    return out
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        root, out = self.root, np.zeros(len(a), bool)
+        x, y = root[a], root[b]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            return out
+        _, first = np.unique(np.minimum(x, y)[apart] * len(root) + np.maximum(x, y)[apart], return_index=True)
+        up: dict[int, int] = {}  # of roots only
 
+        def top(z: int) -> int:
+            while (w := up.get(z, z)) != z:
+                up[z] = up.get(w, w)
+                z = w
+            return z
 
-def _lists(column) -> tuple[np.ndarray, np.ndarray]:
-    """(values, number in each row) of a list column; null lists are empty."""
-    column = column.combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    sizes = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes
+        for i in apart[first].tolist():
+            p, q = top(int(x[i])), top(int(y[i]))
+            if p != q:
+                up[max(p, q)], out[i] = min(p, q), True
+        new = np.arange(len(root))
+        for z in list(up):
+            new[z] = top(z)
+        self.root = new[root]
+        return out
 
 
-def _searched(min_cosine: float, breadth: int):
-    """LINKS of a shard, and where to go on: rows with ``to``, a further shard, for query a from vector b."""
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
+def _homes(column: pa.ChunkedArray, ids: np.ndarray) -> np.ndarray:
+    """(rows x most) places of a list column's values in ``ids``, in order; -1 where there are fewer."""
+    column = _one(column)
+    sizes = np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    out = np.full((len(sizes), max(1, int(sizes.max(initial=0)))), len(ids), np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.searchsorted(ids, column.flatten().to_numpy(zero_copy_only=False))
+    out.sort(axis=1)
+    return np.where(out == len(ids), -1, out)
+
+
+def _in_range(q: np.ndarray, v: np.ndarray, least: float, own: bool):
+    """(query, found) in chunks; of a shard's own vectors each pair once."""
+    step = max(1, min(512, (1 << 22) // max(1, len(v))))
+    for lo in range(0, len(q), step):
+        begin = lo if own else 0
+        block = q[lo : lo + step] @ v[begin:].T
+        hits = np.flatnonzero(block.ravel() >= least)
+        a, b = hits // block.shape[1], hits % block.shape[1]
+        if own:
+            a, b, hits = a[b > a], b[b > a], hits[b > a]
+        value = block.ravel()[hits]
+        for at in range(0, len(a), _PAIRS):
+            yield a[at : at + _PAIRS] + lo, b[at : at + _PAIRS] + begin, value[at : at + _PAIRS]
+
+
+def _walked(v: np.ndarray, least: float, breadth: int):
+    """As _in_range() of a shard's own vectors, by its graph."""
+    a, b = search(v, build(v), v, least, breadth)
+    key = np.unique(np.minimum(a, b) * len(v) + np.maximum(a, b))
+    a, b = key // len(v), key % len(v)
+    a, b = a[a != b], b[a != b]
+    for at in range(0, len(a), _PAIRS):
+        x, y = a[at : at + _PAIRS], b[at : at + _PAIRS]
+        yield x, y, np.einsum("nd,nd->n", v[x], v[y])
+
+
+def _shard_links(min_cosine: float, breadth: int, whole: int):
+    """LINKS of a shard, and where to go on: rows with ``to``, a further shard, for query a."""
+    names_out = [x.split()[0] for x in LINKS.split(", ")]
 
     def run(t: pa.Table) -> pa.Table:
         shard = t["shard"][0].as_py()
-        t = t.sort_by([("node", "ascending"), ("entry", "ascending")])
-        guest = np.asarray(t["entry"].is_valid())
-        own = t.filter(pa.array(~guest))
-        names, weight, exact = own["node"].to_numpy(), own["n"].to_numpy(), _unit(own["vec"]) if own.num_rows else np.zeros((0, 1))
-        if not len(names):
-            return pa.table([pa.array([], x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())], names=[x.split()[0] for x in LINKS.split(", ")])
-        flat, sizes = _lists(own["near_nodes"])
-        row, col = np.repeat(np.arange(len(names)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
-        graph = np.full((len(names), max(1, int(sizes.max(initial=0)))), -1, np.int64)
-        graph[row, col] = np.where(names[at] == flat, at, -1)  # the shard's part of the united graph
+        t = t.sort_by("node")
+        guest = t["guest"].to_numpy()
+        node, weight = t["node"].to_numpy(), t["n"].to_numpy()
+        exact = _unit(t["vec"])
+        ids = np.unique(np.append(_one(t["homes"]).flatten().to_numpy(zero_copy_only=False), shard))
+        homes, here = _homes(t["homes"], ids), int(np.searchsorted(ids, shard))
+        own, asks = np.flatnonzero(~guest), np.flatnonzero(guest)
         v = exact.astype(np.float32)
-        if guest.any():
-            g = t.filter(pa.array(guest))
-            asks, first, back = np.unique(g["node"].to_numpy(), return_index=True, return_inverse=True)
-            who = g.take(pa.array(first))
-            q_exact, q_weight, (q_homes, q_n) = _unit(who["vec"]), who["n"].to_numpy(), _lists(who["homes"])
-            entry = np.minimum(np.searchsorted(names, g["entry"].to_numpy()), len(names) - 1)
-            a, b = search(v, graph, q_exact.astype(np.float32), min_cosine, breadth, (back, entry))
+        least = min_cosine - _DOUBT
+        forest = _Forest(len(node))
+        parts: list[pa.Table] = []
+        further = [np.zeros(0, np.int64)]
+
+        def take(a: np.ndarray, b: np.ndarray, value: np.ndarray, ours: bool) -> None:
+            doubt = np.flatnonzero(value < min_cosine + _DOUBT)
+            if len(doubt):
+                ok = np.ones(len(a), bool)
+                for lo in range(0, len(doubt), 1 << 14):
+                    d = doubt[lo : lo + (1 << 14)]
+                    ok[d] = np.einsum("nd,nd->n", exact[a[d]], exact[b[d]]) >= min_cosine
+                a, b = a[ok], b[ok]
+            if not len(a):
+                return
+            ha, hb = homes[a], homes[b]
+            shared = ((ha[:, :, None] == hb[:, None, :]) & (ha[:, :, None] >= 0)).any(axis=2)
+            some = shared.any(axis=1)
+            if ours:
+                keep = ha[np.arange(len(a)), shared.argmax(axis=1)] == here
+            else:
+                keep = ~some  # else a common shard has it
+            a, b, ha, hb = a[keep], b[keep], ha[keep], hb[keep]
+            for x, hx, hy in [(a, ha, hb), (b, hb, ha)][: 1 + ours]:
+                new = (hy >= 0) & (hy != here) & ~(hy[:, :, None] == hx[:, None, :]).any(axis=2)
+                r, c = np.nonzero(new)
+                further.append(np.unique(x[r] * len(ids) + hy[r, c]))
+            if len(further) > 64:
+                further[:] = [np.unique(np.concatenate(further))]
+            lo, hi = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
+            tree = np.zeros(len(a), bool)
+            real = np.flatnonzero((weight[lo] > 0) & (weight[hi] > 0))
+            tree[real] = forest.add(lo[real], hi[real])
+            parts.append(pa.table([pa.array(node[lo]), pa.array(node[hi]), pa.array(weight[lo]), pa.array(weight[hi]), pa.array(tree), pa.nulls(len(a), pa.int64())], names=names_out))
+
+        if len(asks):
+            mine = v[own]
+            for a, b, value in _in_range(v[asks], mine, least, False):
+                take(asks[a], own[b], value, False)
         else:
-            asks, q_exact, q_weight = names, exact, weight
-            q_homes, q_n = _lists(own["homes"])
-            a, b = search(v, graph, v, min_cosine, breadth)
-        ok = asks[a] != names[b]
-        a, b = a[ok], b[ok]
-        cosine = np.einsum("nd,nd->n", q_exact[a], exact[b])
-        a, b = a[cosine >= min_cosine], b[cosine >= min_cosine]
-        x, y, wx, wy = asks[a], names[b], q_weight[a], weight[b]
-        flip = x > y
-        lo, hi = np.where(flip, y, x), np.where(flip, x, y)
-        wlo, whi = np.where(flip, wy, wx), np.where(flip, wx, wy)
-        order = np.lexsort((hi, lo))
-        keep = order[np.append(True, (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0))] if len(order) else order
-        lo, hi, wlo, whi = lo[keep], hi[keep], wlo[keep], whi[keep]
-        every, place = np.unique(np.concatenate([lo, hi]), return_inverse=True)
-        tree = np.zeros(len(lo), bool)
-        real = np.flatnonzero((wlo > 0) & (whi > 0))
-        tree[real] = _forest(len(every), place[: len(lo)][real], place[len(lo) :][real])
-        # shards of the vectors found that the query isn't in
-        homes, n_homes = _lists(own["homes"])
-        start = np.cumsum(n_homes) - n_homes
-        ask = np.repeat(a, n_homes[b])
-        to = homes[np.arange(len(ask)) - np.repeat(np.cumsum(n_homes[b]) - n_homes[b], n_homes[b]) + np.repeat(start[b], n_homes[b])] if len(ask) else np.zeros(0, np.int64)
-        via = np.repeat(names[b], n_homes[b])
-        there = set(zip(np.repeat(np.arange(len(asks)), q_n).tolist(), q_homes.tolist(), strict=True))
-        on: dict[tuple[int, int], int] = {}
-        for i, s, x in zip(ask.tolist(), to.tolist(), via.tolist(), strict=True):
-            if s != shard and (i, s) not in there:
-                on.setdefault((int(asks[i]), s), x)
-        more = [(i, x, s) for (i, s), x in on.items()]
-        none, zero = len(lo), [0] * len(more)
-        cols = [[*lo.tolist(), *(m[0] for m in more)], [*hi.tolist(), *(m[1] for m in more)], [*wlo.tolist(), *zero], [*whi.tolist(), *zero], [*tree.tolist(), *[False] * len(more)], [*[None] * none, *(m[2] for m in more)]]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in LINKS.split(", ")])
+            for a, b, value in _in_range(v, v, least, True) if len(v) <= whole else _walked(v, min_cosine, breadth):
+                take(a, b, value, True)
+        on = np.unique(np.concatenate(further))
+        zero = pa.array(np.zeros(len(on), np.int64))
+        parts.append(pa.table([pa.array(node[on // len(ids)]), zero, zero, zero, pa.array(np.zeros(len(on), bool)), pa.array(ids[on % len(ids)])], names=names_out))
+        return pa.concat_tables(parts)
 
     return run
 
 
-def linked(points: DataFrame, shard: int, overlap: int, breadth: int, min_cosine: float, pivots: int = PIVOTS, largest: int = LARGEST) -> DataFrame:
-    """(a, b, na, nb, tree): the links a < b that build and search find among ``points(node, n, vec)``; those with tree connect all."""
-    cells = assign(points, shard, overlap, pivots, largest)
-    lists = cells.groupBy("shard").applyInArrow(_built(DEGREE, ALPHA), "node long, near_nodes array<long>")
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near_nodes"))).alias("near_nodes"))
-    homes = cells.groupBy("node").agg(F.collect_list("shard").alias("homes"))
-    graph = cut(cells.join(united, "node").join(homes, "node").select("shard", "node", "n", "vec", "near_nodes", "homes"))
-    none = F.lit(None).cast("long").alias("entry")
-    found, asked = [], None
-    todo = graph.select("*", none)
+def linked(points: DataFrame, shard: int, overlap: int, breadth: int, min_cosine: float, pivots: int = PIVOTS, largest: int = LARGEST, whole: int = COMPARED) -> DataFrame:
+    """(a, b, na, nb, tree): the links a < b found among ``points(node, n, vec)``, once each; those with tree connect all."""
+    homes = assign(points, shard, overlap, pivots, largest).groupBy("node").agg(F.collect_set("shard").alias("homes"))
+    placed = cut(points.select("node", "n", "vec").join(homes, "node"))
+    cells = placed.select(F.explode("homes").alias("shard"), "*", F.lit(False).alias("guest"))
+    compare = lambda rows: cut(rows.groupBy("shard").applyInArrow(_shard_links(min_cosine, breadth, whole), LINKS))
+    got = compare(cells)
+    out = got.filter("to IS NULL").drop("to")
+    extra, asked = [], None
     while True:
-        got = cut(todo.groupBy("shard").applyInArrow(_searched(min_cosine, breadth), LINKS))
-        found.append(got.filter("to IS NULL").drop("to"))
-        on = got.filter("to IS NOT NULL").groupBy(F.col("to").alias("shard"), F.col("a").alias("node")).agg(F.min("b").alias("entry"))
-        if asked is not None:
-            on = on.join(asked, ["shard", "node"], "left_anti")
-        on = cut(on)
+        on = got.filter("to IS NOT NULL").select(F.col("to").alias("shard"), F.col("a").alias("node")).distinct()
+        on = cut(on if asked is None else on.join(asked, ["shard", "node"], "left_anti"))
         if on.isEmpty():
             break
-        asked = on.select("shard", "node") if asked is None else asked.unionByName(on.select("shard", "node"))
-        own = graph.filter("true").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("vec").alias("vec"), F.any_value("homes").alias("homes"))
-        guests = on.join(own, "node").select("shard", "node", "n", "vec", F.lit(None).cast("array<long>").alias("near_nodes"), "homes", "entry")
-        todo = graph.join(on.select("shard").distinct(), "shard", "left_semi").select("*", none).unionByName(guests)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("tree").alias("tree"))
+        asked = on if asked is None else asked.unionByName(on)
+        guests = on.join(placed, "node").select("shard", "node", "n", "vec", "homes", F.lit(True).alias("guest"))
+        got = compare(cells.join(on.select("shard").distinct(), "shard", "left_semi").unionByName(guests))
+        extra.append(got.filter("to IS NULL").drop("to"))
+    if extra:  # links without a common shard, which either end may have found
+        more = extra[0]
+        for x in extra[1:]:
+            more = more.unionByName(x)
+        out = out.unionByName(more.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("tree").alias("tree")))
+    return out
 
 
 def compared(points: DataFrame, sample: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
@@ -480,7 +520,6 @@ def near_duplicates(embeddings: DataFrame, min_cosine: float = MIN_COSINE, **kw)
     rows = cut(members(embeddings))
     points = cut(nodes(rows))
     found, _, _ = links(points, min_cosine, **kw)
-    found = cut(found)
     group = components(found.filter("tree").select("a", "b"))
     named = points.join(group.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("first_id").alias("class_id"))

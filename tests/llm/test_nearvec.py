@@ -108,3 +108,35 @@ def test_lower_bound(share, worth, low):
 
 def test_starting_overlap():
     assert [nearvec.starting_overlap(p * nearvec.SHARD) for p in (1, 10, 49, 195, 3125)] == [2, 2, 3, 4, 6]
+
+
+def test_links_of_a_shard_are_all_found_whatever_the_breadth(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(1500, 32))
+    rows = list(enumerate([*base, *(base + rng.normal(size=base.shape) * 0.3)]))  # pairs alone, which a greedy walk of breadth 1 misses
+    points = nearvec.nodes(nearvec.members(table(spark, rows))).cache()
+    found = nearvec.linked(points, 5000, 2, 1, nearvec.MIN_COSINE)
+    assert found.count() == found.select("a", "b").distinct().count() == sum(r[2] for r in brute(rows, nearvec.MIN_COSINE)) / 2 > 1000
+
+
+def test_shards_too_large_to_compare_are_walked(spark):
+    rows = clustered(np.random.default_rng(3))
+    points = nearvec.nodes(nearvec.members(table(spark, rows))).cache()
+    found = nearvec.linked(points, 5000, 2, 24, nearvec.MIN_COSINE, whole=100)
+    true = nearvec.linked(points, 5000, 2, 24, nearvec.MIN_COSINE)
+    assert 0.95 * true.count() <= found.join(true, ["a", "b"], "left_semi").count() == found.count()
+
+
+def test_a_forest_over_chunks():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 400, size=(2, 900))
+    forest = nearvec._Forest(400)
+    tree = np.concatenate([forest.add(a[i : i + 100], b[i : i + 100]) for i in range(0, 900, 100)])
+    group = np.arange(400)
+    for _ in range(400):
+        for x, y in ((a, b), (b, a)):
+            np.minimum.at(group, x, group[y])
+    assert tree.sum() == 400 - len(np.unique(group))
+    again = nearvec._Forest(400)
+    assert again.add(a[tree], b[tree]).all()
+    assert (np.unique(forest.root, return_inverse=True)[1][a] == np.unique(forest.root, return_inverse=True)[1][b]).all()
