@@ -25,18 +25,19 @@ All of them are found, each with all its occurrences:
 5. *Hot groups.*  An anchor value that occurs more than ``HOT`` times is not
    brought together in one task.  Its suffixes are grouped by their first
    ``min_words`` words, groups without differing left words are dropped by an
-   aggregation, and each group of more than ``HOT`` suffixes is one node after
-   another of the tree: the least and the greatest continuation, an aggregation
-   as well, tell how far all agree, which is the node; its children are the
-   suffixes with one next word, and go on in the same way while they are large,
-   and as ordinary groups once they aren't.
+   aggregation, and each group of more than ``HOT`` suffixes is sorted in ranges
+   of words whose bounds come from a sample; words that are many in the sample
+   are a range of their own, in pieces.  A range's task finds the intervals
+   inside it and hands on the common-prefix lengths that intervals over its ends
+   depend on, the running minima from either end; one stack scan over these
+   finds the rest.  What is still equal at the end of the words sent goes on, as
+   a hot group while it is large, and as an ordinary one once it isn't.
 
 A result row is a suffix: the ``rank``-th (from 0) of its group, at word
 ``position`` of ``doc_id``.  Its ``repeats`` has an entry (last, n_words) for
 each maximal repeat whose first occurrence in the order it is; all occurrences
 are the group's ranks from its own to ``last``.  So nested repeats cost two
-numbers each, not another list.  ``occurrences()`` unfolds them.  Each node of a
-hot group is a group of its own, whose first row has rank 0 and all others 1.
+numbers each, not another list.  ``occurrences()`` unfolds them.
 
 Words are compared by 32 bits of their hash inside a group, and 64 bits decide
 on the first ``min_words``: a repeat may come out a word too long where two
@@ -51,6 +52,8 @@ documents of their own.  Other columns are not read.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -67,12 +70,20 @@ REACH = 128
 GROWTH = 4
 #: Occurrences of an anchor, and suffixes of a group, that one task takes together.
 HOT = 1 << 17
+#: Suffixes of a hot group that stand for a range of it in the sample.
+SAMPLED = 32
+#: Words that a task holds of a hot group at about most, and words sent after each of its suffixes at most.
+RANGE_WORDS = 1 << 23
+HOT_REACH = 1024
 
 ANCHORS = "uid long, pos int, anchor long, before long"
 STRETCH = "anchor long, part long, uid long, doc_id long, pos int, back long, reach int, depth int, n_words int, words binary"
 CONTINUED = "anchor long, uid long, doc_id long, n_words int, suffixes array<struct<part:long,pos:int,depth:int,left:long>>, words binary"
 SUFFIX_KEYS = "part long, uid long, pos int, left long"
 SUFFIXES = "part long, uid long, doc_id long, pos int, depth int, left long, words binary, more boolean"
+RANGED = "part long, bucket int, uid long, doc_id long, pos int, depth int, left long, words binary, more boolean, run int"
+RANGE = "part long, bucket int, run int, depth int, doc_ids array<long>, positions array<int>, uids array<long>, lefts array<long>, repeats array<struct<lo:int,hi:int,n_words:int>>, open array<struct<part:long,lo:int,hi:int,depth:int>>, ends struct<n:int,found:int,going:int,size:int,first:binary,last:binary,first_left:long,last_left:long>, points array<struct<at:int,lcp:int,before:int,upto:int>>"
+MERGED = "part long, bucket int, base int, goes_on boolean, spans array<struct<at:int,last:int,n_words:int>>, any boolean"
 FOUND = "anchor long, part long, depth int, doc_ids array<long>, positions array<int>, uids array<long>, repeats array<struct<lo:int,hi:int,n_words:int>>, open boolean"
 PACKED = ["anchor", "part", "doc_ids", "positions", "repeats"]
 RESULT = "group_id long, rank int, doc_id long, position int, repeats array<struct<last:int,n_words:int>>"
@@ -238,7 +249,7 @@ def _suffix_keys(min_words: int, k: int):
 
 def _flat_suffixes(batches):
     """A row for each suffix of CONTINUED rows, with words as bytes that sort like them."""
-    for batch in batches:
+    for batch in (b.slice(at, 1024) for b in batches for at in range(0, len(b), 1024)):
         t = pa.Table.from_batches([batch])
         flat, begin, size = _flat_words(t)
         code = flat.astype(">u4").tobytes()
@@ -252,41 +263,10 @@ def _flat_suffixes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(uid), batch.column("doc_id").take(pa.array(of)), pa.array(pos), pa.array(depth), pa.array(_own_left(pos, uid, left)), pa.array(words, pa.binary()), pa.array(more)], [x.split()[0] for x in SUFFIXES.split(", ")])
 
 
-def _agreed(batches):
-    """How many words the least and the greatest continuation of a group have in common."""
-    for batch in batches:
-        ends = [[np.frombuffer(x, ">u4") for x in batch.column(c).to_pylist()] for c in ("lo", "hi")]
-        same = []
-        for a, b in zip(*ends, strict=True):
-            n = min(len(a), len(b))
-            differ = np.flatnonzero(a[:n] != b[:n])
-            same.append(int(differ[0]) if len(differ) else n)
-        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("forks"), batch.column("uid0"), batch.column("pos0"), pa.array(same, pa.int32())], ["part", "forks", "uid0", "pos0", "same"])
-
-
-def _node_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(RESULT rows of the next node of each hot group of SUFFIXES, the suffixes of its children (part, uid, pos, depth, left))."""
-    ends = rows.groupBy("part").agg(F.min("words").alias("lo"), F.max("words").alias("hi"), F.max(~F.col("more")).alias("end"), F.min(F.struct("uid", "pos")).alias("first"))
-    ends = ends.select("part", "lo", "hi", ((F.col("lo") != F.col("hi")) | F.col("end")).alias("forks"), F.col("first.uid").alias("uid0"), F.col("first.pos").alias("pos0"))
-    at = cut(ends.mapInArrow(_agreed, "part long, forks boolean, uid0 long, pos0 int, same int"))
-    rows = rows.join(at, "part")
-    begins = (F.col("uid") == F.col("uid0")) & (F.col("pos") == F.col("pos0"))
-    repeat = F.struct(F.lit(1).alias("last"), (F.col("depth") + F.col("same")).alias("n_words"))
-    node = rows.filter("forks").select(
-        F.xxhash64("part", "same").alias("group_id"), F.when(begins, 0).otherwise(1).alias("rank"), "doc_id", F.col("pos").alias("position"), F.when(begins, F.array(repeat)).otherwise(F.array().cast("array<struct<last:int,n_words:int>>")).alias("repeats")
-    )
-    on = F.length("words") > 4 * F.col("same")
-    word = F.substring("words", 4 * F.col("same") + 1, F.lit(4))
-    children = rows.filter(on | F.col("more")).select(
-        F.when(on, F.xxhash64("part", "same", word)).otherwise(F.xxhash64("part", "same")).alias("part"), "uid", "pos", (F.col("depth") + F.col("same") + on.cast("int")).alias("depth"), "left"
-    )
-    return node, children
-
-
 def _diverse(suffixes: DataFrame) -> DataFrame:
-    """``suffixes`` of the groups with more than one member and differing left words, with the group's size ``n``."""
-    sizes = suffixes.groupBy("part").agg(F.count("*").alias("n"), F.min("left").alias("lo"), F.max("left").alias("hi")).filter("n > 1 AND lo <> hi").select("part", "n")
-    return suffixes.join(sizes, "part").select("part", "n", "uid", "pos", "depth")
+    """``suffixes`` of the groups with more than one member and differing left words, once each, with the number of rows ``n``."""
+    sizes = suffixes.groupBy("part").agg(F.count("*").alias("n"), F.min("left").alias("lo"), F.max("left").alias("hi")).filter("lo <> hi").select("part", "n")
+    return suffixes.join(sizes, "part").select("part", "n", "uid", "pos", "depth").distinct()
 
 
 def intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -329,8 +309,8 @@ def _common(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return out
 
 
-def tree(flat: np.ndarray, code: bytes, begin: np.ndarray, size: np.ndarray, more: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """(order, maximal repeats, open runs) of suffixes that share ``depth`` words already.
+def _leaves(flat: np.ndarray, code: bytes, begin: np.ndarray, size: np.ndarray, more: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(order, common-prefix lengths, number of changes of the left word up to each, open runs) of suffixes.
 
     A suffix goes on with ``size`` words of ``flat`` from ``begin``; ``code``
     is ``flat`` as bytes that sort like it.  ``more`` says whose text goes on
@@ -354,6 +334,12 @@ def tree(flat: np.ndarray, code: bytes, begin: np.ndarray, size: np.ndarray, mor
         lcp[lo + 1 : hi + 1] = OPEN
         if change[hi] > change[lo]:
             runs.append((lo, hi))
+    return order, lcp, change, runs
+
+
+def tree(flat: np.ndarray, code: bytes, begin: np.ndarray, size: np.ndarray, more: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """(order, maximal repeats, open runs) of suffixes that share ``depth`` words already, as for _leaves()."""
+    order, lcp, change, runs = _leaves(flat, code, begin, size, more, left)
     found = [(lo, hi, length - 1 + depth) for lo, hi, length in intervals(lcp + 1, 1) if length <= OPEN and change[hi] > change[lo]]
     found.sort(key=lambda r: (r[0] - r[1], r[0]))
     return order, found, runs
@@ -470,6 +456,204 @@ def _next(batches):
         tk.release()
 
 
+def _bounds(words: list[bytes], per: int) -> tuple[list[tuple[bytes, int]], list[int], list[int]]:
+    """(lower bounds of all ranges but the first, number of the first piece of each range, pieces) from a sample's words.
+
+    A bound (words, 0) lets these words in, (words, 1) what comes after them.
+    """
+    bounds, pieces, held = [], [1], 0
+    words = sorted(words)
+    lo = 0
+    while lo < len(words):
+        hi = bisect.bisect_right(words, words[lo], lo)
+        if hi - lo >= max(2, per):
+            bounds += [(words[lo], 0), (words[lo], 1)]
+            pieces += [-(-(hi - lo) // per), 1]
+            held = 0
+        else:
+            if held + hi - lo > per:
+                bounds.append((words[lo], 0))
+                pieces.append(1)
+                held = 0
+            held += hi - lo
+        lo = hi
+    return bounds, [0, *np.cumsum(pieces).tolist()], pieces
+
+
+def _ranged(known: dict):
+    """RANGED of SUFFIXES: the range of its group that each is in; run is that of words with a range of their own, else -1."""
+
+    def run(batches):
+        for batch in batches:
+            bucket, runs = [], []
+            piece = tk.mix(batch.column("uid").to_numpy().view(np.uint64) + tk.mix(batch.column("pos").to_numpy().astype(np.uint64))) >> np.uint64(1)
+            for part, words, p in zip(batch.column("part").to_pylist(), batch.column("words").to_pylist(), piece.tolist(), strict=True):
+                bounds, starts, pieces = known.value.get(part, ([], [0], [1]))
+                i = bisect.bisect_left(bounds, (words, 0.5))
+                bucket.append(starts[i] + p % pieces[i])
+                own = 0 < i < len(bounds) and bounds[i - 1][0] == bounds[i][0]
+                runs.append(starts[i] if own else -1)
+            cols = {"bucket": pa.array(bucket, pa.int32()), "run": pa.array(runs, pa.int32())}
+            names = [x.split()[0] for x in RANGED.split(", ")]
+            yield pa.RecordBatch.from_arrays([cols[x] if x in cols else batch.column(x) for x in names], names)
+
+    return run
+
+
+def _chains(lcp: np.ndarray) -> np.ndarray:
+    """The first place, and those of the strict running minima from either end of the others."""
+    inner = lcp[1:]
+    if not len(inner):
+        return np.zeros(1, np.int64)
+    low = np.minimum.accumulate(inner)
+    high = np.minimum.accumulate(inner[::-1])[::-1]
+    at = np.append(True, low[1:] < low[:-1]) | np.append(high[:-1] < high[1:], True)
+    return np.concatenate([[0], np.flatnonzero(at) + 1])
+
+
+def _range_trees(batches):
+    """RANGE of RANGED rows in order: intervals inside a range, and what intervals over its ends depend on."""
+    for t in tk.whole_groups(batches, ["part", "bucket"], 1 << 13):
+        flat, begin, size = _flat_words(t)
+        code = flat.tobytes()  # they sort like words already
+        c = {x: t[x].to_numpy().astype(np.int64) for x in ("part", "bucket", "uid", "doc_id", "pos", "depth", "left", "more", "run")}
+        order = _in_order(c, ["part", "bucket"])
+        c, begin, size = {k: v[order] for k, v in c.items()}, begin[order], size[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (c["part"][1:] != c["part"][:-1]) | (c["bucket"][1:] != c["bucket"][:-1])
+        edges = np.flatnonzero(new)
+        out = []
+        for lo, hi in zip(edges.tolist(), np.append(edges, len(order))[1:].tolist(), strict=True):
+            s = slice(lo, hi)
+            own = {k: v[s] for k, v in c.items()}
+            part, bucket, run, depth = (int(own[k][0]) for k in ("part", "bucket", "run", "depth"))
+            at, n, left = begin[s], hi - lo, own["left"]
+            found, opened = [], []
+            if run >= 0:  # all words equal; whether they are open shows when all pieces are known
+                o = np.arange(n)
+                change = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])
+                lcp = np.full(n, -1)
+                opened = [(_own_part(part, run, 0), 0, n - 1, depth + int(size[lo]))]
+            else:
+                o, lcp, change, runs = _leaves(flat, code, at, size[s], own["more"] > 0, left)
+                found = [(x, y, length - 1 + depth) for x, y, length in intervals(lcp + 1, 1) if 0 < x and y < n - 1 and length <= OPEN and change[y] > change[x]]
+                opened = [(_own_part(part, bucket, x + 1), x, y, depth + int(size[s][o[x]])) for x, y in runs]
+            points = [(int(i), int(lcp[i]), int(change[max(i - 1, 0)]), int(change[i])) for i in _chains(lcp)]
+            word = lambda i: code[4 * at[o[i]] : 4 * (at[o[i]] + size[s][o[i]])]  # noqa: B023, E731
+            out.append({
+                "part": part, "bucket": bucket, "run": run, "depth": depth, "doc_ids": own["doc_id"][o], "positions": own["pos"][o], "uids": own["uid"][o], "lefts": left[o],
+                "repeats": [dict(zip(("lo", "hi", "n_words"), x, strict=True)) for x in found], "open": [dict(zip(("part", "lo", "hi", "depth"), x, strict=True)) for x in opened],
+                "ends": {"n": n, "found": len(found), "going": int(own["more"].sum()), "size": int(size[lo]), "first": word(0), "last": word(n - 1), "first_left": int(left[o[0]]), "last_left": int(left[o[-1]])},
+                "points": [dict(zip(("at", "lcp", "before", "upto"), x, strict=True)) for x in points],
+            })
+        names = [f.name for f in _RANGE]
+        yield pa.RecordBatch.from_arrays([pa.array([x[f.name] for x in out], f.type) for f in _RANGE], names)
+        del out, flat, code
+        tk.release()
+
+
+_I, _L, _B = pa.int32(), pa.int64(), pa.binary()
+_RANGE = pa.schema([
+    ("part", _L), ("bucket", _I), ("run", _I), ("depth", _I), ("doc_ids", pa.list_(_L)), ("positions", pa.list_(_I)), ("uids", pa.list_(_L)), ("lefts", pa.list_(_L)),
+    ("repeats", pa.list_(pa.struct([("lo", _I), ("hi", _I), ("n_words", _I)]))), ("open", pa.list_(pa.struct([("part", _L), ("lo", _I), ("hi", _I), ("depth", _I)]))),
+    ("ends", pa.struct([("n", _I), ("found", _I), ("going", _I), ("size", _I), ("first", _B), ("last", _B), ("first_left", _L), ("last_left", _L)])),
+    ("points", pa.list_(pa.struct([("at", _I), ("lcp", _I), ("before", _I), ("upto", _I)]))),
+])
+_MERGED = pa.schema([("part", _L), ("bucket", _I), ("base", _I), ("goes_on", pa.bool_()), ("spans", pa.list_(pa.struct([("at", _I), ("last", _I), ("n_words", _I)]))), ("any", pa.bool_())])
+
+
+def _own_part(part: int, bucket: int, lo: int) -> int:
+    return int(tk.mix(np.array([part & ((1 << 63) - 1)], np.uint64) + tk.mix(np.array([(bucket << 32) + lo], np.uint64) + np.uint64(1 << 63)))[0] >> np.uint64(1))
+
+
+def _merge(t: pa.Table) -> pa.Table:
+    """MERGED of a group's ranges: their first ranks, and the maximal repeats that reach the end of one."""
+    rows = t.sort_by("bucket").to_pylist()
+    depth = rows[0]["depth"]
+    going: dict[int, int] = {}
+    for r in rows:
+        if r["run"] >= 0:
+            going[r["run"]] = going.get(r["run"], 0) + r["ends"]["going"]
+    at, value, before, upto = [], [], [], []
+    base, total, bases = 0, 0, []
+    for i, r in enumerate(rows):
+        e, lcp, prior = r["ends"], 0, total
+        last = rows[i - 1] if i else None
+        inside = OPEN if going.get(r["run"], 0) > 1 else e["size"]
+        if last is not None:
+            if r["run"] >= 0 and last["run"] == r["run"]:
+                lcp = inside
+            else:
+                x, y = (np.frombuffer(z, ">u4") for z in (last["ends"]["last"], e["first"]))
+                m = min(len(x), len(y))
+                differ = np.flatnonzero(x[:m] != y[:m])
+                lcp = int(differ[0]) if len(differ) else m
+            total += int(last["ends"]["last_left"] != e["first_left"])
+        for k, p in enumerate(r["points"]):
+            at.append(base + p["at"])
+            value.append((inside if p["lcp"] < 0 else p["lcp"]) if k else lcp)
+            before.append(total + p["before"] if k else prior)
+            upto.append(total + p["upto"])
+        total += r["points"][-1]["upto"]
+        bases.append(base)
+        base += e["n"]
+    spans: list[list] = [[] for _ in rows]
+    stack: list[tuple[int, int]] = []
+    ends = np.array([b + r["ends"]["n"] - 1 for b, r in zip(bases, rows, strict=True)])
+    for k in range(1, len(at) + 1):
+        cur, stop, seen = (value[k] + 1, at[k], before[k]) if k < len(at) else (0, base, total)
+        lo = k - 1
+        while stack and stack[-1][1] > cur:
+            lo, length = stack.pop()
+            first, last = at[lo], stop - 1
+            i = int(np.searchsorted(ends, first))
+            inside = rows[i]["run"] < 0 and bases[i] < first and last < ends[i]
+            if not inside and length <= OPEN and seen > upto[lo]:
+                spans[i].append({"at": first - bases[i], "last": last, "n_words": length - 1 + depth})
+        if cur >= 1 and (not stack or stack[-1][1] < cur):
+            stack.append((lo, cur))
+    some = any(spans) or any(r["ends"]["found"] for r in rows)
+    out = [(r["part"], r["bucket"], b, r["run"] >= 0 and going[r["run"]] > 1, s, some) for r, b, s in zip(rows, bases, spans, strict=True)]
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _MERGED, strict=True)], schema=_MERGED)
+
+
+def _ranks(batches):
+    """RESULT rows of a hot group's ranges."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            n, base = len(r["doc_ids"]), r["base"]
+            each: dict[int, list] = {}
+            for x in r["repeats"]:
+                each.setdefault(x["lo"], []).append({"last": base + x["hi"], "n_words": x["n_words"]})
+            for x in r["spans"]:
+                each.setdefault(x["at"], []).append({"last": x["last"], "n_words": x["n_words"]})
+            group = int(tk.signed(tk.mix(np.array([r["part"]]).view(np.uint64) + tk.mix(np.array([r["part"]]).view(np.uint64))))[0])
+            lists = [sorted(each.get(i, ()), key=lambda x: x["n_words"]) for i in range(n)]
+            kind = pa.list_(pa.struct([("last", _I), ("n_words", _I)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, group)), pa.array(np.arange(base, base + n, dtype=np.int32)), pa.array(r["doc_ids"], _L), pa.array(r["positions"], _I), pa.array(lists, kind)], ["group_id", "rank", "doc_id", "position", "repeats"])
+
+
+def _sorted_groups(suffixes: DataFrame, hot: int, reach: int) -> tuple[DataFrame, DataFrame]:
+    """(RESULT rows of hot groups of SUFFIXES, the suffixes that are open (part, uid, pos, depth, left))."""
+    held, drop = stored(suffixes)
+    per = max(1, min(hot // 2, RANGE_WORDS // reach))
+    share = max(1, per // SAMPLED)
+    sample = held.filter(F.pmod(F.xxhash64("uid", "pos"), F.lit(share)) == 0).select("part", "words").toArrow()
+    by: dict[int, list[bytes]] = {}
+    for part, words in zip(sample["part"].to_pylist(), sample["words"].to_pylist(), strict=True):
+        by.setdefault(part, []).append(words)
+    known = suffixes.sparkSession.sparkContext.broadcast({part: _bounds(words, max(1, per // share)) for part, words in by.items()})
+    ranges = held.mapInArrow(_ranged(known), RANGED).repartition("part", "bucket").sortWithinPartitions("part", "bucket").mapInArrow(_range_trees, RANGE)
+    ranges, _ = stored(ranges)
+    drop()
+    merged = cut(ranges.select("part", "bucket", "run", "depth", "ends", "points").groupBy("part").applyInArrow(_merge, MERGED))
+    found = ranges.select("part", "bucket", "doc_ids", "positions", "repeats").join(merged.filter("any").select("part", "bucket", "base", "spans"), ["part", "bucket"]).mapInArrow(_ranks, RESULT)
+    on = ranges.join(merged.select("part", "bucket", "goes_on"), ["part", "bucket"]).filter("run < 0 OR goes_on").select(F.explode("open").alias("o"), "uids", "positions", "lefts")
+    members = F.explode(F.sequence(F.col("o.lo"), F.col("o.hi"))).alias("i")
+    on = on.select("o", members, "uids", "positions", "lefts").select(F.col("o.part").alias("part"), F.col("uids")[F.col("i")].alias("uid"), F.col("positions")[F.col("i")].alias("pos"), F.col("o.depth").alias("depth"), F.col("lefts")[F.col("i")].alias("left"))
+    return found, on
+
+
 def _unpacked(batches):
     """A row for each suffix of each group."""
     for batch in batches:
@@ -515,7 +699,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCH
     keys = listed.filter("size(hot_at) > 0").select("uid", "text", "hot_at")
     large = None
     if not keys.isEmpty():
-        large = cut(_diverse(keys.mapInArrow(_suffix_keys(min_words, k), SUFFIX_KEYS).distinct().withColumn("depth", F.lit(min_words))))
+        large = cut(_diverse(keys.mapInArrow(_suffix_keys(min_words, k), SUFFIX_KEYS).withColumn("depth", F.lit(min_words))))
     done, nodes = [], []
     while True:
         done.append(level.filter("NOT open").select(*PACKED))
@@ -526,13 +710,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCH
             large = None if large.isEmpty() else large
         if todo.isEmpty() and large is None:
             break
-        reach *= GROWTH
+        short, reach = min(reach, HOT_REACH), reach * GROWTH
         level = cut(_next_words(src, todo, reach).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_next, FOUND))
         if large is not None:
-            suffixes = _next_words(src, large.select(F.col("part").alias("anchor"), "part", "depth", "uid", "pos"), reach)
-            node, children = _node_of(cut(suffixes.mapInArrow(_flat_suffixes, SUFFIXES)))
+            suffixes = _next_words(src, large.select(F.col("part").alias("anchor"), "part", "depth", "uid", "pos"), short)
+            node, on = _sorted_groups(suffixes.mapInArrow(_flat_suffixes, SUFFIXES), hot, short)
             nodes.append(node)
-            large = cut(_diverse(children))
+            large = cut(_diverse(on))
     drop_listed()
     out = done[0]
     for x in done[1:]:

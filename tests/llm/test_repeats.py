@@ -80,3 +80,30 @@ def test_long_copies(spark, hot):
 
 def test_intervals():
     assert sorted(repeats.intervals(np.array([0, 2, 3, 3, 1, 2]), 1)) == [(0, 3, 2), (0, 5, 1), (1, 3, 3), (4, 5, 2)]
+
+
+def chains() -> dict[int, list[str]]:
+    """A passage that goes on a word further in each text, and copies whose left words differ: a long chain of nodes."""
+    passage = [f"c{i}" for i in range(60)]
+    out = {d: [f"a{d}", *passage[: 14 + d], f"z{d}"] for d in range(40)}
+    out |= {100 + d: [f"b{d % 3}", *passage, *(f"t{i}" for i in range(25)), *(["end"] if d % 2 else [])] for d in range(9)}
+    out[200] = ["q", "r", "s"] * 25
+    out[201] = ["x", *["q", "r", "s"] * 20, "y"]
+    return out
+
+
+@pytest.mark.parametrize("hot, reach", [(3, 10), (12, 8), (4, 64)])
+def test_hot_groups_list_each_suffix_once(spark, hot, reach):
+    texts = chains()
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    docs = docs.unionByName(docs.filter("doc_id IN (7, 101)"))
+    rows = repeats.repeated_passages(docs, min_words=12, k=5, reach=reach, hot=hot)
+    assert found(rows) == brute(texts, 12)
+    # a row for each suffix of a group, not for each node that it is below; a run that goes on is a group again
+    assert rows.count() <= 2 * sum(len(w) for w in texts.values())
+
+
+def test_minima_at_the_ends_of_a_range():
+    lcp = np.array([0, 7, 3, 9, 3, 5, 4, 8])
+    assert repeats._chains(lcp).tolist() == [0, 1, 2, 4, 6, 7]
+    assert repeats._bounds([b"a", b"b", b"b", b"b", b"c", b"d", b"e"], 2) == ([(b"b", 0), (b"b", 1), (b"e", 0)], [0, 1, 3, 4, 5], [1, 2, 1, 1])
