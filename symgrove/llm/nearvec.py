@@ -72,6 +72,8 @@ _CHUNK = 256
 _ROWS = 1024
 _FANOUT = 4
 _PAIRS = 1 << 17
+#: Vectors of a block where all pairs are compared; a task holds two blocks.
+BLOCK = 1 << 15
 #: What a cosine in single precision may be off by.
 _DOUBT = 1e-5
 
@@ -515,11 +517,53 @@ def links(points: DataFrame, min_cosine: float = MIN_COSINE, shard: int = SHARD,
         breadth, overlap = breadth * 2, overlap + 1
 
 
-def near_duplicates(embeddings: DataFrame, min_cosine: float = MIN_COSINE, **kw) -> DataFrame:
-    """(vec_id, class_id, n_links) of every vector."""
+def _block_links(min_cosine: float):
+    """The links of two blocks, or of one within itself, once each."""
+
+    def run(t: pa.Table) -> pa.Table:
+        first = t["block"].to_numpy() == t["i"].to_numpy()
+        own = t["i"][0].as_py() == t["j"][0].as_py()
+        node, weight, exact = t["node"].to_numpy(), t["n"].to_numpy(), _unit(t["vec"])
+        left = np.flatnonzero(first)
+        right = left if own else np.flatnonzero(~first)
+        v = exact.astype(np.float32)
+        forest, parts = _Forest(len(node)), []
+        for a, b, value in _in_range(v[left], v[right], min_cosine - _DOUBT, own):
+            a, b = left[a], right[b]
+            ok = value >= min_cosine + _DOUBT
+            doubt = np.flatnonzero(~ok)
+            for lo in range(0, len(doubt), 1 << 14):
+                d = doubt[lo : lo + (1 << 14)]
+                ok[d] = np.einsum("nd,nd->n", exact[a[d]], exact[b[d]]) >= min_cosine
+            a, b = a[ok], b[ok]
+            lo, hi = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
+            parts.append(pa.table([pa.array(node[lo]), pa.array(node[hi]), pa.array(weight[lo]), pa.array(weight[hi]), pa.array(forest.add(lo, hi))], names=["a", "b", "na", "nb", "tree"]))
+        return pa.concat_tables(parts) if parts else pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("tree", pa.bool_())]).empty_table()
+
+    return run
+
+
+def all_links(points: DataFrame, min_cosine: float = MIN_COSINE, block: int = BLOCK) -> DataFrame:
+    """(a, b, na, nb, tree): every link a < b of ``points(node, n, vec)``, none left out; those with tree connect all.
+
+    All pairs are compared, block by block.  The comparisons are quadratic in
+    the vectors and what is shuffled is their number times that of the blocks,
+    but a task holds two blocks however many there are.
+    """
+    n = points.count()
+    busy = math.ceil(math.sqrt(2 * points.sparkSession.sparkContext.defaultParallelism))
+    blocks = max(-(-n // block), min(busy, -(-n // 1024)), 1)
+    own = points.select("node", "n", "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("node", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
+    sent = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select("node", "n", "vec", "dim", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    pairs = blocks * (blocks + 1) // 2
+    return sent.repartition(2 * pairs, "dim", "i", "j").groupBy("dim", "i", "j").applyInArrow(_block_links(min_cosine), "a long, b long, na long, nb long, tree boolean")
+
+
+def near_duplicates(embeddings: DataFrame, min_cosine: float = MIN_COSINE, exact: bool = False, **kw) -> DataFrame:
+    """(vec_id, class_id, n_links) of every vector; with ``exact`` all pairs are compared, in place of the shards'."""
     rows = cut(members(embeddings))
     points = cut(nodes(rows))
-    found, _, _ = links(points, min_cosine, **kw)
+    found = cut(all_links(points, min_cosine)) if exact else links(points, min_cosine, **kw)[0]
     group = components(found.filter("tree").select("a", "b"))
     named = points.join(group.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("first_id").alias("class_id"))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from symgrove.llm import nearvec
+from symgrove.llm import nearvec, queries
 
 
 def brute(rows, least):
@@ -140,3 +140,22 @@ def test_a_forest_over_chunks():
     again = nearvec._Forest(400)
     assert again.add(a[tree], b[tree]).all()
     assert (np.unique(forest.root, return_inverse=True)[1][a] == np.unique(forest.root, return_inverse=True)[1][b]).all()
+
+
+def test_perturbed_embeddings_miss_no_link(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    base = list(enumerate(rng.normal(size=(1500, 10)).tolist()))
+    spark.createDataFrame(base, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, queries.perturbed_embeddings(spark, str(tmp_path)).collect()))
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.sql(nearvec.PERTURBED["spark"], embeddings=spark.read.parquet(f"{tmp_path}/embeddings.parquet")).collect()]
+    assert got == brute(rows, nearvec.MIN_COSINE)
+
+
+def test_all_pairs_of_small_blocks(spark):
+    rows = clustered(np.random.default_rng(3)) + [(9000, [1.0, 0.0]), (9001, [2.0, 0.1])]
+    found = nearvec.all_links(nearvec.nodes(nearvec.members(table(spark, rows))).cache(), block=100)
+    plain = brute(rows[:-2], nearvec.MIN_COSINE)
+    points = {r["node"]: r["n"] for r in nearvec.nodes(nearvec.members(table(spark, rows))).collect()}
+    links = found.collect()
+    assert len({(r["a"], r["b"]) for r in links}) == len(links)
+    assert sum(2 * r["na"] * r["nb"] for r in links) + sum(n * (n - 1) for n in points.values()) == sum(r[2] for r in plain) + 2
