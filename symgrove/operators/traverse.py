@@ -15,6 +15,8 @@ from symgrove.plans.iterate import cut, union
 from symgrove.sources.derived import Graph
 
 ARROW = " -> "
+#: Ids of a frontier up to which it is sent to where the edges are read, in place of all edges to where it is.
+BROADCAST_IDS = 1 << 18
 
 
 def _steps(g: Graph, forward: bool, kinds: list[str]) -> DataFrame:
@@ -67,21 +69,36 @@ def blast_radius_depths(g: Graph, target: str, depth: int = 2) -> DataFrame:
     return reverse_call_chain(g, target, depth).groupBy("depth").agg(F.countDistinct("id").alias("callers"), F.count("*").alias("rows"))
 
 
+def _among(rows: DataFrame, on: str, ids: DataFrame, n: int) -> DataFrame:
+    """The rows whose ``on`` is one of ``n`` ids: few are sent to the scans, before anything of the rows is made distinct or shuffled."""
+    ids = ids.select(F.col("id").alias(on))
+    return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, on, "left_semi")
+
+
+def _onward(edges: DataFrame, front: DataFrame, n: int, directed: bool) -> DataFrame:
+    """(a, b, ...): the steps from the ``n`` nodes of ``front(id, ...)`` with what it has of them."""
+    ways = [("source_id", "target_id"), ("target_id", "source_id")][: 2 - directed]
+    steps = union([edges.select(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ways])
+    front = front.withColumnRenamed("id", "a")
+    if n > BROADCAST_IDS:
+        return steps.join(front, "a")
+    return _among(steps, "a", front.select(F.col("a").alias("id")), n).join(F.broadcast(front), "a")
+
+
 def reach(g: Graph, starts: DataFrame, depth: int, kinds: list[str] | None = None, directed: bool = True) -> DataFrame:
     """(id, depth): the least depth of each node within ``depth`` of ``starts(id)``, these included.
 
     Each node is expanded once, so unlike the walks this is linear in the edges.
     """
-    edges = (g.edges if kinds is None else g.calls(*kinds)).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    if not directed:
-        edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = g.edges if kinds is None else g.calls(*kinds)
     seen = cut(starts.select("id", F.lit(0).alias("depth")).distinct())
     frontier = seen
     for d in range(1, depth + 1):
-        new = edges.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = cut(new.select("id", F.lit(d).alias("depth")))
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
+        new = _onward(edges, frontier.select("id"), n, directed).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
+        frontier = cut(new.select("id", F.lit(d).alias("depth")))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -89,18 +106,19 @@ def reach(g: Graph, starts: DataFrame, depth: int, kinds: list[str] | None = Non
 def neighbors(g: Graph, start: str, depth: int = 1) -> DataFrame:
     """Nodes within ``depth`` undirected steps over all kinds, the start included."""
     here = g.nodes.filter(F.col("id") == start)
-    return reach(g, here, depth, directed=False).join(g.nodes.select("id", "name", "kind"), "id").select("id", "name", "kind", "depth")
+    found = reach(g, here, depth, directed=False)
+    n = found.count()
+    shown = _among(g.nodes.select("id", "name", "kind"), "id", found, n)
+    return shown.join(F.broadcast(found) if n <= BROADCAST_IDS else found, "id").select("id", "name", "kind", "depth")
 
 
 def shortest_path(g: Graph, start: str, end: str, max_depth: int = 15) -> DataFrame:
     """(id, name, depth, trail) of the least trail among the shortest undirected ones, or no row.
 
-    Both ends are searched, the smaller frontier first, over links that are
-    made once.  All shortest paths pass the level on which the frontiers meet,
-    and the least trail through a node is the least one to it and on from it.
+    Both ends are searched, the smaller frontier first.  All shortest paths
+    pass the level on which the frontiers meet, and the least trail through a
+    node is the least one to it and on from it.
     """
-    both = g.edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     names = g.nodes.select("id", "name")
     none = names.limit(0).select("id", "name", F.lit(0).alias("depth"), F.lit("").alias("trail"))
     fronts = [cut(names.filter(F.col("id") == x).select("id", F.col("id").alias("trail")).distinct()) for x in (start, end)]
@@ -116,7 +134,7 @@ def shortest_path(g: Graph, start: str, end: str, max_depth: int = 15) -> DataFr
             break
         i, depth = int(sizes[1] < sizes[0]), depth + 1
         trail = F.concat("trail", F.lit(","), "b") if i == 0 else F.concat("b", F.lit(","), "trail")
-        step = both.join(fronts[i].withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), trail.alias("trail"))
+        step = _onward(g.edges, fronts[i], sizes[i], False).select(F.col("b").alias("id"), trail.alias("trail"))
         fronts[i] = cut(step.join(seen[i], "id", "left_anti").groupBy("id").agg(F.min("trail").alias("trail")))
         sizes[i] = fronts[i].count()
         seen[i] = seen[i].unionByName(fronts[i].select("id"))

@@ -217,3 +217,35 @@ def test_nearest_interval_join_has_each_pair_once(spark):
     right = spark.createDataFrame(hunks, "file_path string, c int, d int")
     got = sorted((r["id"], r["c"], r["d"]) for r in ranges.overlap_join(left, right, "file_path", "a", "b", "c", "d").collect())
     assert got == sorted((i, c, d) for i, p, a, b in spans for q, c, d in hunks if p == q and a <= d and b >= c)
+
+
+def _cuts(monkeypatch, module):
+    """What a module checkpoints, in order."""
+    made, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: made.append(cut(df)) or made[-1])
+    return made
+
+
+def test_shortest_path_keeps_no_copy_of_all_links(spark, monkeypatch):
+    made = _cuts(monkeypatch, traverse)
+    g = graph(spark, SF)
+    assert traverse.shortest_path(g, "P0", "S1").first()["depth"] > 0
+    assert max(df.count() for df in made) < g.edges.count() / 2
+
+
+@pytest.mark.parametrize("few", [traverse.BROADCAST_IDS, 0], ids=["sent to the scans", "shuffled"])
+def test_steps_from_few_nodes_are_taken_where_edges_are_read(spark, monkeypatch, few):
+    monkeypatch.setattr(traverse, "BROADCAST_IDS", few)
+    g = graph(spark, SF)
+    near = traverse.neighbors(g, "P9", 2)
+    links = {(r[0], r[1]) for r in g.edges.select("source_id", "target_id").collect()}
+    links |= {(b, a) for a, b in links}
+    one = {b for a, b in links if a == "P9"} - {"P9"}
+    two = {b for a, b in links if a in one} - one - {"P9"}
+    assert {(r["id"], r["depth"]) for r in near.collect()} == {("P9", 0), *((x, 1) for x in one), *((x, 2) for x in two)}
+    assert traverse.shortest_path(g, "R0", "C1").count() == 1
+    if few:  # below the aggregation that makes the edges distinct
+        steps = traverse._onward(g.edges, spark.createDataFrame([("P9",)], "id string"), 1, False)
+        plan = steps._jdf.queryExecution().optimizedPlan().toString()
+        distinct = [x.split("Relation [")[0] for x in plan.split("Aggregate [")[1:] if "l_partkey" in x.split("Relation [")[1]]
+        assert distinct and all("Join LeftSemi" in x for x in distinct)
