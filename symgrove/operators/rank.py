@@ -13,6 +13,9 @@ BRIEF = ["id", "name", "kind", "file_path"]
 #: Build output, dependencies and bundles, which are not a project's own code.
 DEAD_EXCLUDES = "build/ dist/ target/ vendor/ third_party/ node_modules pdf.worker .bundle.js .min.js .min.mjs".split()
 
+#: Estimated size of a partition of pairs of ends.
+TASK_BYTES = 1 << 24
+
 
 def stats_totals(g: Graph) -> DataFrame:
     """One row: nodes, files, edges."""
@@ -30,14 +33,24 @@ def metadata(g: Graph) -> DataFrame:
     return a.crossJoin(g.edges.agg(F.count("*").alias("total_edges")))
 
 
+def partitions(df: DataFrame) -> int:
+    """In how many partitions to shuffle ``df``: as the session has it, or more, so that each has ``TASK_BYTES`` at most by the plan's estimate."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size > 1 << 50 else max(least, -(-size // TASK_BYTES))  # beyond that it isn't known
+
+
 def degrees(g: Graph) -> DataFrame:
-    """(id, outgoing, incoming): distinct neighbours of each node that has any, from one shuffle.
+    """(id, outgoing, incoming): distinct neighbours of each node that has any.
 
-    Both ends of an edge go into one aggregation, told apart by direction, in
-    place of the product of a node's outgoing and incoming edges.
+    Pairs of ends are made distinct once for both directions, in as many
+    partitions as their size asks for, so what a task holds doesn't grow with
+    the edges; their ends are counted where they are, and only counts go on.
     """
-    ends = g.edges.select(F.explode(F.array(F.struct(F.col("source_id").alias("id"), F.col("target_id").alias("other"), F.lit(True).alias("out")), F.struct(F.col("target_id").alias("id"), F.col("source_id").alias("other"), F.lit(False).alias("out")))).alias("e")).select("e.*")
-    return ends.distinct().groupBy("id").agg(F.sum(F.col("out").cast("long")).alias("outgoing"), F.sum((~F.col("out")).cast("long")).alias("incoming"))
+    pairs = g.edges.select("source_id", "target_id")
+    pairs = pairs.repartition(partitions(pairs), "source_id", "target_id").distinct()
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("source_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target_id").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
+    return ends.groupBy("id").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"))
 
 
 def hotspots(g: Graph, limit: int = 20) -> DataFrame:

@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgrove import schema
-from symgrove.plans.iterate import cut
+from symgrove.plans.iterate import cut, union
 
 K1, B = 1.2, 0.75
 SYMBOL_TEXT = ["name", "signature", "doc_comment"]
@@ -38,7 +40,8 @@ _INNER, _GAP = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]+"
 
 
 def folded(c: Column) -> Column:
-    return F.translate(F.lower(F.coalesce(c, F.lit(""))), _ACCENTED, _PLAIN)
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(F.octet_length(low) > F.length(low), F.translate(low, _ACCENTED, _PLAIN)).otherwise(low)  # ASCII has no accents
 
 
 def query_phrases(query: str) -> list[list[str]]:
@@ -113,14 +116,21 @@ def bm25_indexed(index: DataFrame, total: DataFrame, query: str) -> DataFrame:
         mine = F.col("token").startswith(word) if prefix else F.col("token") == word
         return index.filter((F.col("head") == _head(F.lit(word))) & mine).select("id", "col", "size", F.explode("positions").alias("pos")).withColumn("pos", F.col("pos") - back)
 
-    found = None
+    count = lambda j, n: [n if i == j else F.lit(0).alias(f"__t{i}") for i in range(len(phrases))]
+    found = []
+    words = {j: F.col("token").startswith(p[0]) for j, p in enumerate(phrases) if len(p) == 1}
+    if words:  # all in one pass over the index
+        mine = reduce(or_, words.values()) & F.col("head").isin([_head(F.lit(phrases[j][0])) for j in words])
+        times = [F.when(words[j], F.size("positions")).otherwise(0).alias(f"__t{j}") if j in words else F.lit(0).alias(f"__t{j}") for j in range(len(phrases))]
+        found.append(index.filter(mine).select("id", "size", *times))
     for j, phrase in enumerate(phrases):
-        hits = at(phrase[0], len(phrase) == 1, 0)
+        if len(phrase) == 1:
+            continue
+        hits = at(phrase[0], False, 0)
         for back, word in enumerate(phrase[1:], 1):
             hits = hits.join(at(word, back == len(phrase) - 1, back).select("id", "col", "pos"), ["id", "col", "pos"], "left_semi")
-        one = hits.select("id", "size", F.lit(j).alias("j"))
-        found = one if found is None else found.unionByName(one)
-    per = found.groupBy("id", "size").agg(*[F.count_if(F.col("j") == j).alias(f"__t{j}") for j in range(len(phrases))])
+        found.append(hits.select("id", "size", *count(j, F.lit(1).alias(f"__t{j}"))))
+    per = union(found).groupBy("id", "size").agg(*[F.sum(f"__t{j}").alias(f"__t{j}") for j in range(len(phrases))])
     known = per.agg(*[F.count_if(F.col(f"__t{j}") > 0).alias(f"__n{j}") for j in range(len(phrases))])
     of = total.select(F.col("n").alias("__n"), (F.col("tokens") / F.col("n")).alias("__avg"))
     return per.withColumnRenamed("size", "__size").crossJoin(F.broadcast(known)).crossJoin(F.broadcast(of)).select("id", _score(len(phrases)).alias("score"))

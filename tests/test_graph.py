@@ -249,3 +249,21 @@ def test_steps_from_few_nodes_are_taken_where_edges_are_read(spark, monkeypatch,
         plan = steps._jdf.queryExecution().optimizedPlan().toString()
         distinct = [x.split("Relation [")[0] for x in plan.split("Aggregate [")[1:] if "l_partkey" in x.split("Relation [")[1]]
         assert distinct and all("Join LeftSemi" in x for x in distinct)
+
+
+def test_degrees_take_more_partitions_of_more_edges(spark, monkeypatch):
+    g = graph(spark, SF)
+    want = sorted(map(tuple, rank.degrees(g).collect()))
+    monkeypatch.setattr(rank, "TASK_BYTES", 1 << 12)
+    pairs = g.edges.select("source_id", "target_id")
+    assert rank.partitions(pairs) > 4 == rank.partitions(pairs.limit(1))
+    d = rank.degrees(g)
+    assert "RepartitionByExpression [source_id" in d._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, d.collect())) == want
+
+
+def test_an_index_is_read_once_for_all_words(spark):
+    nodes = graph(spark, SF).nodes
+    found = search.bm25_indexed(search.postings(nodes, search.SYMBOL_TEXT), search.totals(nodes, search.SYMBOL_TEXT), "ring brand order")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 4  # of columns and words, for the counts and for the scores
