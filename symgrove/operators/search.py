@@ -92,12 +92,20 @@ def _head(token: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(token, 1, 1)), F.lit(HEADS)).cast("int")
 
 
-def postings(rows: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
-    """(head, token, id, col, positions, size): where each token is; size is the number of tokens of the row."""
+def postings(rows: DataFrame, columns: list[str], key: str = "id", spread: int = 0) -> DataFrame:
+    """(head, token, id, col, positions, size): where each token is; size is the number of tokens of the row.
+
+    With ``spread`` they come shuffled by head, each head in so many parts, as they are stored.
+    """
     words = [F.regexp_extract_all(folded(F.col(c)), F.lit(f"{_INNER}+"), F.lit(0)) for c in columns]
     each = rows.select(F.col(key).alias("id"), F.array(*words).alias("w")).withColumn("size", F.aggregate("w", F.lit(0), lambda n, x: n + F.size(x)))
     each = each.select("id", "size", F.posexplode("w").alias("col", "x")).select("id", "size", "col", F.posexplode("x").alias("pos", "token"))
-    return each.groupBy("token", "id", "col", "size").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select(_head(F.col("token")).alias("head"), "token", "id", "col", "positions", "size")
+    head, keys = _head(F.col("token")).alias("head"), ["token", "id", "col", "size"]
+    if spread:  # one shuffle serves the aggregation and the writer
+        part = F.pmod(F.xxhash64("id"), F.lit(spread)).alias("part")
+        each, keys = each.select(head, part, "*").repartition("head", "part"), ["head", "part", *keys]
+    found = each.groupBy(*keys).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return found.select("head" if spread else head, "token", "id", "col", "positions", "size")
 
 
 def totals(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -33,15 +33,29 @@ def contains_edges(nodes: DataFrame) -> DataFrame:
     return own.select(F.col("parent_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("CONTAINS").alias("kind"), F.col("line_start").alias("source_line"), F.lit(schema.CERTAIN).alias("confidence"))
 
 
-def consistent(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One node per id, no dangling parents or edges, CONTAINS for every parent, one edge per key."""
+def consistent_nodes(nodes: DataFrame) -> DataFrame:
+    """One node per id, no dangling parents."""
     cols = schema.columns(schema.NODES)
+    known = nodes.select(F.col("id").alias("parent_id")).distinct().withColumn("known", F.lit(True))
     nodes = nodes.groupBy("id").agg(F.max(F.struct(*[c for c in cols if c != "id"])).alias("n")).select("id", "n.*").select(*cols)
+    return nodes.join(known, "parent_id", "left").withColumn("parent_id", F.when(F.col("known"), F.col("parent_id"))).select(*cols)
+
+
+def consistent_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """No dangling edges, CONTAINS for every parent, one edge per key; of nodes that are consistent, and best read from where they are stored.
+
+    The check of the sources comes last, so that its shuffle serves for what follows.
+    """
     ids = nodes.select("id")
-    known = ids.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
-    nodes = nodes.join(known, "parent_id", "left").withColumn("parent_id", F.when(F.col("known"), F.col("parent_id"))).select(*cols)
-    both = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
-    return nodes, dedup_edges(both.select(*schema.columns(schema.EDGES)).unionByName(contains_edges(nodes)))
+    every = edges.select(*schema.columns(schema.EDGES)).unionByName(contains_edges(nodes))
+    both = every.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
+    return dedup_edges(both)
+
+
+def consistent(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One node per id, no dangling parents or edges, CONTAINS for every parent, one edge per key."""
+    nodes = consistent_nodes(nodes)
+    return nodes, consistent_edges(nodes, edges)
 
 
 def without_file(nodes: DataFrame, edges: DataFrame, hashes: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -89,13 +103,13 @@ class Store:
         """Write a snapshot, delete those before the last ones, and return its counts."""
         version = (self.versions() or [0])[-1] + 1
         out = f"{self.path}/v{version}"
-        nodes, edges = consistent(nodes, edges)
-        nodes.write.mode("overwrite").parquet(f"{out}/nodes")
+        consistent_nodes(nodes).write.mode("overwrite").parquet(f"{out}/nodes")
         written = self.spark.read.schema(schema.NODES).parquet(f"{out}/nodes")
-        index = search.postings(written, search.SYMBOL_TEXT)
-        index.repartition("head").sortWithinPartitions("head", "token").write.mode("overwrite").partitionBy("head").parquet(f"{out}/postings")
+        spread = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)  # no head, however many its tokens, is one task's
+        index = search.postings(written, search.SYMBOL_TEXT, spread=spread)
+        index.sortWithinPartitions("head", "token").write.mode("overwrite").partitionBy("head").parquet(f"{out}/postings")
         search.totals(written, search.SYMBOL_TEXT).write.mode("overwrite").parquet(f"{out}/totals")
-        edges.repartition("kind", "source_id").sortWithinPartitions("kind", "source_id").write.mode("overwrite").partitionBy("kind").parquet(f"{out}/edges")
+        consistent_edges(written, edges).sortWithinPartitions("kind", "source_id").write.mode("overwrite").partitionBy("kind").parquet(f"{out}/edges")
         if hashes is None:
             hashes = self.spark.createDataFrame([], schema.FILE_HASHES)
         hashes.select("file_path", "hash").write.mode("overwrite").parquet(f"{out}/file_hashes")

@@ -4,7 +4,9 @@ import random
 import pytest
 
 from symgrove import schema
-from symgrove.sources import files
+from symgrove.operators import search
+from symgrove.sources import files, store
+from symgrove.sources.derived import graph
 from symgrove.sources.store import Store, raw_query
 from symgrove.streaming import watch
 
@@ -141,3 +143,22 @@ def test_changes_give_the_graph_of_a_fresh_scan(spark, tmp_path):
     assert sorted(map(tuple, store.load_file_hashes().collect())) == sorted(map(tuple, fresh.load_file_hashes().collect()))
     kinds = {r[0] for r in store.load().edges.select("kind").distinct().collect()}
     assert {"CALLS", "EXTENDS", "CONTAINS", "STEP_IN_PROCESS"} <= kinds
+
+
+def test_a_save_reads_what_it_stored_and_shuffles_postings_once(spark, tmp_path, monkeypatch):
+    g = graph(spark, "/root/testdata/sf0.001")
+    nodes = g.nodes.select(*schema.columns(schema.NODES))
+    edges = store.consistent_edges(nodes, g.edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(struct(" not in edges
+    index = search.postings(spark.createDataFrame(nodes.limit(300).collect(), schema.NODES), search.SYMBOL_TEXT, spread=3).sortWithinPartitions("head", "token")
+    assert index._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    index = search.postings(nodes, search.SYMBOL_TEXT, spread=3)
+    plain = search.postings(nodes, search.SYMBOL_TEXT)
+    assert sorted(map(str, index.collect())) == sorted(map(str, plain.select(index.columns).collect()))
+    kept = store.Store(spark, f"{tmp_path}/g")
+    kept.save(g.nodes, g.edges)
+    heads = {}
+    for f in (tmp_path / "g/v1/postings").glob("head=*/*.parquet"):
+        heads[f.parent.name] = heads.get(f.parent.name, 0) + 1
+    assert len(heads) > 5
+    assert kept.search("ring brand", 5).count() == 5
