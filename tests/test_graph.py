@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import sqlite3
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from symgrove import queries, schema
 from symgrove.functions import text
-from symgrove.operators import mro, processes, ranges, rank, resolve, search, traverse
+from symgrove.operators import export, mro, processes, ranges, rank, resolve, search, traverse
 from symgrove.plans.iterate import connected
 from symgrove.sources.derived import Graph, graph
 from tests.oracle import compare, duck
@@ -267,3 +268,11 @@ def test_an_index_is_read_once_for_all_words(spark):
     found = search.bm25_indexed(search.postings(nodes, search.SYMBOL_TEXT), search.totals(nodes, search.SYMBOL_TEXT), "ring brand order")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("posexplode(") == 4  # of columns and words, for the counts and for the scores
+
+
+def test_ai_context_makes_calls_distinct_by_their_names_alone(spark):
+    g = small(spark, [("a", "b"), ("a", "b", "CALLS", 2), ("a", "c"), ("c", "b")])
+    out = export.ai_context(g)
+    assert not re.search(r"Aggregate \[source_id#\d+, target_id#\d+\]", out._jdf.queryExecution().optimizedPlan().toString())
+    body = out.first()["section"]
+    assert "    calls: nb, nc\n" in body and "    called_by: na, nc\n" in body
